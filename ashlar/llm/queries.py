@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat_format, decontaminate, exact_dedup, mixing
+from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, line_dedup, mixing, sharding, simhash
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_sharding": sharding.op3_sharding,
+    "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
