@@ -63,7 +63,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, to
     values = [c for c in right.columns if c not in keys]
     least = max(HEAVY_LEAST, total // HEAVY_SHARE)
     heavy = right.where(F.col(count) > least).select(*keys, F.struct(*values).alias("__heavy"))
-    light = right.where(F.col(count) <= least).select(*keys, F.struct(*values).alias("__light"), F.lit(0).alias("__spread"))
+    light = right.where(F.col(count) <= least).select(*keys, F.struct(*values).alias("__light"), F.when(F.col(count) < 0, 1).otherwise(0).alias("__spread"))  # never 1, but no constant: a constant key would be taken out of the join
     spread = F.when(F.col("__heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)).cast("int"))
     out = left.join(F.broadcast(heavy), keys, "left").withColumn("__spread", spread).join(light, [*keys, "__spread"], "left")
     both = F.coalesce("__heavy", "__light")
