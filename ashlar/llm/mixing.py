@@ -227,7 +227,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     begin = F.col("block") * block
     a = F.greatest(F.col("first"), begin) - F.col("first")
     z = F.least(F.col("first") + F.col("size"), begin + F.col("take")) - F.col("first")
-    joined = spans.join(slots(spark, sources, shard_slots, seed), ["source", "block"])
+    # Both sides grow with the input; the second looks small to the planner, which only sees a range of group numbers.
+    joined = spans.hint("merge").join(slots(spark, sources, shard_slots, seed), ["source", "block"])
     pieces = joined.select("id", "key", "source", "first", "shard", "slot", "epoch", a.alias("a"), z.alias("z"), F.greatest(F.lit(0), F.col("first") - begin).alias("at")).where("z > a")
     return pieces, rows, sources
 
