@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, line_dedup, mixing, sharding, simhash
+from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, sharding, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_simhash": simhash.op4_simhash,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_text": html_text.op10_html_text,
 }
 
