@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,27 +144,37 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return g.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int")))).drop("k", "rows")
 
 
+def _automata(df: DataFrame, benchmark: DataFrame, options: dict) -> list:
+    blocks = blocks_of(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES))
+    return [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+
 def remove_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """df with every run of hit words cut out of text_col, all other columns and characters as they were: word numbers are
     mapped back to offsets in the original text. Rows without a hit pass unchanged; a text that was all hit words keeps what
     stood around them. Rows keep all their columns, whatever they are called."""
-    size = options.get("size", WINDOW)
-    blocks = blocks_of(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES))
-    out = df
-    sent = [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    at = df.columns.index(text_col)
+    size, sent, at = options.get("size", WINDOW), _automata(df, benchmark, options), df.columns.index(text_col)
 
     def run(batches):
-        import pyarrow as pa
-
         autos = [automaton_of(s.value, size) for s in sent]
         for b in batches:
             column = b.column(at)
-            texts = column.to_pylist()
-            cleaned = [_without(autos, t) for t in texts]
+            cleaned = [_without(autos, t) for t in column.to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(cleaned, column.type))
 
-    return out.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
+
+
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """df without the rows whose text holds a whole window of the benchmark. Null and wordless texts stay. All columns are kept."""
+    size, sent, at = options.get("size", WINDOW), _automata(df, benchmark, options), df.columns.index(text_col)
+
+    def run(batches):
+        autos = [automaton_of(s.value, size) for s in sent]
+        for b in batches:
+            yield b.filter(pa.array([not any(scan(a, t)[1] for a in autos) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def _without(autos: list, text: str | None) -> str | None:
