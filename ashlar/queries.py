@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from ashlar.plans import matching, pricing, scoring, serving  # noqa: F401  they register themselves
+from ashlar.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "nations_by_region"
-
-
-def nations_by_region(spark, sf_dir: str):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    r = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.count("*").alias("n_nations"))
-
-
-QUERIES = {"nations_by_region": nations_by_region}
-ORACLE_SQL = {"nations_by_region": "SELECT r_name, count(*) AS n_nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"}
+FLAGSHIP = "qualifying_parts"
