@@ -29,9 +29,9 @@ from ashlar.llm.common import cut, table
 THRESHOLD = 50
 DIGIT = 16
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes of text to a bucket of digits.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
 _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
 _PLACE = np.uint64((1 << 24) - 1)
