@@ -25,7 +25,7 @@ SEED = 20260
 #: Sources are a setting of a mix, named by people; the driver holds their totals. More than this is refused, not cut.
 MOST_SOURCES = 200_000
 #: Documents of a source whose offsets one task sums, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
