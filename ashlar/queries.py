@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.plans import matching, pricing, scoring, serving, streams  # noqa: F401  they register themselves
+from ashlar.plans import matching, more, pricing, scoring, serving, streams  # noqa: F401  they register themselves
 from ashlar.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "qualifying_parts"
