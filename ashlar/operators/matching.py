@@ -35,23 +35,31 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float, lat: str = "lat", lon:
 
 
 def match_edges(records: DataFrame) -> DataFrame:
-    """Pairs (u < v, reason, meters) of records (id, name, street, city, zip, lat, lon) of one entity: the same address and area; or within
+    """Links (u, v, reason, meters; u <= v) of records (id, name, street, city, zip, lat, lon) of one entity: the same address and area; or within
     80 m the same street address, or the same number and half the name's words; or within 40 m most of the name and the number or street.
-    Similar names alone never match."""
-    r = records.withColumn("addr", normalize_street("street")).withColumn("num", street_number("addr")).withColumn("road", street_name("addr")).withColumn("words", name_tokens("name"))
-    x, y = r.alias("x"), r.alias("y")
-    area = (F.col("x.zip") == F.col("y.zip")) | (F.lower("x.city") == F.lower("y.city"))
-    same = x.join(y, (F.col("x.addr") == F.col("y.addr")) & (F.col("x.id") < F.col("y.id"))).where(area)
-    same = same.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.lit("address").alias("reason"), F.lit(0.0).alias("meters"))
-    placed = r.where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon", "num", "road", "words")
+    Similar names alone never match.
+
+    Records that agree in all that a rule looks at are linked to the smallest of them, not pairwise, so a group of any size gives as many
+    links as members; all that the rules link is connected. Places are compared between such groups."""
+    r = records.withColumn("addr", normalize_street("street")).where("addr IS NOT NULL").withColumn("words", F.array_sort(name_tokens("name")))
+
+    def star(keys: list, reason: str) -> DataFrame:
+        known = r.where(~F.greatest(*(F.isnull(k) for k in keys), F.lit(False)))
+        low = known.groupBy(*(k.alias(f"k{n}") for n, k in enumerate(keys))).agg(F.min("id").alias("u"))
+        ids = known.select(*(k.alias(f"k{n}") for n, k in enumerate(keys)), F.col("id").alias("v"))
+        return ids.join(low, [f"k{n}" for n in range(len(keys))]).where("u < v").select("u", "v", F.lit(reason).alias("reason"), F.lit(0.0).alias("meters"))
+
+    addr = F.col("addr")
+    stars = star([addr, F.col("zip")], "address").union(star([addr, F.lower("city")], "address")).union(star([addr, F.col("lat"), F.col("lon")], "street"))
+    placed = r.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon", "addr", "words").agg(F.min("id").alias("id"))
+    placed = placed.withColumn("num", street_number("addr")).withColumn("road", street_name("addr")).drop("addr")
     near = near_pairs(placed, placed, SAME_SITE_M).where("a_id < b_id")
     number, road = F.col("a_num") == F.col("b_num"), F.col("a_road") == F.col("b_road")
     name = jaccard("a_words", "b_words")
-    number, road = F.coalesce(number, F.lit(False)), F.coalesce(road, F.lit(False))
     reason = F.when(number & road, "street").when(number & (name >= 0.5), "number and name").when((F.col("meters") <= NAME_SITE_M) & (name >= 0.6) & (road | number), "name")
     near = near.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), reason.alias("reason"), "meters").where("reason IS NOT NULL")
     best = F.min(F.struct(F.when(F.col("reason") == "address", 0).otherwise(1).alias("o"), "meters", "reason")).alias("m")
-    return same.unionByName(near).groupBy("u", "v").agg(best).select("u", "v", "m.reason", "m.meters")
+    return stars.unionByName(near).groupBy("u", "v").agg(best).select("u", "v", "m.reason", "m.meters")
 
 
 def resolve(records: DataFrame) -> DataFrame:

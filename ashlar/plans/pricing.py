@@ -126,14 +126,14 @@ def price_points(spark, sf_dir):
 
 @query("""
 WITH p AS (SELECT l_linestatus || s_nationkey AS src, p_size, p_brand, floor((min(l_extendedprice / l_quantity)) * 100.0 + 0.5 + 1e-6) / 100.0 AS lo, floor((max(l_extendedprice / l_quantity)) * 100.0 + 0.5 + 1e-6) / 100.0 AS hi
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size > 40 GROUP BY 1, 2, 3)
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
 SELECT a.p_brand, a.src AS a_src, b.src AS b_src, a.p_size AS a_p_size, b.p_size AS b_p_size, floor((greatest(b.lo - a.hi, a.lo - b.hi)) * 100.0 + 0.5 + 1e-6) / 100.0 AS difference
 FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.src < b.src AND abs(a.p_size - b.p_size) <= 0.02 * greatest(a.p_size, b.p_size)
 WHERE greatest(b.lo - a.hi, a.lo - b.hi) > greatest(50, 0.02 * least(a.lo, b.lo))
 """)
 def price_conflicts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linestatus", (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
-    p = table(spark, sf_dir, "part").where("p_size > 40").select("p_partkey", "p_size", "p_brand")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     j = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).withColumn("src", F.concat("l_linestatus", F.col("s_nationkey").cast("string")))
     points = j.groupBy("src", "p_size", "p_brand").agg(round_to(F.min("x"), 2).alias("base_min"), round_to(F.max("x"), 2).alias("base_max"), F.array().cast("array<string>").alias("unit_keys"))

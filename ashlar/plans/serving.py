@@ -10,13 +10,13 @@ from ashlar.session import table
 
 
 @query("""
-WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT'), n AS (SELECT o_orderkey, nullif(o_orderstatus, 'O') AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderstatus <> 'P')
 SELECT o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, round(coalesce(n.o_totalprice, o.o_totalprice), 2) AS o_totalprice FROM o FULL JOIN n USING (o_orderkey)
 """)
 def upsert_snapshot(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = t.where("o_orderkey % 2 = 0").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return upserts.upsert(t.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"]).withColumn("o_totalprice", F.round("o_totalprice", 2))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    new = t.where("o_orderstatus <> 'P'").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return upserts.upsert(t.where("o_orderpriority <> '1-URGENT'").drop("o_orderpriority"), new, ["o_orderkey"]).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND (o_custkey, o_orderpriority) NOT IN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O')) GROUP BY 1")
@@ -110,12 +110,12 @@ def fill_down(spark, sf_dir):
 
 
 @query("""
-SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN 'primary' ELSE 'secondary' END AS provider, CAST(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 50 ELSE 60 + s_suppkey % 9 END AS BIGINT) AS minutes FROM supplier WHERE s_suppkey % 4 > 0 OR s_suppkey % 8 = 0
+SELECT s_suppkey, CASE WHEN s_acctbal > 2000 THEN 'primary' ELSE 'secondary' END AS provider, CAST(CASE WHEN s_acctbal > 2000 THEN s_suppkey % 50 ELSE 60 + s_suppkey % 9 END AS BIGINT) AS minutes FROM supplier WHERE s_acctbal > 2000 OR s_nationkey < 15
 """)
 def provider_fallback(spark, sf_dir):
     s, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    primary = s.select("s_suppkey", (key % 50).alias("minutes"), (key % 4 > 0).alias("ok"))
-    secondary = s.where("s_suppkey % 8 = 0").select("s_suppkey", (60 + key % 9).alias("minutes"), F.lit(True).alias("ok"))
+    primary = s.select("s_suppkey", (key % 50).alias("minutes"), (F.col("s_acctbal") > 2000).alias("ok"))
+    secondary = s.where("s_nationkey < 15").select("s_suppkey", (60 + key % 9).alias("minutes"), F.lit(True).alias("ok"))
     return upserts.fallback(primary, secondary, "s_suppkey", "ok").select("s_suppkey", "provider", F.col("minutes").cast("long").alias("minutes"))
 
 
