@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: reading, cutting lineage, joins that no key can skew."""
+"""What the operators of this subpackage share beside the library's own tables and joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ashlar.tables import cut, filesystem, shared_dir, skew_join  # noqa: F401  used from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -20,51 +19,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; null stays null."""
     return F.translate(text, UPPER, LOWER)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that every node shares (spark.checkpoint.dir); a local one only where that setting is missing."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.gettempdir()}/ashlar-shared"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def filesystem(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of a path."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there and any executor may be lost.
-    The files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    fs, p = filesystem(spark, path)
-    fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
-HEAVY_SHARE = 1000
-HEAVY_LEAST = 1000
-
-
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Left join of `right` (unique non-null keys) to `left`, whatever the spread of the keys.
-
-    count: right's column with the number of left rows of a key, or an upper bound that sums to `total` or less.
-    Keys with over total/HEAVY_SHARE rows are fewer than HEAVY_SHARE, so they are broadcast: the bound holds for any
-    input. All other keys are joined by shuffle, rows of heavy keys spread at random beside them.
-    """
-    values = [c for c in right.columns if c not in keys]
-    least = max(HEAVY_LEAST, total // HEAVY_SHARE)
-    heavy = right.where(F.col(count) > least).select(*keys, F.struct(*values).alias("__heavy"))
-    light = right.where(F.col(count) <= least).select(*keys, F.struct(*values).alias("__light"), F.when(F.col(count) < 0, 1).otherwise(0).alias("__spread"))  # never 1, but no constant: a constant key would be taken out of the join
-    spread = F.when(F.col("__heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)).cast("int"))
-    out = left.join(F.broadcast(heavy), keys, "left").withColumn("__spread", spread).join(light, [*keys, "__spread"], "left")
-    both = F.coalesce("__heavy", "__light")
-    return out.select(*left.columns, *(both[v].alias(v) for v in values))
