@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.sources.pages import objects
+from ashlar.sources.pages import flight_rows, objects
 
 UNIT = "unit_key string, kind string, beds int, baths double, sqft int, base_min double, base_max double, total double, available_on string"
 LISTING = f"listing_id string, name string, street string, city string, zip string, lat double, lon double, phone string, units array<struct<{UNIT.replace(' ', ':').replace(',:', ',')}>>, facts map<string,string>"
@@ -20,10 +20,18 @@ LISTING = f"listing_id string, name string, street string, city string, zip stri
 @dataclass(frozen=True)
 class Spec:
     """How a site keeps a listing in its page's JSON: where the JSON is, what marks the listing's object, and the names of fields, each as
-    alternatives tried in order; a name may go through objects by dots. Plans hold units; a plan without any counts as one itself."""
+    alternatives tried in order; a name may go through objects by dots, and through all items of a list by *. Plans hold units; a plan
+    without any counts as one itself. Where units stand beside plans, plan_ref names the unit's and the plan's field that agree.
+    skip_unit and need_unit are fields of units that must be false or absent, and true; skip_plan likewise of plans."""
 
     script_id: str | None = "__NEXT_DATA__"
     script_type: str | None = None
+    flight: bool = False
+    whole: bool = False
+    plan_ref: tuple[str, str] | None = None
+    skip_plan: tuple[str, ...] = ()
+    skip_unit: tuple[str, ...] = ()
+    need_unit: tuple[str, ...] = ()
     marks: tuple[str, ...] = ()
     fields: dict[str, tuple[str, ...]] = field(default_factory=dict)
     plans: tuple[str, ...] = ()
@@ -33,10 +41,18 @@ class Spec:
 
 
 def _at(value, path: str):
-    for name in path.split("."):
-        if not isinstance(value, dict):
+    names = path.split(".")
+    for k, name in enumerate(names):
+        if name == "*":
+            rest = ".".join(names[k + 1 :])
+            found = [_at(v, rest) if rest else v for v in value] if isinstance(value, list) else []
+            return [x for f in found for x in (f if isinstance(f, list) else [f]) if x is not None]
+        if name.isdigit() and isinstance(value, list):
+            value = value[int(name)] if int(name) < len(value) else None
+        elif isinstance(value, dict):
+            value = value.get(name)
+        else:
             return None
-        value = value.get(name)
     return value
 
 
@@ -65,20 +81,45 @@ def beds(v) -> int | None:
 
 
 def _script(spec: Spec, html: str) -> Iterator:
-    tag = rf"id=[\"']{re.escape(spec.script_id)}[\"']" if spec.script_id else rf"type=[\"']{re.escape(spec.script_type or 'application/json')}[\"']"
-    for m in re.finditer(rf"(?is)<script[^>]*{tag}[^>]*>(.*?)</script>", html):
+    if spec.whole:
+        texts = [html]
+    elif spec.flight:
+        texts = [content for _, content in flight_rows(html)]
+    else:
+        tag = rf"id=[\"']{re.escape(spec.script_id)}[\"']" if spec.script_id else rf"type=[\"']{re.escape(spec.script_type or 'application/json')}[\"']"
+        texts = [m[1] for m in re.finditer(rf"(?is)<script[^>]*{tag}[^>]*>(.*?)</script>", html)]
+    for text in texts:
         try:
-            yield json.loads(m[1])
+            yield json.loads(text)
         except ValueError:
             continue
 
 
+def _pairs(spec: Spec, o: dict) -> Iterator[tuple[dict, dict | None]]:
+    """Plans with each of their units, or with None for a plan that has none."""
+    plans = [p for p in (_pick(o, spec.plans) or []) if isinstance(p, dict) and not any(_at(p, n) for n in spec.skip_plan)]
+
+    def good(units) -> list[dict]:
+        return [u for u in units or [] if isinstance(u, dict) and not any(_at(u, n) for n in spec.skip_unit) and all(_at(u, n) for n in spec.need_unit)]
+
+    if spec.plan_ref:
+        mine, theirs = spec.plan_ref
+        by = {str(_at(p, theirs)): p for p in plans}
+        for u in good(_pick(o, spec.units)):
+            yield by.get(str(_at(u, mine)), {}), u
+        return
+    for p in plans:
+        for u in good(_pick(p, spec.units)) or [None]:
+            yield p, u
+
+
 def _unit(spec: Spec, plan: dict, unit: dict | None, k: int) -> dict | None:
     """A unit's row; what it doesn't say is its plan's. None without a price."""
     u = spec.unit_fields
 
     def get(name: str):
-        return (_pick(unit, u.get(name, ())) if unit is not None else None) or _pick(plan, u.get(name, ()))
+        own = _pick(unit, u.get(name, ())) if unit is not None else None
+        return _pick(plan, u.get(name, ())) if own is None else own
 
     low, high = number(get("price_min")), number(get("price_max"))
     if low is None and high is None:
@@ -98,10 +139,7 @@ def read_listings(spec: Spec) -> Callable[[str], list[tuple]]:
             for o in objects(data):
                 if spec.marks and not all(m in o for m in spec.marks):
                     continue
-                units: list[dict] = []
-                for plan in _pick(o, spec.plans) or []:
-                    own = [x for x in (_pick(plan, spec.units) or []) if isinstance(x, dict)] if isinstance(plan, dict) else []
-                    units += [r for k, x in enumerate(own or [None]) if isinstance(plan, dict) and (r := _unit(spec, plan, x, k))]
+                units = [r for k, (plan, unit) in enumerate(_pairs(spec, o)) if (r := _unit(spec, plan, unit, k))]
                 seen: dict[str, int] = {}
                 for r in units:
                     seen[r["unit_key"]] = n = seen.get(r["unit_key"], 0) + 1

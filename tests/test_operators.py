@@ -98,7 +98,7 @@ def test_pages(spark):
     got = pages.read_pages(df, "page", "html", "id string, units int", lambda h: [(r[0], len(r[8])) for r in listings.read_listings(spec)(h)])
     assert rows(got) == [(1, "7", 3)]
     got = listings.read_listings(spec)(html)
-    assert [(u["unit_key"], u["beds"], u["base_min"]) for u in got[0][8]] == [("A", 0, 1500.0), ("A#2", 0, 1600.0), ("0", 1, 2000.0)]
+    assert [(u["unit_key"], u["beds"], u["base_min"]) for u in got[0][8]] == [("A", 0, 1500.0), ("A#2", 0, 1600.0), ("2", 1, 2000.0)]
     assert pages.flight_rows('self.__next_f.push([1,"1:T5,héb\\n2:[\\"x\\"]\\n"])') == [("1", "héb\n"), ("2", '["x"]')]
     assert list(pages.objects({"a": [{"b": {}}]})) == [{"a": [{"b": {}}]}, {"b": {}}, {}]
     assert [r[0] for r in spark.createDataFrame([("x px-captcha",), ("Access Denied",), ("fine",), ("access denied" + " " * 20_000,)], "h string").select(pages.looks_like_challenge("h")).collect()] == [True, True, False, False]
@@ -135,3 +135,21 @@ def test_bursts(spark):
     d = [datetime(2026, 1, x) for x in (1, 2, 3, 20)] + [datetime(2025, 1, 1)]
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(d)], "e int, r int, t timestamp")
     assert rows(scoring.bursts(df, ["e"], "t", "r", 14)) == [(1, 3, 0, 5)]
+
+
+def test_sites():
+    import json
+
+    from ashlar.sources.sites import SITES
+
+    units = lambda site, page: [(u["unit_key"], u["kind"], u["beds"], u["sqft"], u["base_min"], u["total"]) for r in listings.read_listings(SITES[site])(page) for u in r[8]]
+    feed = {"units_data": {"layouts": [{"id": 7, "bedrooms": 1, "area": 600}], "units": [{"id": 1, "layoutId": 7, "available": True, "price": "$2,100"}, {"id": 2, "layoutId": 7, "available": True, "leased": True, "price": 1}, {"id": 3, "available": True, "bedrooms": 0, "displayPrice": 1900}, {"id": 4, "available": False, "price": 9}]}}
+    assert units("platform_3", json.dumps(feed)) == [("1", "unit", 1, 600, 2100.0, None), ("3", "unit", 0, None, 1900.0, None)]
+    sight = {"data": {"id": 5, "floor_plans": [{"id": "a", "bedroom_count": 2}], "units": [{"id": 9, "floor_plan_id": "a", "price": 3000, "total_price": ["3100", "3200"], "area": 900}, {"id": 10, "price": None}]}}
+    assert units("platform_4", json.dumps(sight)) == [("9", "unit", 2, 900, 3000.0, 3100.0)]
+    groups = {"x": {"floorPlans": {"floorPlanGroups": [{"plans": [{"name": "P", "bedrooms": "Studio", "priceRange": {"min": 1500}}, {"isRoomForRent": True, "priceRange": {"min": 1}}]}]}, "location": {"city": "Town"}}}
+    page = f'<script id="__NEXT_DATA__">{json.dumps(groups)}</script>'
+    assert units("source_d", page) == [("P", "floorplan", 0, None, 1500.0, None)]
+    row = json.dumps({"rental_id": "r1", "available_units": [{"id": 3, "bed": 1, "price": 2000, "price_max": 2200}]})
+    page = f"self.__next_f.push([1,{json.dumps('4:' + row + chr(10))}])"
+    assert units("source_a", page) == [("3", "floorplan", 1, None, 2000.0, None)] and listings.read_listings(SITES["source_a"])(page)[0][0] == "r1"
