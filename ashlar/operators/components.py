@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.tables import cut, skew_join
+from ashlar.tables import cut, discard, skew_join
 
 MOST_ROUNDS = 60
 
 
-def _lowest(both: DataFrame) -> DataFrame:
-    """Adds to edges (u, v), both ways present, m: the smallest of u and its neighbours. A node with very many edges is no one task's."""
+def _lowest(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with m, the smallest of u and of what it is linked to; and the written table that this reads. A node with very many edges is no one task's."""
     mins = cut(both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")))
     total = mins.agg(F.sum("n")).first()[0] or 0
     out = skew_join(both, mins, ["u"], "n", total)
-    return out.select("u", "v", F.least("u", "low").alias("m"))
+    return out.select("u", "v", F.least("u", "low").alias("m")), mins
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     seen = None
     for _ in range(MOST_ROUNDS):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(_lowest(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = _lowest(large).where("u <> v")
+        both, by_large = _lowest(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = cut(both.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down, by_small = _lowest(large)
+        down = down.where("u <> v")
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.where("u <> m").select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
+        old, now = now, cut(small.distinct())
+        discard(old, large, by_large, by_small)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first()
         if sums == seen:
             break

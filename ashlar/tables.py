@@ -28,13 +28,22 @@ def filesystem(spark: SparkSession, path: str):
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and any executor may be lost.
-    The files go when the session's JVM ends."""
+    The files go when the session's JVM ends, or by discard()."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
     fs, p = filesystem(spark, path)
     fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes the files of what cut() gave; nothing may read them any more."""
+    for df in cuts:
+        fs, p = filesystem(df.sparkSession, df.cut_path)
+        fs.delete(p, True)
 
 
 #: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
