@@ -151,9 +151,7 @@ class Source:
 
 def plan_sources(sized: DataFrame, block: int, weights: tuple, share: float, seed: int) -> list[Source]:
     """Totals by source, a row each, and what each is to give."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()  # placed() has refused more than MOST_SOURCES
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [int(r["size"] or 0) for r in rows]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share)
@@ -163,9 +161,11 @@ def plan_sources(sized: DataFrame, block: int, weights: tuple, share: float, see
 def placed(sized: DataFrame) -> DataFrame:
     """Adds `first`: where a document's words start among its source's. A source's rows go to as many buckets as it needs
     (so that no task holds a large source), the buckets' totals are summed in order, then the rows within each bucket."""
-    n = sized.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("id", "key"), F.lit(buckets)))
+    counts = cut(sized.groupBy(F.col("source").alias("__s")).agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("__n")))
+    if counts.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counted = sized.join(F.broadcast(counts), sized["source"].eqNullSafe(counts["__s"]))  # at most MOST_SOURCES rows
+    rows = counted.select(*sized.columns, F.pmod(F.xxhash64("id", "key"), F.col("__n")).alias("bucket"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
