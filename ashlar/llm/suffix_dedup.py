@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, table
+from ashlar.llm.common import cut, small_batches, table
 
 THRESHOLD = 50
 DIGIT = 16
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of text to a bucket of digits.
 BUCKET_BYTES = 16 << 20
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
@@ -344,23 +344,25 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Empty in, empty out. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= THRESHOLD))
 
     first = named.select("doc_id", "text").mapInArrow(_first_pass(buckets), _FIRST)
     left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digits binary")
-    left = cut(left.groupBy("doc_id").agg(F.collect_list("digits").alias("digits")))
+    with small_batches(df.sparkSession):
+        left = cut(left.groupBy("doc_id").agg(F.collect_list("digits").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(_second_pass(buckets), _SECOND)
     spans = second.groupBy("dest").applyInArrow(_full_depth(buckets), "doc_id long, th long, spans binary")
-    spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")))
+    with small_batches(df.sparkSession):
+        spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")))
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             data, offsets = _bytes_of(b.column(1))
             removed, runs, kept = [], [], []
             for k, parts in enumerate(b.column(2).to_pylist()):
