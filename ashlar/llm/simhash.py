@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, skew_join, table
+from ashlar.llm.common import cut, skew_join, small_batches, table
 from ashlar.operators.components import components
 
 SHINGLE = 4
@@ -156,7 +156,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null texts and texts without words have fingerprint 0 and link like any other. Null ids are nobody's smallest;
     a component of null ids alone has null. Repeated ids are rows of their own. Empty in, empty out. Other columns are not read.
     """
-    rows = cut(fingerprints(df, id_col, text_col, size))
+    with small_batches(df.sparkSession):
+        rows = cut(fingerprints(df, id_col, text_col, size))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows")))
     roots = cut(components(cut(links(nodes.select("fp"), radius))))
     total = nodes.agg(F.sum("rows")).first()[0] or 0
