@@ -16,6 +16,7 @@ packed window that several of its documents share is sent on once, however many
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ from ashlar.llm.common import cut, small_batches, table
 THRESHOLD = 50
 DIGIT = 16
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Bytes of text to a bucket of digits.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
 _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
 _PLACE = np.uint64((1 << 24) - 1)
@@ -128,6 +129,15 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new])
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next batch or group shares an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to ask for
+        pass
+
+
 def _per_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -140,6 +150,7 @@ def _first_pass(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            _give_back()
             ids = b.column(0).to_numpy()
             data, offsets = _bytes_of(b.column(1))
             for row, _, raw, bounds in _chunks(data, offsets):
@@ -171,6 +182,7 @@ def _first_pass(buckets: int):
 
 def _left_over(group: pa.Table) -> pa.Table:
     """Of a bucket: (document, its digits that another has too). What chunks found by themselves is passed on."""
+    _give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
     hs, docs, manies = [], [], []
@@ -207,6 +219,7 @@ def _second_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
+            _give_back()
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = _bytes_of(b.column(2))
             left = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(3).to_pylist()]
@@ -300,6 +313,7 @@ def _full_depth(buckets: int):
     second = pa.schema([("dest", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), *((n, pa.binary()) for n in ("spans", "packed", "who", "ids"))])
 
     def run(group: pa.Table) -> pa.Table:
+        _give_back()
         own = pa.compute.is_valid(group["doc_id"])
         found, rest = group.filter(own), group.filter(pa.compute.invert(own))
         out = [found.select(["doc_id", "th", "spans"])]
@@ -351,13 +365,13 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     first = named.select("doc_id", "text").mapInArrow(_first_pass(buckets), _FIRST)
     left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digits binary")
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, 250):
         left = cut(left.groupBy("doc_id").agg(F.collect_list("digits").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(_second_pass(buckets), _SECOND)
     spans = second.groupBy("dest").applyInArrow(_full_depth(buckets), "doc_id long, th long, spans binary")
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, 250):
         spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")))
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
 
