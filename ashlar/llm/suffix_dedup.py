@@ -32,7 +32,7 @@ DIGIT = 16
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
 CHUNK = 1 << 18
 #: Bytes of text to a bucket of digits.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
 _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
 _PLACE = np.uint64((1 << 24) - 1)
@@ -139,7 +139,9 @@ def _give_back() -> None:
 
 
 def _per_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """A range of mixed hashes to a bucket. Digits are the least hashes of their windows, so their own leading bits are nearly all zero."""
+    mixed = hashes * np.uint64(_MULT)
+    return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 _FIRST = "dest long, doc_id long, digits binary, who binary, ids binary"
@@ -173,6 +175,8 @@ def _first_pass(buckets: int):
                     none = pa.nulls(len(cuts), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(d[cuts] % buckets), pa.array(d[cuts]), _grouped(x, cuts), none, none], schema=schema)
                 dest = _per_bucket(one, buckets)
+                by = np.argsort(dest, kind="stable")
+                one, who, dest = one[by], who[by], dest[by]
                 cuts = _starts(dest)
                 names = ids[row : row + len(bounds) - 1].astype(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), pa.nulls(len(cuts), pa.int64()), _grouped(one, cuts), _grouped(who, cuts), pa.array([names] * len(cuts), pa.binary())], schema=schema)
@@ -246,8 +250,9 @@ def _second_pass(buckets: int):
                     yield _told(doc[covered], th[covered], place[covered] - o2[covered], place[covered] - o1[covered] + THRESHOLD, schema, buckets)
                 # Rows of the least document go on, each a place of its own.
                 go = ~covered
-                order = np.flatnonzero(go)[np.argsort(h[go], kind="stable")]
-                dest = _per_bucket(h[order], buckets)
+                dest = _per_bucket(h[go], buckets)
+                by = np.lexsort((h[go], dest))
+                order, dest = np.flatnonzero(go)[by], dest[by]
                 cuts = _starts(dest)
                 names = np.column_stack([ids[row : row + len(bounds) - 1], ths[row : row + len(bounds) - 1]]).astype(np.int64).tobytes()
                 packed, who = [], []
