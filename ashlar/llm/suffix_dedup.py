@@ -184,8 +184,20 @@ def _first_pass(buckets: int):
     return run
 
 
+def _unpacked(rows: pa.Table, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of rows, each as often as its packed value holds items of `size` bytes, and the items as 64-bit numbers. A row for each item is
+    what other steps see, so that their number follows the text's and not how many buckets there are."""
+    data, offsets = _bytes_of(rows[column])
+    return np.repeat(rows["doc_id"].to_numpy().astype(np.int64), np.diff(offsets) // size), np.frombuffer(data.tobytes(), np.int64)
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's items start among all items of a list column, with the end; null lists are empty."""
+    return np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())].astype(np.int64), column.flatten()
+
+
 def _left_over(group: pa.Table) -> pa.Table:
-    """Of a bucket: (document, its digits that another has too). What chunks found by themselves is passed on."""
+    """Of a bucket: (document, digit) for each digit that another document has too. What chunks found by themselves is passed on."""
     _give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
@@ -197,7 +209,8 @@ def _left_over(group: pa.Table) -> pa.Table:
         hs.append(np.frombuffer(x.as_buffer(), np.uint64))
         docs.append(names[np.where(many, 0, w)])
         manies.append(many)
-    out = [found.select(["doc_id", "digits"])]
+    docs_out, out = _unpacked(found, "digits", 8)
+    out = out.view(np.uint64)
     if hs:
         h, doc, many = np.concatenate(hs), np.concatenate(docs), np.concatenate(manies)
         order = np.argsort(h, kind="stable")
@@ -205,12 +218,8 @@ def _left_over(group: pa.Table) -> pa.Table:
         at = _starts(h)
         shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(many, at)
         told = np.repeat(shared, np.diff(np.r_[at, len(h)])) & ~many
-        h, doc = h[told], doc[told]
-        by = np.argsort(doc, kind="stable")
-        h, doc = h[by], doc[by]
-        cuts = _starts(doc)
-        out.append(pa.table([pa.array(doc[cuts], pa.int64()), _grouped(h, cuts)], names=["doc_id", "digits"]))
-    return pa.concat_tables(out)
+        docs_out, out = np.r_[docs_out, doc[told]], np.r_[out, h[told]]
+    return pa.table([pa.array(docs_out, pa.int64()), pa.array(out.view(np.int64), pa.int64())], names=["doc_id", "digit"])
 
 
 _SECOND = "dest long, doc_id long, th long, spans binary, packed binary, who binary, ids binary"
@@ -226,7 +235,9 @@ def _second_pass(buckets: int):
             _give_back()
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = _bytes_of(b.column(2))
-            left = [np.frombuffer(b"".join(x), np.uint64) for x in b.column(3).to_pylist()]
+            cuts, flat = _listed(b.column(3))
+            flat = flat.to_numpy().view(np.uint64)
+            left = [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
             for row, base, raw, bounds in _chunks(data, offsets):
                 piece, at, s1, s2, h = digits(raw, bounds)
                 edges = np.searchsorted(piece, np.arange(len(bounds)))
@@ -314,14 +325,14 @@ def covered_offsets(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
     return least, most
 
 
-def _full_depth(buckets: int):
-    second = pa.schema([("dest", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), *((n, pa.binary()) for n in ("spans", "packed", "who", "ids"))])
-
+def _full_depth():
     def run(group: pa.Table) -> pa.Table:
         _give_back()
         own = pa.compute.is_valid(group["doc_id"])
         found, rest = group.filter(own), group.filter(pa.compute.invert(own))
-        out = [found.select(["doc_id", "th", "spans"])]
+        doc_out, spans_out = _unpacked(found, "spans", 16)
+        th_out = np.repeat(found["th"].to_numpy().astype(np.int64), np.diff(_bytes_of(found["spans"])[1]) // 16)
+        spans_out = spans_out.reshape(-1, 2)
         wholes, docs, ths, places = [], [], [], []
         unpack = zstandard.ZstdDecompressor().decompress
         for x, who, ids in zip(rest["packed"], rest["who"], rest["ids"]):
@@ -336,9 +347,9 @@ def _full_depth(buckets: int):
             least, most = covered_offsets(np.concatenate(wholes), doc)
             hit = most >= 0
             place = np.concatenate(places)[hit]
-            told = _told(doc[hit], np.concatenate(ths)[hit], place - most[hit], place - least[hit] + THRESHOLD, second, buckets)
-            out.append(pa.Table.from_batches([told]).select(["doc_id", "th", "spans"]))
-        return pa.concat_tables(out)
+            doc_out, th_out = np.r_[doc_out, doc[hit]], np.r_[th_out, np.concatenate(ths)[hit]]
+            spans_out = np.r_[spans_out, np.column_stack([place - most[hit], place - least[hit] + THRESHOLD])]
+        return pa.table([pa.array(x, pa.int64()) for x in (doc_out, th_out, spans_out[:, 0], spans_out[:, 1])], names=["doc_id", "th", "a", "z"])
 
     return run
 
@@ -369,24 +380,26 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= THRESHOLD))
 
     first = named.select("doc_id", "text").mapInArrow(_first_pass(buckets), _FIRST)
-    left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digits binary")
+    left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digit long")
     with small_batches(df.sparkSession, 250):
-        left = cut(left.groupBy("doc_id").agg(F.collect_list("digits").alias("digits")))
+        left = cut(left.groupBy("doc_id").agg(F.collect_list("digit").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(_second_pass(buckets), _SECOND)
-    spans = second.groupBy("dest").applyInArrow(_full_depth(buckets), "doc_id long, th long, spans binary")
+    spans = second.groupBy("dest").applyInArrow(_full_depth(), "doc_id long, th long, a long, z long")
     with small_batches(df.sparkSession, 250):
-        spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("spans").alias("spans")))
+        spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             data, offsets = _bytes_of(b.column(1))
             removed, runs, kept = [], [], []
-            for k, parts in enumerate(b.column(2).to_pylist()):
+            at, flat = _listed(b.column(2))
+            spans = np.column_stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()])
+            for k in range(b.num_rows):
                 raw = data[offsets[k] : offsets[k + 1]]
-                cuts = merged(np.frombuffer(b"".join(parts or ()), np.int64).reshape(-1, 2))
+                cuts = merged(spans[at[k] : at[k + 1]])
                 edges = np.r_[0, cuts.ravel(), len(raw)]
                 kept.append(b"".join(raw[a:z].tobytes() for a, z in edges.reshape(-1, 2)))
                 removed.append(len(raw) - len(kept[-1]))
