@@ -9,8 +9,8 @@ from ashlar.llm.common import cut, table
 from ashlar.llm.decontaminate import drop_contaminated
 from ashlar.llm.language_id import UNKNOWN, held_out, identify, train
 from ashlar.llm.mixing import mixed_documents
+from ashlar.llm.near_copies import drop_similar
 from ashlar.llm.sharding import shard
-from ashlar.llm.simhash import drop_near_copies
 
 #: A document whose best language scores below this is rejected: 0.5 is where the ridge regression's vote changes sign.
 LEAST_SCORE = 0.3
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near copies."""
-    return drop_near_copies(docs)
+    """Keeps one document, that of the smallest id, of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
