@@ -32,6 +32,11 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Start tags that leave an open head, and an open colgroup, open. Any other, or text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+IN_COLGROUP = frozenset("html col template".split())
+#: Children of a head or colgroup whose own content is not looked at.
+_INNER = frozenset("title noscript noframes style script template".split())
 #: These end an open paragraph; a paragraph is looked for up to the nearest of the stops.
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption"}
 P_STOPS = {"button", "td", "th", "caption", "table", "object"}
@@ -82,7 +87,19 @@ class _Builder(HTMLParser):
         if found:
             self._pop_to(found)
 
+    def _leave(self, tag: str) -> None:
+        """Closes an open head or colgroup where a start tag, or text for an empty name, may not stand in it. In what it may hold, anything may stand."""
+        for name, held in (("colgroup", IN_COLGROUP), ("head", IN_HEAD)):
+            if self.names.get(name) and tag not in held:
+                for k in range(len(self.open) - 1, 0, -1):
+                    if self.open[k].tag == name:
+                        self._pop_to(k)
+                        break
+                    if self.open[k].tag in _INNER:
+                        break
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._leave(tag)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in ENDS_P:
@@ -113,6 +130,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._leave("")
         self.open[-1].children.append(data)
 
 

@@ -183,3 +183,15 @@ def test_nothing_to_learn(spark):
     model = language_id.train(df)
     assert [r.lang_pred for r in language_id.identify(df, model).collect()] == ["und"]
     assert language_id.identify(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>T</title><p>Hello", "Hello"),
+    ("<head><title>T</title><style>a{}</style><script>b</script>\n Hello", "Hello"),
+    ("<head><noscript><img src=x><p>no</noscript><template><p>no</template><meta charset=utf-8><title>T</title><body>yes", "yes"),
+    ("<table><colgroup><col><tr><td>x", "x"),
+    ("<table><colgroup><col><template><p>no</template><col>\n<tbody><tr><td>x<td>y</table>z", "x  y\n\nz"),
+    ("<table><colgroup><col></colgroup><tr><td>x</table>", "x"),
+])
+def test_html_optional_end_tags(html, want):
+    assert html_text.render(html) == want
