@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ashlar.functions.scalars import haversine_m, jaccard, name_tokens, normalize_street, street_name, street_number
 from ashlar.operators.components import components
+from ashlar.tables import cut, skew_join
 
 # Metres within which records can be of one site, and of one site by name.
 SAME_SITE_M = 80.0
@@ -75,8 +76,8 @@ def token_set(text) -> Column:
 def near_duplicate_pairs(df: DataFrame, entity: str, row: str, text: str, least: float = 0.8, least_tokens: int = 5) -> DataFrame:
     """Pairs (entity, a < b, similarity) of texts of one entity whose word sets have a Jaccard similarity of `least` or more.
 
-    Rows with equal word sets are one class, known by its smallest row; pairs are between classes (`class_members` tells the
-    rest). Candidates share a word of their prefixes: of words sorted by rarity, two sets that similar share one of the
+    Rows with equal word sets are one class, known by its smallest row; pairs are between classes (`near_duplicate_members` tells
+    the rest). Candidates share a word of their prefixes: of words sorted by rarity, two sets that similar share one of the
     first (1 - least) n + 1. Sizes must be within the ratio too. Candidates are then compared exactly.
     """
     sets = class_members(df, entity, row, text, least_tokens).groupBy(entity, "words").agg(F.min(row).alias("rep"))
@@ -97,3 +98,13 @@ def near_duplicate_pairs(df: DataFrame, entity: str, row: str, text: str, least:
 def class_members(df: DataFrame, entity: str, row: str, text: str, least_tokens: int = 5) -> DataFrame:
     """Rows with enough distinct words, with their sorted word set."""
     return df.select(entity, row, token_set(F.col(text)).alias("words")).where(F.size("words") >= least_tokens)
+
+
+def near_duplicate_members(df: DataFrame, entity: str, row: str, text: str, least_tokens: int = 5) -> DataFrame:
+    """entity, row, representative: the class of each row that `near_duplicate_pairs` looks at, known by the smallest row of its entity with
+    the same word set, its own included. With the pairs this tells all near duplicates. A class of any size is no one task's."""
+    whole = F.concat(F.coalesce(F.concat(F.lit("1"), F.col(entity).cast("string")), F.lit("0")), F.lit("\0"), F.concat_ws(" ", "words"))
+    members = cut(class_members(df, entity, row, text, least_tokens).select(entity, row, F.sha2(whole, 256).alias("__class")))
+    classes = cut(members.groupBy("__class").agg(F.min(row).alias("representative"), F.count("*").alias("__n")))
+    total = classes.agg(F.sum("__n")).first()[0] or 0
+    return skew_join(members, classes, ["__class"], "__n", total).select(entity, row, "representative")

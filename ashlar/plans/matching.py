@@ -24,6 +24,14 @@ def near_duplicate_pairs(spark, sf_dir):
     return out.select("source", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""
+SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, w) AS representative
+FROM (SELECT source, doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+'))) AS w FROM documents) WHERE len(w) >= 5
+""")
+def near_duplicate_members(spark, sf_dir):
+    return matching.near_duplicate_members(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text")
+
+
 @query("""
 WITH p AS (SELECT c_custkey AS id, 37.2 + (c_custkey * 7919 % 4000) / 10000.0 AS lat, -122.3 + (c_custkey * 104729 % 5000) / 10000.0 AS lon FROM customer),
 d AS (SELECT a.id AS a, b.id AS b, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(CAST(b.lat - a.lat AS DOUBLE)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(CAST(b.lon - a.lon AS DOUBLE)) / 2), 2))) AS m

@@ -153,3 +153,12 @@ def test_sites():
     row = json.dumps({"rental_id": "r1", "available_units": [{"id": 3, "bed": 1, "price": 2000, "price_max": 2200}]})
     page = f"self.__next_f.push([1,{json.dumps('4:' + row + chr(10))}])"
     assert units("source_a", page) == [("3", "floorplan", 1, None, 2000.0, None)] and listings.read_listings(SITES["source_a"])(page)[0][0] == "r1"
+
+
+def test_near_duplicate_members(spark):
+    copies = [(k, "s", "One two three four five six" if k % 2 else "six FIVE four three two one one") for k in range(10, 3010)]
+    rest = [(1, "t", "one two three four five six"), (2, "s", "one two three four five seven"), (3, "s", "too few"), (4, "s", None), (5, None, copies[0][2]), (6, None, copies[0][2])]
+    df = spark.createDataFrame(copies + rest, "id long, e string, x string")
+    got = {(r.e, r.id): r.representative for r in matching.near_duplicate_members(df, "e", "id", "x").collect()}
+    assert got == {("s", k): 10 for k, _, _ in copies} | {("t", 1): 1, ("s", 2): 2, (None, 5): 5, (None, 6): 5}
+    assert matching.near_duplicate_members(df.limit(0), "e", "id", "x").count() == 0
