@@ -14,7 +14,7 @@ from ashlar.llm.common import table
 
 # Elements by kind, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOT_SHOWN = frozenset("head script style template noscript iframe object canvas audio video datalist title meta link base param source track colgroup col area map svg math noframes noembed".split())
+NOT_SHOWN = frozenset("head script style template noscript iframe object canvas audio video datalist title meta link base param source track colgroup col area annotation annotation-xml noframes noembed".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul table caption".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
 #: A start tag of the key ends open elements of these names, looked for up to the nearest of the stops.
@@ -40,6 +40,9 @@ _INNER = frozenset("title noscript noframes style script template".split())
 #: These end an open paragraph; a paragraph is looked for up to the nearest of the stops.
 ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "legend", "caption"}
 P_STOPS = {"button", "td", "th", "caption", "table", "object"}
+#: Text in an svg shows in these alone, and not at all in those.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_NOT_SHOWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 #: Cells are padded to the width of their column, up to this width; wider cells push their row on.
 MOST_PAD = 40
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -113,6 +116,8 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and (self.names.get("svg") or self.names.get("math")):
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -275,7 +280,7 @@ def render(html: str | None) -> str:
 
     Not shown: what browsers don't lay out (head, script, style, template, fallback content, form inputs), elements with
     `hidden`, display:none or visibility:hidden in their style attribute (an inner visibility:visible shows again), closed dialogs, all of a closed details but
-    its summary, and comments. Style sheets aren't applied. Blocks start new lines, paragraphs and the like are set off by
+    its summary, and comments. An svg shows its text elements, a formula its text in order. Style sheets aren't applied. Blocks start new lines, paragraphs and the like are set off by
     blank lines, list items carry a dash or their number and are indented by depth, cells are aligned by column, pre keeps its
     spaces. The walk keeps its own stack, so depth has no limit. None or an empty page gives an empty text.
     """
@@ -289,7 +294,7 @@ def render(html: str | None) -> str:
         page = pages[-1]
         if what == "in":
             if isinstance(node, str):
-                if visible:
+                if visible and pre != "svg":
                     (page.raw if pre else page.text)(node)
                 continue
             tag = node.tag
@@ -304,7 +309,19 @@ def render(html: str | None) -> str:
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
-            pre = pre or tag in ("pre", "textarea", "listing", "xmp")
+            if tag == "svg":
+                pre = "svg"
+            elif pre == "svg":
+                if tag in SVG_NOT_SHOWN or node.attrs.get("display") == "none":
+                    continue
+                if tag in SVG_TEXT:
+                    pre, children = False, [" ", *children, " "]
+            else:
+                pre = pre or tag in ("pre", "textarea", "listing", "xmp")
+            if tag == "mfrac":
+                children = [x for c in children for x in (c, " ")]
+            elif tag == "mtd":
+                children = [*children, " "]
             if tag == "table":
                 page.block(True)
                 tables.append(_Table())

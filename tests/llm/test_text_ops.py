@@ -195,3 +195,13 @@ def test_nothing_to_learn(spark):
 ])
 def test_html_optional_end_tags(html, want):
     assert html_text.render(html) == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("a<svg><title>t</title><style>s</style><defs><text>no</text></defs><path d='M0'/> junk <g><text x=1>one <tspan>two</tspan></text><text>three</text></g><g style='display:none'><text>no</text></g></svg>b", "a one two three b"),
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math>.", "so x=1 2 ."),
+    ("<map name=m><p>In a map</p><area href=x></map>", "In a map"),
+    ("<pre>a\n <svg><text>x</text></svg> b</pre>", "a\n  x b"),
+])
+def test_html_embedded_text(html, want):
+    assert html_text.render(html) == want
