@@ -19,7 +19,9 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE_ROWS = 4000
 SAMPLE_PER_LANG = 300
 SAMPLE_BYTES = 1 << 18
-#: Landmarks, in all.
+#: Languages at most: more are an error, so that none is left out unseen.
+MOST_LANGS = SAMPLE_ROWS // 8
+#: Landmarks, in all; one a language if there are more languages.
 LANDMARKS = 240
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -101,7 +103,7 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
         return Model([], np.empty(0, np.uint64), np.empty((0, 0), np.float32), np.empty(0))
     by = {n: [k for k, x in enumerate(langs) if x == n] for n in names}
     turns = sorted((r, n, k) for n, ks in by.items() for r, k in enumerate(ks))
-    marks = [k for _, _, k in turns[:landmarks]]
+    marks = [k for _, _, k in turns[: max(landmarks, len(names))]]
     vocabulary = np.unique(np.concatenate([rows[k] for k in marks]))
     lm = matrix([rows[k] for k in marks], vocabulary)
     kernel = np.concatenate([matrix(rows[k : k + _BATCH], vocabulary) @ lm.T for k in range(0, len(rows), _BATCH)]).astype(np.float64)
@@ -116,16 +118,18 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     return Model(names, vocabulary, (lm.T @ (half @ w[:-1])).astype(np.float32), w[-1])
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> Model:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", most_langs: int = MOST_LANGS) -> Model:
     """Fits on a sample of labelled rows: at most SAMPLE_PER_LANG of a language and SAMPLE_ROWS in all, drawn by a hash of
     order_col, texts up to SAMPLE_BYTES, whole. Rows without a language or a letter teach nothing. n-grams are taken by the
-    executors; the driver gets those of the sample."""
+    executors; the driver gets those of the sample. More than most_langs languages are a ValueError."""
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.lit("sample")).alias("h"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 8).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"over {most_langs} languages are labelled; raise most_langs")
     if not counts:
         return fit([], [])
-    each = min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts))
+    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts)))
     share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * each / r["count"]))))), F.col("lang"))
     drawn = rows.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
 

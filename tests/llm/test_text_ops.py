@@ -205,3 +205,13 @@ def test_html_optional_end_tags(html, want):
 ])
 def test_html_embedded_text(html, want):
     assert html_text.render(html) == want
+
+
+def test_language_bound(spark):
+    df = spark.createDataFrame([(k, "abc def", f"l{k}") for k in range(6)], "doc_id long, text string, lang string")
+    assert len(language_id.train(df, most_langs=6).langs) == 6
+    with pytest.raises(ValueError):
+        language_id.train(df, most_langs=5)
+    far = [language_id.grams(chr(0x4E00 + k)) for k in range(5)]
+    model = language_id.fit(far, list("abcde"), landmarks=2)
+    assert model.predict([chr(0x4E00 + k) for k in range(5)])[0] == list("abcde")
