@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,25 +68,34 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
 
 def latest_by_key(df: DataFrame, keys: list[str], order: list[str], target: str | None = None) -> DataFrame:
     """The newest row of each key as a table kept by foreachBatch: each batch is joined into the version before it, and a new version
-    written; a version that is there already is not written again, so a batch may run twice. Late rows count by their time."""
-    spark, root = df.sparkSession, target or shared_dir(df.sparkSession)
-    top = [c for c in df.columns if c not in keys]
+    written. The checkpoint is kept under the target, so a later run goes on with what came since, and the version to go on from is
+    read from the folder: a batch that runs twice, or in a new process, joins into the same one. Late rows count by their time."""
+    spark, root = df.sparkSession, (target or shared_dir(df.sparkSession)).rstrip("/")
+    top = [*order, *(c for c in df.columns if c not in keys and c not in order)]
     fs, root_path = filesystem(spark, root)
-    state: dict = {"version": None}
+    fs.mkdirs(root_path)
+
+    def versions() -> list[int]:
+        """Versions that were written whole, in order."""
+        names = [s.getPath() for s in fs.listStatus(root_path) if s.getPath().getName().startswith("version=")]
+        done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()[8:]) for p in done)
 
     def path(n: int) -> str:
         return f"{root}/version={n:010d}"
 
     def step(batch: DataFrame, n: int) -> None:
-        new = batch.groupBy(*keys).agg(F.max(F.struct(*order, *(c for c in top if c not in order))).alias("s"))
-        if state["version"] is not None and state["version"] != n:
-            old = batch.sparkSession.read.parquet(path(state["version"]))
-            new = new.unionByName(old).groupBy(*keys).agg(F.max("s").alias("s"))
+        new = batch.groupBy(*keys).agg(F.max(F.struct(*top)).alias("s"))
+        before = [v for v in versions() if v < n]
+        if before:
+            new = new.unionByName(batch.sparkSession.read.parquet(path(before[-1]))).groupBy(*keys).agg(F.max("s").alias("s"))
         new.write.mode("overwrite").parquet(path(n))
-        state["version"] = n
 
-    q = df.writeStream.option("checkpointLocation", f"{root}/checkpoint-{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(step).start()
+    q = df.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
     q.awaitTermination()
     if not target:
         fs.deleteOnExit(root_path)
-    return spark.read.parquet(path(state["version"])).select(*keys, "s.*")
+    done = versions()
+    if not done:
+        return spark.createDataFrame([], df.schema).select(*keys, *top)
+    return spark.read.parquet(path(done[-1])).select(*keys, "s.*")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path in the folder that every node shares (spark.checkpoint.dir). Where that is unset, a local session gets a folder of its
     own; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):  # driver and executor are one process
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = f"file://{tempfile.gettempdir()}/ashlar-shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
