@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,8 +44,13 @@ P_STOPS = {"button", "td", "th", "caption", "table", "object"}
 #: Text in an svg shows in these alone, and not at all in those.
 SVG_TEXT = frozenset("text foreignobject".split())
 SVG_NOT_SHOWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
-#: Cells are padded to the width of their column, up to this width; wider cells push their row on.
-MOST_PAD = 40
+#: A table is aligned if that makes it at most so many times as long as its text, and so many characters longer. Any other (few texts in very many
+#: columns, say) is set without alignment, so a page's text is never much longer than the page.
+MOST_TIMES, MOST_MORE = 64, 1 << 16
+#: Lists and quotes inside more than so many others are indented no further; tables inside more than so many others are set as blocks.
+DEEPEST, DEEPEST_TABLE = 64, 32
+#: Cells that reach down into one row, at most; more are set as if they ended in their own.
+MOST_SPANS = 1000
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -57,93 +63,220 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class _Builder(HTMLParser):
+_NAME = re.compile(r"[^\t\n\f\r />]+")
+_BEFORE_NAME = re.compile(r"[\t\n\f\r /]*")
+_ATTRIBUTE = re.compile(r"=?[^\t\n\f\r />=]*")
+_EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_BARE = re.compile(r"[^\t\n\f\r >]*")
+#: Elements whose content is text up to their own end tag; character references count in those of the second set.
+_RAW = frozenset("script style xmp iframe noembed noframes".split())
+_RAW_WITH_REFERENCES = frozenset("title textarea".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\t\n\f\r />])", re.I) for name in _RAW | _RAW_WITH_REFERENCES}
+
+
+def _tag(html: str, at: int) -> tuple[int, str, dict, bool]:
+    """A tag whose name starts at `at`: where it ends, name, attributes (the first of a name counts), whether it closes itself.
+    The end is -1 if the page ends in it."""
+    m = _NAME.match(html, at)
+    name, at, attrs = m[0].lower(), m.end(), {}
+    while True:
+        skipped = _BEFORE_NAME.match(html, at)
+        at = skipped.end()
+        if at >= len(html):
+            return -1, name, attrs, False
+        if html[at] == ">":
+            return at + 1, name, attrs, html[at - 1] == "/"
+        m = _ATTRIBUTE.match(html, at)
+        key, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(html, at):
+            at = m.end()
+            quote = html[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return -1, name, attrs, False
+                value, at = html[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(html, at)
+                value, at = m[0], m.end()
+        attrs.setdefault(key, unescape(value) if "&" in value else value)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict | None]]:
+    """("text", text, None), ("start", name, attributes), ("self", name, attributes) or ("end", name, None), as the HTML standard cuts a page,
+    errors included: any text is a page. Each character is looked at a fixed number of times, so time follows the length.
+
+    What the page's end cuts short (a tag, a comment) is dropped, as browsers do; raw text without its end tag runs to the end.
+    """
+    at, size, embedded = 0, len(html), 0
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = size
+        if lt > at:
+            text = html[at:lt]
+            yield "text", unescape(text) if "&" in text else text, None
+            at = lt
+            continue
+        head = html[at + 1 : at + 2]
+        if head.isascii() and head.isalpha():
+            end, name, attrs, closed = _tag(html, at + 1)
+            if end < 0:
+                return
+            yield ("self" if closed else "start"), name, attrs
+            at = end
+            if name in ("svg", "math") and not closed:
+                embedded += 1
+            if name == "plaintext":
+                yield "text", html[at:], None
+                return
+            if name in _RAW_END and not embedded:
+                m = _RAW_END[name].search(html, at)
+                end = m.start() if m else size
+                if end > at:
+                    text = html[at:end]
+                    yield "text", unescape(text) if name in _RAW_WITH_REFERENCES else text, None
+                at = end
+        elif head == "/" and (c := html[at + 2 : at + 3]).isascii() and c.isalpha():
+            end, name, _, _ = _tag(html, at + 2)
+            if end < 0:
+                return
+            if name in ("svg", "math"):
+                embedded = max(0, embedded - 1)
+            yield "end", name, None
+            at = end
+        elif html.startswith("<!--", at):
+            if html.startswith(">", at + 4) or html.startswith("->", at + 4):
+                at = html.index(">", at) + 1
+                continue
+            m = _COMMENT_END.search(html, at + 4)
+            if not m:
+                return
+            at = m.end()
+        elif embedded and html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            yield "text", html[at + 9 : size if end < 0 else end], None
+            if end < 0:
+                return
+            at = end + 3
+        elif head in ("!", "?", "/") and head:
+            end = html.find(">", at)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "text", "<", None
+            at += 1
+
+
+_COMMENT_END = re.compile("--!?>")
+_TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
+#: Where only parts of a table may stand: text and other elements found here are moved before the table.
+_IN_TABLE = frozenset("table thead tbody tfoot tr".split())
+_STAY_IN_TABLE = _TABLE_PARTS | frozenset("table style script template".split())
+_CELLS = frozenset("table td th".split())
+
+
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
-        #: How many open elements have a name, so that tags without one need no search.
-        self.names: dict[str, int] = {}
+        #: Where the open elements of a name are, so that none has to be searched for.
+        self.at: dict[str, list[int]] = {}
 
-    def _push(self, tag: str, attrs: dict) -> None:
+    def _push(self, tag: str, attrs: dict, parent: Node | None = None) -> None:
         node = Node(tag, attrs)
-        self.open[-1].children.append(node)
+        if parent is None:
+            self.open[-1].children.append(node)
+        else:
+            parent.children.insert(len(parent.children) - 1, node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
-        self.names[tag] = self.names.get(tag, 0) + 1
 
     def _pop_to(self, k: int) -> None:
-        for node in self.open[k:]:
-            self.names[node.tag] -= 1
+        for node in reversed(self.open[k:]):
+            self.at[node.tag].pop()
         del self.open[k:]
 
+    def _nearest(self, names) -> int:
+        """Where the innermost open element of these names is; 0 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
     def _end(self, names, stops) -> None:
         """Closes open elements from the outermost of `names` inside the nearest of `stops`."""
-        if not any(self.names.get(n) for n in names):
-            return
-        found = None
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in stops:
-                break
-            if tag in names:
-                found = k
+        stop, found = self._nearest(stops), None
+        for n in names:
+            places = self.at.get(n)
+            if places and places[-1] > stop:
+                k = places[bisect_right(places, stop)]
+                found = k if found is None else min(found, k)
         if found:
             self._pop_to(found)
 
     def _leave(self, tag: str) -> None:
         """Closes an open head or colgroup where a start tag, or text for an empty name, may not stand in it. In what it may hold, anything may stand."""
         for name, held in (("colgroup", IN_COLGROUP), ("head", IN_HEAD)):
-            if self.names.get(name) and tag not in held:
-                for k in range(len(self.open) - 1, 0, -1):
-                    if self.open[k].tag == name:
-                        self._pop_to(k)
-                        break
-                    if self.open[k].tag in _INNER:
-                        break
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+            if self.at.get(name) and tag not in held and self._nearest(_INNER) < self.at[name][-1]:
+                self._pop_to(self.at[name][-1])
+
+    def _before_table(self) -> Node | None:
+        """The element that holds the table, if what comes now stands between the table's parts."""
+        return self.open[self.at["table"][-1] - 1] if self.open[-1].tag in _IN_TABLE and self.at.get("table") else None
+
+    def start(self, tag: str, attrs: dict) -> None:
         self._leave(tag)
         if tag in ENDS:
             self._end(*ENDS[tag])
         if tag in ENDS_P:
             self._end({"p"}, P_STOPS)
-        if tag in ("td", "th") and self.names.get("table") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if tag in _TABLE_PARTS and (k := self._nearest(_IN_TABLE | _CELLS | {"caption"})) and self.open[k].tag in _IN_TABLE:
+            self._pop_to(k + 1)
+        if tag in ("td", "th") and self.at.get("table") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push("tr", {})
+        parent = None if tag in _STAY_IN_TABLE else self._before_table()
         if tag in VOID:
-            self.open[-1].children.append(Node(tag, dict(attrs)))
+            into = self.open[-1].children if parent is None else parent.children
+            into.insert(len(into) - (parent is not None), Node(tag, attrs))
         else:
-            self._push(tag, dict(attrs))
+            self._push(tag, attrs, parent)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if self.open[-1].tag == tag and (self.names.get("svg") or self.names.get("math")):
+    def self_closed(self, tag: str, attrs: dict) -> None:
+        self.start(tag, attrs)
+        if self.open[-1].tag == tag and (self.at.get("svg") or self.at.get("math")):
             self._pop_to(len(self.open) - 1)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        if not self.names.get(tag):
+        if not self.at.get(tag):
             if tag == "p":
                 self._push("p", {})
                 self._pop_to(len(self.open) - 1)
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                self._pop_to(k)
-                return
-            if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
-                return
+        k = self.at[tag][-1]
+        if tag in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html") or self._nearest(_CELLS) < k:
+            self._pop_to(k)
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
+        parent = None
         if data.strip(" \t\n\r\f"):
             self._leave("")
-        self.open[-1].children.append(data)
+            parent = self._before_table()
+        into = self.open[-1].children if parent is None else parent.children
+        into.insert(len(into) - (parent is not None), data)
 
 
 def tree(html: str) -> Node:
     b = _Builder()
-    b.feed(html)
-    b.close()
+    for kind, value, attrs in tokens(html):
+        if kind == "text":
+            b.text(value)
+        elif kind == "start":
+            b.start(value, attrs)
+        elif kind == "end":
+            b.end(value)
+        else:
+            b.self_closed(value, attrs)
     return b.root
 
 
@@ -172,9 +305,9 @@ class _Page:
         if self.gap == 2 and self.lines and self.lines[-1]:
             self.lines.append("")
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:DEEPEST])
         if self.mark:
-            lead = "".join(self.indent[:-1]) + self.mark
+            lead = "".join(self.indent[: min(DEEPEST, len(self.indent) - 1)]) + self.mark
             self.mark = ""
         self.line.append(lead)
 
@@ -226,35 +359,55 @@ class _Page:
 
 class _Table:
     def __init__(self):
-        self.rows: list[dict[int, str]] = []
-        self.taken: dict[int, int] = {}
+        self.rows: list[dict[int, list[str]]] = []
+        #: Columns [start, end) that cells from above take, and how many rows more; those of cells of this row; how far the row has come in the first.
+        self.taken: list[tuple[int, int, int]] = []
+        self.new: list[tuple[int, int, int]] = []
+        self.passed = 0
         self.at = 0
-        self.spans = (1, 1)
 
     def row(self) -> None:
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        left = sorted((a, z, n - 1) for a, z, n in self.taken + self.new if n > 1)
+        self.taken, self.new, self.passed, self.at = left[:MOST_SPANS], [], 0, 0
         self.rows.append({})
-        self.at = 0
 
-    def cell(self, text: str, across: int, down: int) -> None:
+    def cell(self, lines: list[str], across: int, down: int) -> None:
+        """A cell of one line or more, at the next place that no cell from above takes."""
         if not self.rows:
             self.row()
-        while self.taken.get(self.at):
-            self.at += 1
-        self.rows[-1][self.at] = text
-        if down > 1:
-            for c in range(self.at, self.at + across):
-                self.taken[c] = down
+        while self.passed < len(self.taken) and self.taken[self.passed][0] <= self.at:
+            self.at = max(self.at, self.taken[self.passed][1])
+            self.passed += 1
+        if lines:
+            self.rows[-1][self.at] = lines
+        if down > 1 and len(self.new) < MOST_SPANS:
+            self.new.append((self.at, self.at + across, down))
         self.at += across
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r.values())]
-        columns = sorted({c for r in rows for c, x in r.items() if x})
-        width = {c: min(MOST_PAD, max((len(r[c]) for r in rows if c in r), default=0)) for c in columns}
+        """Cells side by side, each column as wide as its widest line, each row as high as its highest cell."""
+        rows = [r for r in self.rows if r]
+        width: dict[int, int] = {}
+        for r in rows:
+            for c, x in r.items():
+                width[c] = max(width.get(c, 0), max(map(len, x)))
+        columns = sorted(width)
+        start, total = {}, 0
+        for c in columns:
+            start[c], total = total, total + width[c] + 2
+        text = sum(len(x) for r in rows for cell in r.values() for x in cell)
+        if sum(max(start[c] * len(x) for c, x in r.items()) for r in rows) > MOST_TIMES * text + MOST_MORE:
+            return ["  ".join(" ".join(r[c]) for c in sorted(r)) for r in rows]
         out = []
         for r in rows:
-            last = max(c for c, x in r.items() if x)
-            out.append("  ".join(r.get(c, "").ljust(width[c]) if c < last else r[c] for c in columns if c <= last))
+            cells = sorted(r.items())
+            for k in range(max(len(x) for _, x in cells)):
+                line, at = [], 0
+                for c, x in cells:
+                    if k < len(x) and x[k]:
+                        line.append(" " * (start[c] - at) + x[k])
+                        at = start[c] + len(x[k])
+                out.append("".join(line))
         return out
 
 
@@ -282,12 +435,13 @@ def render(html: str | None) -> str:
     `hidden`, display:none or visibility:hidden in their style attribute (an inner visibility:visible shows again), closed dialogs, all of a closed details but
     its summary, and comments. An svg shows its text elements, a formula its text in order. Style sheets aren't applied. Blocks start new lines, paragraphs and the like are set off by
     blank lines, list items carry a dash or their number and are indented by depth, cells are aligned by column, pre keeps its
-    spaces. The walk keeps its own stack, so depth has no limit. None or an empty page gives an empty text.
+    spaces. Text and elements between a table's parts go before the table, as in browsers. A cell keeps its lines; cells stand side by side.
+    The walk keeps its own stack, so depth has no limit, and time follows the page's length. None or an empty page gives an empty text.
     """
     if not html:
         return ""
     page = _Page()
-    pages, tables, lists = [page], [], []
+    pages, tables, lists, deeper = [page], [], [], 0
     todo: list = [("in", tree(html), True, False)]
     while todo:
         what, node, visible, pre = todo.pop()
@@ -322,19 +476,20 @@ def render(html: str | None) -> str:
                 children = [x for c in children for x in (c, " ")]
             elif tag == "mtd":
                 children = [*children, " "]
-            if tag == "table":
+            if tag == "table" and len(tables) < DEEPEST_TABLE:
                 page.block(True)
                 tables.append(_Table())
+            elif tag == "table":
+                deeper += 1
+                page.block(False)
+            elif tag in ("tr", "td", "th", "caption") and deeper:
+                page.block(False)
             elif tag == "tr" and tables:
                 tables[-1].row()
-            elif tag in ("td", "th") and tables:
-                pages.append(_Page())
-            elif tag == "caption" and tables:
+            elif tag in ("td", "th", "caption") and tables:
                 pages.append(_Page())
             elif tag in BLOCK:
                 page.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
-            elif tables and tag in ("thead", "tbody", "tfoot"):
-                pass
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.append(_number(node.attrs.get("start"), 1, 10**9) if tag == "ol" else None)
             elif tag == "li":
@@ -350,14 +505,19 @@ def render(html: str | None) -> str:
             todo.extend(("in", c, visible, pre) for c in reversed(children))
         else:
             tag = node.tag
-            if tag == "table":
+            if tag == "table" and not deeper:
                 lines = tables.pop().lines()
                 page.whole(lines)
                 page.block(True)
+            elif tag == "table":
+                deeper -= 1
+                page.block(False)
+            elif tag in ("tr", "td", "th", "caption") and deeper:
+                page.block(False)
             elif tag in ("td", "th") and tables:
-                lines = pages.pop().done()
+                lines = [x for x in pages.pop().done() if x.strip()]
                 across, down = _number(node.attrs.get("colspan"), 1, 1000), _number(node.attrs.get("rowspan"), 1, 65534)
-                tables[-1].cell(" ".join(x.strip() for x in lines if x.strip()), across, down)
+                tables[-1].cell(lines, across, down)
             elif tag == "caption" and tables:
                 lines = pages.pop().done()
                 pages[-1].whole(lines)

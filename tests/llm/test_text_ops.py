@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -119,6 +120,47 @@ def test_html(html):
     assert html_text.render(html) == PAGES[html]
 
 
+HOSTILE = [
+    "<!--" * 40_000, "<a" * 40_000, "<a " * 40_000, "<a x='" * 40_000, "<![CDATA[" * 40_000, "<p><button>" + "<b>" * 20_000 + "<div>" * 20_000,
+    "<i><table><td>" + "<b>" * 20_000 + "</i>" * 20_000, "<ul><li>x" * 20_000, "<table><tr><td>" * 5_000, "<script>" * 40_000, "<title>" * 40_000, "&" * 100_000,
+    "<tr>".join(f"<td rowspan={2 + k % 9} colspan=1000>x" for k in range(5_000)).join(("<table>", "</table>")),
+    "<table>" + "".join(f"<tr><td colspan={k}><td>x" for k in range(1000)), "<table><td rowspan=65534 colspan=1000>" * 20_000, "<table><tr>" + "<td>x" * 10_000 + "<tr><td>" + "y" * 100_000,
+]
+
+
+@pytest.mark.parametrize("html", HOSTILE, ids=range(len(HOSTILE)))
+def test_html_time_and_size_follow_the_page(html):
+    began = time.process_time()
+    out = html_text.render(html)
+    assert time.process_time() - began < 5 and len(out) < 100 * len(html) + 100_000
+
+
+def test_html_any_text_is_a_page():
+    rnd = random.Random(5)
+    bits = ["<", ">", "/", "!", "-", "[", "]", "CDATA[", "<!--", "-->", "<p", "<b>", "</", "<![", "<!", "<?", "'", '"', "=", "&", "&#", ";", "x", " ", "\n", "\0", "é", "<td>", "<table>", "<script>", "</script", "<svg>", "<tr>", "<li>", "</p>", "<title>"]
+    for _ in range(3000):
+        html_text.render("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))))
+    for page in PAGES:
+        for k in range(len(page)):
+            html_text.render(page[:k])
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<p>x<![<b>y</b>", "xy"),
+    ("a<!-->b<!--->c<!-- x --!>d<!x>e<?y>f</ z>g", "abcdefg"),
+    ("<table>foo<tr>bar<td>x</table>", "foobar\n\nx"),
+    ("<table><p>foo<tr><td>x</table>", "foo\n\nx"),
+    ("<table><tr><td>" + "w" * 60 + "<td>1<tr><td>v<td>2</table>", "w" * 60 + "  1\nv" + " " * 61 + "2"),
+    ("<table><tr><td><ul><li>a<li>b</ul><td>z</table>", "- a  z\n- b"),
+    ("<table><tr><td><p>a<p>b<td><p>c</table>", "a  c\nb"),
+    ("<title>t</title><textarea>a &lt; <b>c</textarea>", "a < <b>c"),
+    ("1 < 2 <3 a<b", "1 < 2 <3 a"),
+    ("<svg><![CDATA[no]]><text><![CDATA[a<b]]></text></svg>", "a<b"),
+])
+def test_html_tokens(html, want):
+    assert html_text.render(html) == want
+
+
 def test_html_deep_and_broken():
     assert html_text.render("<div>" * 50_000 + "x") == "x"
     assert html_text.render("<b" * 1000) == html_text.render("<b" * 1000)
