@@ -22,8 +22,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     Windows are counted before they are shuffled further, by map-side aggregation, and a very common window's rows are
     spread by skew_join. Only the numbers of covered lines are gathered for a text.
 
-    A null text has no lines and stays null. Null ids come first in the order, as the smallest. Rows that repeat with id
-    and text share their windows: each is judged by the first of them, so they stay or go alike. Empty in, empty out.
+    A null text has no lines and stays null. Null ids come first in the order, as the smallest. Of rows that repeat with id
+    and text one is the first; all windows of the others are repeats, so of those all lines go. Empty in, empty out.
     Other columns are not read.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -43,10 +43,19 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     starts = later.withColumn("new", (F.col("pos") - F.lag("pos", 1, -1000).over(order) > lines).cast("int"))
     runs = starts.withColumn("run", F.sum("new").over(order)).groupBy("id", "th", "run").agg(F.min("pos").alias("a"), (F.max("pos") + lines).alias("z"))
     runs = runs.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("runs"))
-    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "runs")
-    out = rows.join(runs, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    copies = cut(rows.groupBy("id", "th").agg(F.count("*").alias("copies")).where("copies > 1"))
+    known = runs.withColumn("copies", F.lit(None).cast("long")).unionByName(copies.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)))
+    known = known.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.max("runs").alias("runs"), F.max("copies").alias("copies"))
+    both = rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    out = both.where("copies is null").select("id", "text", "runs", F.lit(1).cast("long").alias("copy"))
+    if not copies.isEmpty():
+        one = both.where("copies is not null").groupBy("id", "th").agg(*(F.first(c).alias(c) for c in ("text", "runs", "copies")))
+        out = out.unionByName(one.select("id", "text", "runs", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")))
+
     ls = F.split("text", "\n", -1)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(ls))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.size(ls).alias("z")))
+    out = out.withColumn("runs", F.when((F.col("copy") > 1) & (n >= lines), whole).otherwise(F.col("runs")))
     cuts = F.col("runs")
     gaps = F.filter(
         F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.struct(

@@ -75,5 +75,43 @@ def test_lines(spark, docs):
     assert got[3].n_removed == 6 and got[3].n_runs == 1 and got[2].n_runs == 1 and got[1].n_runs == 0
 
 
+def test_repeated_rows_are_later_occurrences(spark, docs):
+    rows = [(1, "a\nb\nc\nd")] * 2 + [(None, "p\nq\nr")] * 3 + [(2, "x\ny")] * 2 + [(3, None)] * 2 + [(None, "a\nb\nc\nz"), (4, "k\nl\nm\n" * 3000)]
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.kept_text) for r in line_dedup.line_dedup(docs([(d, t, None) for d, t in rows])).collect()), key=str)
+    seen, want = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "") if r[1] != "a\nb\nc\nz" else (False, -1, "")):
+        ls, gone = (t.split("\n") if t is not None else []), set()
+        for p in range(len(ls) - 2):
+            w = tuple(ls[p : p + 3])
+            if w in seen:
+                gone |= {p, p + 1, p + 2}
+            seen.add(w)
+        runs = sum(1 for k in gone if k - 1 not in gone)
+        want.append((d, len(ls), len(gone), runs, None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone)))
+    assert got == sorted(want, key=str)
+
+
+def test_lines_agree_with_the_sql_on_repeats(spark, docs, folder):
+    rows = [(1, "a\nb\nc\nd", None), (1, "a\nb\nc\nd", None), (None, "e\nf\ng", None), (None, "e\nf\ng", None), (2, None, None), (3, "", None), (2, "b\nc\nd\ne\nf\ng", None)]
+    path = folder(documents=docs(rows))
+    # In the SQL nulls come last, here first: compared as if they were the smallest ids.
+    sql = line_dedup.SQL.replace("ORDER BY doc_id, pos", "ORDER BY doc_id NULLS FIRST, pos")
+    assert_same(spark, connect(path), path, line_dedup.op2_line_dedup, sql)
+
+
+def test_each_pass_reads_what_the_one_before_left(spark, docs, monkeypatch):
+    """Rows of a length of their own have no prefix hash, and those of a prefix of their own no full hash."""
+    same, written = "x" * 200, []
+    rows = [(1, "a", None), (2, "bb", None), (3, same + "1", None), (4, same + "2", None), (5, "y" * 201, None), (6, same.upper() + "1", None)]
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: written.append(df) or df)
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(rows)).collect()}
+    lengths, prefixes, left = written
+    assert [r.n for r in lengths.collect()] == [201]
+    assert [(r.n, r["rows"]) for r in prefixes.collect()] == [(201, 3)]
+    left = {r.id: r for r in left.collect()}
+    assert {k for k, r in left.items() if r.ph is not None} == {3, 4, 5, 6} and {k for k, r in left.items() if r.full_hash is not None} == {3, 4, 6}
+    assert {k: (r.keep_id, r.group_size) for k, r in got.items()} == {1: (1, 1), 2: (2, 1), 3: (6, 2), 4: (4, 1), 5: (5, 1), 6: (6, 2)}
+
+
 def test_lines_empty(docs):
     assert line_dedup.line_dedup(docs([])).count() == 0
