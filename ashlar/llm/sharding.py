@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Sizes below this are one tier.
 LEAST_BYTES = 1 << 20
+#: How long merged and unfinished runs are kept for readers and writers that may still need them.
+KEEP_HOURS = 24.0
 
 
 class CommitConflict(RuntimeError):
@@ -27,8 +31,9 @@ class CommitConflict(RuntimeError):
 class ShardStore:
     """A table as shards listed by the newest manifest under `root`. Files are never changed. A reader sees one version whole.
 
-    A manifest is written beside its name and renamed to it, which fails if the version exists, so of two writers one wins
-    and a writer that dies leaves files that no manifest names. Shards are written by Spark's own committer: tasks of lost executors
+    A manifest is written beside its name and then given it, which fails if the version exists: by a rename that doesn't
+    overwrite, or on a local file system by a hard link, as a rename there looks first and renames then. So of two writers one wins
+    and a writer that dies leaves files that no manifest names. A version is committed only if all its files exist. Shards are written by Spark's own committer: tasks of lost executors
     run again and leave no parts.
     """
 
@@ -61,20 +66,43 @@ class ShardStore:
 
     def _commit(self, base: int, schema: str, shards: list[dict]) -> dict:
         new = {"version": base + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
+        there: dict[str, set[str]] = {}
+        for run in {s["path"].split("/")[0] for s in shards}:
+            there[run] = {f.getPath().getName() for f in self.fs.listStatus(self._path(run))} if self.fs.exists(self._path(run)) else set()
+        if gone := [s["path"] for s in shards if s["path"].split("/")[1] not in there[s["path"].split("/")[0]]]:
+            raise CommitConflict(f"files of version {base + 1} are gone: {gone[:3]}")
         draft, final = self._path(f".draft-{uuid.uuid4().hex}"), self._path(f"manifest-{base + 1:010d}.json")
         out = self.fs.create(draft, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
+        try:
+            if not self._publish(draft, final):
+                raise CommitConflict(f"version {base + 1} exists")
+        finally:
+            self.fs.delete(draft, False)
+        return new
+
+    def _publish(self, draft, final) -> bool:
+        """Gives a written file its name, at once and only if there is none of that name."""
+        uri = self.fs.makeQualified(final).toUri()
+        if uri.getScheme() == "file":
+            jvm = self.spark._jvm
+            try:
+                jvm.java.nio.file.Files.createLink(jvm.java.io.File(uri.getPath()).toPath(), jvm.java.io.File(self.fs.makeQualified(draft).toUri().getPath()).toPath())
+                return True
+            except Py4JJavaError as e:
+                if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                    return False
+                raise
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
         try:
             files.rename(self.fs.makeQualified(draft), self.fs.makeQualified(final), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Exception as e:
-            self.fs.delete(draft, False)
+            return True
+        except Py4JJavaError:
             if self.fs.exists(final):
-                raise CommitConflict(f"version {base + 1} exists") from e
+                return False
             raise
-        return new
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / LEAST_BYTES, self.fan_in)))
@@ -127,10 +155,17 @@ class ShardStore:
             self._commit(now["version"], now["schema"], [s for s in now["shards"] if s["path"] not in gone] + merged)
         return self.manifest()
 
-    def vacuum(self) -> int:
-        """Deletes runs that the newest manifest doesn't name; versions before it can't be read afterwards."""
-        live = {s["path"].split("/")[0] for s in self.manifest()["shards"]}
-        gone = [s.getPath() for s in self.fs.listStatus(self._path()) if s.getPath().getName().startswith("run-") and s.getPath().getName() not in live]
+    def vacuum(self, keep_hours: float = KEEP_HOURS) -> int:
+        """Deletes runs that no version of the last keep_hours names, the newest version's apart, and that were written before that too:
+        so neither a writer that hasn't committed yet nor a reader of a version that was the newest keep_hours ago loses a file.
+        Older versions can't be read afterwards. Returns how many runs went."""
+        since = time.time() * 1000 - keep_hours * 3_600_000
+        listed = list(self.fs.listStatus(self._path()))
+        manifests = sorted((int(n[9:-5]), s.getModificationTime()) for s in listed if (n := s.getPath().getName()).startswith("manifest-") and n.endswith(".json"))
+        # A version was the newest until the next one came.
+        named = [v for k, (v, _) in enumerate(manifests) if k == len(manifests) - 1 or manifests[k + 1][1] > since]
+        live = {s["path"].split("/")[0] for v in named for s in self.manifest(v)["shards"]}
+        gone = [s.getPath() for s in listed if (n := s.getPath().getName()).startswith("run-") and n not in live and s.getModificationTime() <= since]
         for p in gone:
             self.fs.delete(p, True)
         return len(gone)
@@ -150,11 +185,12 @@ class ShardStore:
         df = self.spark.read.schema(schema).parquet(*(self._path(s["path"]).toString() for s in m["shards"]))
         df = df.withColumn(shard_col, F.element_at(F.split(F.input_file_name(), "/"), -1))
         tiers = self.spark.createDataFrame([(s["path"].split("/")[1], s["tier"]) for s in m["shards"]], f"`{shard_col}` string, `{tier_col}` int")
-        return df.join(F.broadcast(tiers), shard_col, "left").select(*schema.names, shard_col, tier_col) if len(m["shards"]) <= 100_000 else df.join(tiers, shard_col, "left").select(*schema.names, shard_col, tier_col)
+        return df.join(tiers, shard_col, "left").select(*schema.names, shard_col, tier_col)  # a row for each file: the planner knows its size
 
 
 def shard(df: DataFrame, root: str | None = None, **options) -> ShardStore:
-    """Appends df to the store at root (a new one in the shared folder by default), compacts it and deletes what was merged.
+    """Appends df to the store at root (a new one in the shared folder by default), compacts it and deletes what was merged:
+    at once in a store of its own, which nobody else knows, and else what is past KEEP_HOURS.
     Rows are kept as they are, nulls, repeats and very long texts included; each is in one live shard."""
     fresh = root is None
     store = ShardStore(df.sparkSession, root or shared_dir(df.sparkSession), **options)
@@ -162,7 +198,7 @@ def shard(df: DataFrame, root: str | None = None, **options) -> ShardStore:
         store.fs.deleteOnExit(store._path())
     store.append(df)
     store.compact()
-    store.vacuum()
+    store.vacuum(0 if fresh else KEEP_HOURS)
     return store
 
 

@@ -31,7 +31,7 @@ def test_append_and_compact(spark, docs, store):
     assert len(after["shards"]) < 4 and sum(s["rows"] for s in after["shards"]) == 420 and max(s["bytes"] for s in after["shards"]) < 2 * 40_000
     assert sorted(map(tuple, store.read().drop("shard", "tier").collect())) == want
     assert sorted(map(tuple, store.read(version=7).drop("shard", "tier").collect())) == want
-    assert store.vacuum() == 7 and sorted(map(tuple, store.read().drop("shard", "tier").collect())) == want
+    assert store.vacuum() == 0 and store.vacuum(0) == 7 and sorted(map(tuple, store.read().drop("shard", "tier").collect())) == want
 
 
 def test_large_shards_are_left_alone(docs, store):
@@ -53,6 +53,62 @@ def test_two_writers(docs, store):
     assert store.version() == 2 and store.read().count() == 10
 
 
+def test_vacuum_spares_a_writer_that_has_not_committed(docs, store):
+    store.append(arrival(docs, 5, 1))
+    now = store.manifest()
+    late = store._write(arrival(docs, 7, 2))
+    sharding.shard(arrival(docs, 0, 3), store.root)
+    now = store.manifest()
+    store._commit(now["version"], now["schema"], now["shards"] + late)
+    assert store.read().count() == 12
+
+
+def test_a_version_whose_files_are_gone_is_not_committed(docs, store):
+    store.append(arrival(docs, 5, 1))
+    now, late = store.manifest(), store._write(arrival(docs, 7, 2))
+    assert store.vacuum(0) == 1
+    with pytest.raises(sharding.CommitConflict):
+        store._commit(now["version"], now["schema"], now["shards"] + late)
+    assert store.version() == 1 and store.read().count() == 5
+
+
+def test_many_threads_commit_one_version(docs, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store.append(arrival(docs, 5, 1))
+    now = store.manifest()
+
+    def commit(_):
+        try:
+            return store._commit(now["version"], now["schema"], now["shards"])["version"]
+        except sharding.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        assert [v for v in pool.map(commit, range(16)) if v] == [2]
+    assert not [s for s in store.fs.listStatus(store._path()) if "draft" in s.getPath().getName()]
+
+
+def test_query_against_the_files(spark, docs, folder):
+    """op3 read with another reader: each row once, in the file it names, whose size gives the tier."""
+    import math
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    rows = [(k, None if k % 7 == 0 else f"text {k} " * (k % 50), "s") for k in range(900)]
+    path = folder(documents=docs(rows).repartition(9))
+    out = sharding.op3_sharding(spark, path)
+    got = out.collect()
+    files = {pathlib.Path(f.removeprefix("file://").removeprefix("file:")) for f in out.inputFiles()}
+    held = {f.name: {(r["doc_id"], r["text"]) for r in pq.read_table(f).to_pylist()} for f in files if f.name in {r.shard for r in got}}
+    assert sorted((r.doc_id, r.shard) for r in got) == sorted((d, name) for name, rs in held.items() for d, _ in rs) and len(got) == 900
+    texts = dict((d, t) for d, t, _ in rows)
+    assert all(r.text_sha256 == (None if texts[r.doc_id] is None else hashlib.sha256(texts[r.doc_id].encode()).hexdigest()) for r in got)
+    size = {f.name: f.stat().st_size for f in files}
+    assert all(r.tier == max(0, math.floor(math.log(size[r.shard] / (1 << 20), 4))) for r in got) and len({r.version for r in got}) == 1
+
+
 def test_odd_tables(spark, docs, tmp_path):
     df = docs([(1, None, None), (None, "", "s"), (1, "x" * 200_000, "s"), (2, "a", "s"), (2, "a", "s")]).withColumn("shard", F.lit("mine")).withColumn("tier", F.lit(9))
     out = sharding.shard(df).read()
