@@ -15,18 +15,22 @@ from ashlar.llm.common import table
 
 #: Lengths of the byte n-grams that are blended, each with the same weight.
 ORDERS = (1, 2, 3, 4)
-#: The training sample: rows in all, and of a language, at most. Longer texts than SAMPLE_BYTES are not drawn.
+#: The training sample: rows in all (but LEAST_PER_LANG of each language), and of a language, at most. Longer texts than SAMPLE_BYTES are not drawn.
 SAMPLE_ROWS = 4000
 SAMPLE_PER_LANG = 300
 SAMPLE_BYTES = 1 << 18
-#: Languages at most: more are an error, so that none is left out unseen.
-MOST_LANGS = SAMPLE_ROWS // 8
+#: Rows of a language that are drawn however many languages there are, so the sample grows with their number alone.
+LEAST_PER_LANG = 8
+#: The ridge regression's matrices are (LEAST_PER_LANG x languages) x languages in the driver, 256 MB for so many; more are an error, so that none is left out unseen.
+MOST_LANGS = 2000
 #: Landmarks, in all; one a language if there are more languages.
 LANDMARKS = 240
 RIDGE = 1e-2
 UNKNOWN = "und"
 _PIECE = 1 << 16
 _BATCH = 128
+#: Products held at a time.
+_CELLS = 1 << 22
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -60,15 +64,28 @@ def _weights(codes: np.ndarray) -> np.ndarray:
     return (1 / np.sqrt(len(ORDERS) * np.maximum(size, 1)))[order].astype(np.float32)
 
 
-def matrix(rows: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    """Feature vectors over the vocabulary, a row each. What is outside still counts for a row's length."""
-    out = np.zeros((len(rows), len(vocabulary)), np.float32)
-    if not len(vocabulary):
-        return out
-    for x, codes in zip(out, rows):
-        at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
-        known = vocabulary[at] == codes
-        x[at[known]] = _weights(codes)[known]
+def sparse(rows: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature vectors over the vocabulary as a sparse matrix: columns and values of all entries, and where each row's start, with the end.
+    What is outside the vocabulary still counts for a row's length."""
+    columns, values, edges = [np.empty(0, np.int64)], [np.empty(0, np.float32)], [0]
+    for codes in rows:
+        if len(vocabulary) and len(codes):
+            at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+            known = vocabulary[at] == codes
+            columns.append(at[known])
+            values.append(_weights(codes)[known])
+        edges.append(edges[-1] + (len(columns[-1]) if len(vocabulary) and len(codes) else 0))
+    return np.concatenate(columns), np.concatenate(values), np.array(edges)
+
+
+def product(rows: list[np.ndarray], vocabulary: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The sparse matrix of the rows times a dense one, in blocks of columns that bound the memory: entries times dense rows, summed by row."""
+    columns, values, edges = sparse(rows, vocabulary)
+    out = np.zeros((len(rows), dense.shape[1]), np.float32)
+    full = np.flatnonzero(np.diff(edges))
+    width = max(1, _CELLS // max(1, len(columns)))
+    for k in range(0, dense.shape[1], width) if len(full) else ():
+        out[full, k : k + width] = np.add.reduceat(dense[columns, k : k + width] * values[:, None], edges[full], axis=0)
     return out
 
 
@@ -82,7 +99,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Ridge scores (texts x langs), about 1 for the language and -1 for others. The kernel against the landmarks times
         their coefficients is a matrix product of three; the last two are multiplied once."""
-        parts = [matrix([grams(t) for t in texts[k : k + _BATCH]], self.vocabulary) @ self.weights for k in range(0, len(texts), _BATCH)]
+        parts = [product([grams(t) for t in texts[k : k + _BATCH]], self.vocabulary, self.weights) for k in range(0, len(texts), _BATCH)]
         return np.concatenate(parts) + self.bias if parts else np.zeros((0, len(self.langs)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -105,9 +122,11 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     turns = sorted((r, n, k) for n, ks in by.items() for r, k in enumerate(ks))
     marks = [k for _, _, k in turns[: max(landmarks, len(names))]]
     vocabulary = np.unique(np.concatenate([rows[k] for k in marks]))
-    lm = matrix([rows[k] for k in marks], vocabulary)
-    kernel = np.concatenate([matrix(rows[k : k + _BATCH], vocabulary) @ lm.T for k in range(0, len(rows), _BATCH)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((lm @ lm.T).astype(np.float64))
+    columns, entries, edges = sparse([rows[k] for k in marks], vocabulary)
+    lm = np.zeros((len(vocabulary), len(marks)), np.float32)
+    lm[columns, np.repeat(np.arange(len(marks)), np.diff(edges))] = entries
+    kernel = np.concatenate([product(rows[k : k + _BATCH], vocabulary, lm) for k in range(0, len(rows), _BATCH)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((lm.T @ lm).astype(np.float64))
     good = values > 1e-6 * max(values.max(), 1e-12)
     half = vectors[:, good] / np.sqrt(values[good])
     z = np.column_stack([kernel @ half, np.ones(len(rows))])
@@ -115,23 +134,23 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.linalg.solve(z.T @ z + penalty, z.T @ y)
-    return Model(names, vocabulary, (lm.T @ (half @ w[:-1])).astype(np.float32), w[-1])
+    return Model(names, vocabulary, (lm @ (half @ w[:-1])).astype(np.float32), w[-1])
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", most_langs: int = MOST_LANGS) -> Model:
-    """Fits on a sample of labelled rows: at most SAMPLE_PER_LANG of a language and SAMPLE_ROWS in all, drawn by a hash of
+    """Fits on a sample of labelled rows: at most SAMPLE_PER_LANG of a language and SAMPLE_ROWS in all, but LEAST_PER_LANG of each, drawn by a hash of
     order_col, texts up to SAMPLE_BYTES, whole. Rows without a language or a letter teach nothing. n-grams are taken by the
     executors; the driver gets those of the sample. More than most_langs languages are a ValueError."""
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.lit("sample")).alias("h"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
+    counts = rows.groupBy("lang").count().limit(most_langs + 1).collect()
     if len(counts) > most_langs:
         raise ValueError(f"over {most_langs} languages are labelled; raise most_langs")
     if not counts:
         return fit([], [])
-    each = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts)))
-    share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * each / r["count"]))))), F.col("lang"))
-    drawn = rows.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003)
+    each = max(LEAST_PER_LANG, min(SAMPLE_PER_LANG, SAMPLE_ROWS // len(counts)))
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["count"] + 4 * each**0.5 / r["count"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)  # at most most_langs rows
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
