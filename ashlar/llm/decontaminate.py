@@ -1,23 +1,26 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items; each text is scanned once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items; each text is scanned once.
+
+The automaton's letters are words: a window of ten words takes ten states at most, however long the words are.
+"""
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, table
+from ashlar.llm.common import cut, small_batches, table
+from ashlar.tables import discard
 
 WINDOW = 10
-#: Bytes of normalised benchmark windows in one automaton. A larger benchmark is scanned for in several passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton, which takes a worker about 100 times as much. A larger benchmark is dealt to several, and the texts scanned
+#: once for each, one after the other.
+BLOCK_BYTES = 2 << 20
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words are ASCII letters and digits and all bytes from 0x80; A-Z becomes a-z; every other byte separates.
@@ -28,165 +31,137 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_NORMAL).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
+def windows_of(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
     if not words:
         return set()
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
-
-
-def automaton_of(items: list[tuple[str, str | None]], size: int = WINDOW) -> ahocorasick.Automaton:
-    """Maps each window, a blank on either side, to (number of words, indexes of the items that hold it)."""
-    held: dict[bytes, list[int]] = {}
-    for k, (_, text) in enumerate(items):
-        for w in windows_of(words_of(text), size):
-            held.setdefault(w, []).append(k)
-    auto = ahocorasick.Automaton()
-    for w, ks in held.items():
-        auto.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(ks)))
-    if held:
-        auto.make_automaton()
-    return auto
-
-
-def scan(auto: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Number of words, merged runs [first, last) of hit words, and the items found, in one pass over the text.
-
-    The automaton runs over the words joined by blanks; a match ends on the blank after its last word, so the number of
-    blanks up to there tells which word that is.
-    """
-    words = words_of(text)
-    if not words or not len(auto):
-        return len(words), [], set()
-    flat = b" " + b" ".join(words) + b" "
-    hits = list(auto.iter(flat.decode("latin-1")))
-    if not hits:
-        return len(words), [], set()
-    blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20)
-    last = np.searchsorted(blanks, np.fromiter((e for e, _ in hits), np.int64, len(hits)))
-    spans = sorted((int(e) - v[0], int(e)) for e, (_, v) in zip(last, hits))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+class Windows:
+    """All windows of items: which words they use, and the automaton, which maps each to (number of words, indexes of the items that hold it)."""
+
+    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+        self.names = [name for name, _ in items]
+        self.letters: dict[bytes, int] = {}
+        held: dict[tuple[int, ...], list[int]] = {}
+        for k, (_, text) in enumerate(items):
+            for w in windows_of(words_of(text), size):
+                held.setdefault(tuple(self.letters.setdefault(x, len(self.letters) + 1) for x in w), []).append(k)
+        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, ks in held.items():
+            self.auto.add_word(w, (len(w), tuple(ks)))
+        if held:
+            self.auto.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """Number of words, merged runs [first, last) of hit words, and the items found, in one pass over the text. A match ends at
+        a word's number. Words that no window uses are one letter of their own."""
+        words = words_of(text)
+        if not words or not len(self.auto):
+            return len(words), [], set()
+        hits = list(self.auto.iter(tuple(map(self.letters.get, words, repeat(0)))))
+        return len(words), merged((e + 1 - v[0], e + 1) for e, v in hits), {k for _, v in hits for k in v[1]}
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Spans [first, last) joined where they overlap or touch."""
     runs: list[tuple[int, int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
         else:
             runs.append((a, b))
-    return len(words), runs, {k for _, v in hits for k in v[1]}
+    return runs
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks, each small enough for one automaton. Its size is asked for first, never assumed."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark in blocks, each small enough for one automaton; one at a time in the driver. Its size is asked for first, never assumed."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size * WINDOW // block_bytes))
-    if n == 1:
-        return [sorted(map(tuple, rows.collect()), key=lambda r: (r[0] or "", r[1]))]
-    dealt = cut(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition("block"))
-    return [sorted(map(tuple, dealt.where(F.col("block") == k).select("id", "text").collect()), key=lambda r: (r[0] or "", r[1])) for k in range(n)]
-
-
-def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """uid, id_col, n_words, n_hit, runs (array of hit word runs [first, last)), items (sorted distinct item ids as strings).
+    n = max(1, -(-size // block_bytes))
+    dealt = rows if n == 1 else cut(rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n))).repartition("block"))
+    for k in range(n):
+        block = dealt if n == 1 else dealt.where(F.col("block") == k).select("id", "text")
+        yield sorted(map(tuple, block.collect()), key=lambda r: (r[0] or "", r[1]))
+
+
+_HITS = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_HITS_SQL = "struct<n_words:long,runs:array<struct<first:long,last:long>>,items:array<string>>"
+
+
+def scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, hits_col: str = "__hits") -> DataFrame:
+    """df with a struct of n_words, runs (of hit words) and items (sorted distinct item ids as strings) for each row. One task, one automaton: with several blocks, each scan's rows
+    are written to the shared folder before the next, which adds to what was found."""
+    at, out, before = df.columns.index(text_col), df, None
+    names, n = df.columns, len(df.columns)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{hits_col}` {_HITS_SQL}"])
+    with small_batches(df.sparkSession):
+        for items in blocks_of(benchmark, item_col, item_text, block_bytes):
+            sent = df.sparkSession.sparkContext.broadcast(items)  # at most block_bytes and one item
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent, width=len(out.columns)) -> Iterator[pa.RecordBatch]:
+                windows = Windows(sent.value, size)
+                for b in batches:
+                    found = [windows.scan(t) for t in b.column(at).to_pylist()]
+                    old = b.column(width - 1).to_pylist() if width > n else repeat({"runs": [], "items": []})
+                    rows = []
+                    for (n_words, runs, ks), o in zip(found, old):
+                        runs = merged([*runs, *((r["first"], r["last"]) for r in o["runs"])])
+                        rows.append({"n_words": n_words, "runs": [{"first": a, "last": z} for a, z in runs], "items": sorted({windows.names[k] for k in ks} - {None} | set(o["items"]))})
+                    yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(rows, _HITS)], names=[*names, hits_col])
+
+            if before is not None:
+                out = cut(out)
+                if before.columns != df.columns:
+                    discard(before)
+            before, out = out, out.mapInArrow(run, schema)
+    return out
+
+
+def find_hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id_col, n_words, n_hit, runs (array of hit word runs [first, last)), items (sorted distinct item ids as strings).
 
     One row for each input row. A null text has no words. An item without words never occurs; a null item id is left out of
     `items` but its text counts as found. An empty benchmark finds nothing; an empty table gives an empty result.
-    The benchmark is broadcast in blocks of at most block_bytes of windows (one block in the usual case): with more, rows
-    are scanned once a block and merged by row.
+    The benchmark is broadcast in blocks of about block_bytes of text (one block in the usual case); with more, the texts are scanned once for each.
     Other columns are not read.
     """
-    blocks = blocks_of(benchmark, item_col, item_text, block_bytes)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = []
-    for items in blocks:
-        sent = df.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            auto = automaton_of(sent.value, size)
-            names = [i for i, _ in sent.value]
-            for b in batches:
-                found = [scan(auto, t) for t in b["text"]]
-                yield pd.DataFrame({
-                    "id": b["id"].astype("Int64"),
-                    "uid": [hashlib.sha256((t or "").encode()).digest()[:12] for t in b["text"]] if len(blocks) > 1 else None,
-                    "n_words": [f[0] for f in found],
-                    "runs": [[{"first": a, "last": z} for a, z in f[1]] for f in found],
-                    "items": [sorted({names[k] for k in f[2]} - {None}) for f in found],
-                })
-
-        parts.append(rows.mapInPandas(run, "id long, uid binary, n_words long, runs array<struct<first:long,last:long>>, items array<string>"))
-    out = parts[0]
-    if len(parts) > 1:
-        out = _merged(parts)
-    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "runs", "items")
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Rows scanned by several automata: one row again for each input row. Rows equal in id and text have equal hits; as many come back."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    g = out.groupBy("id", "uid", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("rows"))
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fixed = []
-            for rs in b["runs"]:
-                runs: list[list[int]] = []
-                for a, z in sorted((int(r["first"]), int(r["last"])) for r in rs):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(z, runs[-1][1])
-                    else:
-                        runs.append([a, z])
-                fixed.append([{"first": a, "last": z} for a, z in runs])
-            yield b.assign(runs=fixed)
-
-    g = g.mapInPandas(join, g.schema)
-    return g.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("rows") / len(parts)).cast("int")))).drop("k", "rows")
-
-
-def _automata(df: DataFrame, benchmark: DataFrame, options: dict) -> list:
-    blocks = blocks_of(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text"), options.get("block_bytes", BLOCK_BYTES))
-    return [df.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    out = scanned(rows, benchmark, "text", **options)
+    n_hit = F.aggregate("__hits.runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
+    return out.select(F.col("id").alias(id_col), "__hits.n_words", n_hit.alias("n_hit"), "__hits.runs", "__hits.items")
 
 
 def remove_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """df with every run of hit words cut out of text_col, all other columns and characters as they were: word numbers are
     mapped back to offsets in the original text. Rows without a hit pass unchanged; a text that was all hit words keeps what
     stood around them. Rows keep all their columns, whatever they are called."""
-    size, sent, at = options.get("size", WINDOW), _automata(df, benchmark, options), df.columns.index(text_col)
+    at, n = df.columns.index(text_col), len(df.columns)
 
     def run(batches):
-        autos = [automaton_of(s.value, size) for s in sent]
         for b in batches:
             column = b.column(at)
-            cleaned = [_without(autos, t) for t in column.to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(cleaned, column.type))
+            cleaned = [_without([(r["first"], r["last"]) for r in h["runs"]], t) for t, h in zip(column.to_pylist(), b.column(n).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(cleaned, column.type), *b.columns[at + 1 : n]], schema=pa.schema(list(b.schema)[:n]))
 
-    return df.mapInArrow(run, df.schema)
+    return scanned(df, benchmark, text_col, **options).mapInArrow(run, df.schema)
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """df without the rows whose text holds a whole window of the benchmark. Null and wordless texts stay. All columns are kept."""
-    size, sent, at = options.get("size", WINDOW), _automata(df, benchmark, options), df.columns.index(text_col)
-
-    def run(batches):
-        autos = [automaton_of(s.value, size) for s in sent]
-        for b in batches:
-            yield b.filter(pa.array([not any(scan(a, t)[1] for a in autos) for t in b.column(at).to_pylist()], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    out = scanned(df, benchmark, text_col, **options)
+    return out.where(F.size("__hits.runs") == 0).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def _without(autos: list, text: str | None) -> str | None:
-    runs = sorted(r for a in autos for r in scan(a, text)[1])
+def _without(runs: list[tuple[int, int]], text: str | None) -> str | None:
     if not runs:
         return text
     raw = text.encode()
     places = [m.span() for m in _WORDS.finditer(raw)]
     kept, at = [], 0
     for a, z in runs:
-        kept.append(raw[at : max(at, places[a][0])])
-        at = max(at, places[z - 1][1])
+        kept.append(raw[at : places[a][0]])
+        at = places[z - 1][1]
     return b"".join([*kept, raw[at:]]).decode()
 
 
