@@ -77,19 +77,32 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def dealt(quota: list[int], shares: list[int], seed: int) -> np.ndarray:
-    """Multinomial counts (shares x sources), drawn by what is left of each source, so that rows and columns come out exactly."""
-    rng, left, out = np.random.default_rng(seed), np.array(quota, np.int64), np.zeros((len(shares), len(quota)), np.int64)
-    for k, size in enumerate(shares):
-        want = min(int(size), int(left.sum()))
-        while want:
-            got = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            out[k] += got
-            left = left - got
-            want -= int(got.sum())
+def drawn(left: np.ndarray, want: int, seed) -> np.ndarray:
+    """Multinomial counts of `want` slots in all, by what is left of each source and never above it."""
+    rng, out, left = np.random.default_rng(seed), np.zeros(len(left), np.int64), left.copy()
+    want = min(int(want), int(left.sum()))
+    while want:
+        got = np.minimum(rng.multinomial(want, left / left.sum()), left)
+        out += got
+        left -= got
+        want -= int(got.sum())
     return out
 
 
+def group_counts(quota: np.ndarray, sizes: list[int], g: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of group g of those with these sizes: each source's count, and how many slots of it the groups before have. Halves of the groups are drawn
+    from each other down to g, each split from its own seed, so that every task finds the same counts and holds a row of them."""
+    counts, before, a, z = quota, np.zeros(len(quota), np.int64), 0, len(sizes)
+    while z - a > 1:
+        m = (a + z) // 2
+        first = drawn(counts, sum(sizes[a:m]), [seed, a, z])
+        if g < m:
+            counts, z = first, m
+        else:
+            counts, before, a = counts - first, before + first, m
+    return counts, before
+
+
 @dataclass(frozen=True)
 class Source:
     """A source's place in the mix. The words it gives are passes over all its blocks, each in another order; the last
@@ -177,31 +190,32 @@ def placed(sized: DataFrame) -> DataFrame:
 
 def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """shard, slot, source (its number), epoch, block, take: the mix itself. Counts of each source are drawn for groups of
-    shards by the driver (at most 1024 draws), and for the shards of a group by the group's task; both from fixed seeds."""
-    quota = [s.slots for s in sources]
-    shards = -(-sum(quota) // shard_slots)
+    shards, at most 1024, and then for each shard of a group, by the group's task, from fixed seeds. A task holds a row of counts."""
+    quota = np.array([s.slots for s in sources], np.int64)
+    total = int(quota.sum())
+    shards = -(-total // shard_slots)
     groups = min(1024, shards)
-    each = [len(range(g, shards, groups)) * shard_slots for g in range(groups)]
-    if each:
-        each[(shards - 1) % groups] -= shards * shard_slots - sum(quota)
-    counts = dealt(quota, each, seed)
-    starts = np.cumsum(counts, axis=0) - counts
+    sizes = [len(range(g, shards, groups)) * shard_slots for g in range(groups)]
+    if sizes:
+        sizes[(shards - 1) % groups] -= shards * shard_slots - total
+    sent = spark.sparkContext.broadcast((sources, quota, sizes))  # a row for each source, and a number for each group
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sources, quota, sizes = sent.value
         for b in batches:
             for g in b["id"]:
-                total, n = int(counts[g].sum()), len(range(g, shards, groups))
-                inner = dealt(counts[g].tolist(), [min(shard_slots, total - k * shard_slots) for k in range(n)], seed + 1 + int(g))
-                first = starts[g] + np.cumsum(inner, axis=0) - inner
-                for k in range(n):
-                    parts, used = [], np.flatnonzero(inner[k])
-                    for s in used:
-                        epoch, block, take = sources[s].picked(int(first[k, s]), int(first[k, s] + inner[k, s]))
+                left, first = group_counts(quota, sizes, int(g), seed)
+                for k, shard in enumerate(range(int(g), shards, groups)):
+                    inner = drawn(left, shard_slots, [seed + 1, int(g), k])
+                    parts = []
+                    for s in np.flatnonzero(inner):
+                        epoch, block, take = sources[s].picked(int(first[s]), int(first[s] + inner[s]))
                         parts.append(pd.DataFrame({"source": np.int32(s), "epoch": epoch, "block": block, "take": take}))
                     out = pd.concat(parts, ignore_index=True)
                     order = np.random.default_rng([seed, int(g), k]).permutation(len(out))
                     out = out.iloc[order].reset_index(drop=True)
-                    yield out.assign(shard=int(g) + k * groups, slot=np.arange(len(out)))[["shard", "slot", "source", "epoch", "block", "take"]]
+                    yield out.assign(shard=shard, slot=np.arange(len(out)))[["shard", "slot", "source", "epoch", "block", "take"]]
+                    left, first = left - inner, first + inner
 
     ids = spark.range(0, groups, 1, max(1, min(groups, 1024)))
     return ids.mapInPandas(draw, "shard long, slot long, source int, epoch long, block long, take long")

@@ -35,9 +35,24 @@ def test_permutation(n):
     assert n < 50 or (y != x).sum() > n // 2
 
 
-def test_dealt_sums():
-    out = mixing.dealt([100, 7, 0, 300], [50] * 8 + [7], 3)
-    assert out.sum(axis=0).tolist() == [100, 7, 0, 300] and out.sum(axis=1).tolist() == [50] * 8 + [7]
+def test_group_counts_add_up():
+    quota, sizes = np.array([100, 7, 0, 300]), [50] * 8 + [7]
+    got = [mixing.group_counts(quota, sizes, g, 3) for g in range(9)]
+    assert [int(c.sum()) for c, _ in got] == sizes
+    before = np.zeros(4, np.int64)
+    for counts, first in got:
+        assert (first == before).all() and (counts >= 0).all()
+        before = before + counts
+    assert before.tolist() == quota.tolist()
+
+
+def test_many_sources(spark, docs):
+    """20,000 sources: the mix gives each its target, and no task holds more than a row of counts."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat(concat('w', id % 97, ' '), 1 + CAST(id % 5 AS int)) AS text", "'en' AS lang", "concat('s', id) AS source", "1L AS n_chars")
+    pieces, rows, sources = mixing.mix(df)
+    got = mixing.taken(pieces, rows).groupBy("source").sum("sum").collect()
+    want = {s.name: s.words for s in sources}
+    assert len(want) == 20_000 and {r[0]: r[1] for r in got} == want
 
 
 @pytest.mark.parametrize(("words", "target"), [(1000, 1500.0), (1000, 2000.0), (1000, 1.0), (1000, 999.6), (7, 9.0), (64, 128.0), (65, 97.0), (1, 2.0), (130, 131.0)])
