@@ -1,16 +1,18 @@
 """Suffix-array dedup: suffixes are ordered only through THRESHOLD bytes, by most-significant-digit radix passes.
 
 The string of THRESHOLD bytes at a place is its suffix as far as it is ever looked at; equal ones are the repeated windows.
-Comparing all places with all would shuffle a key for every byte, so each window is filed under one digit of its own: the
-DIGIT bytes in it whose hash is least (the first such). Equal windows have equal digits at equal offsets, so:
-
-1. First pass, by the digit's hash: a bucket holds a range of hashes. A digit that only one document has is a finished
-   group; its windows repeat nowhere. Documents are told which of their digits are left.
-2. Second pass, to full depth: the windows of the digits that are left, packed as the bytes around the digit, go to the
-   digit's bucket and are grouped by all their bytes. A window whose group has a smaller document is covered.
+To be ordered, suffixes that may be equal must meet. Sending every one of them with its bytes would shuffle THRESHOLD times the text, so
+they are dealt out in runs: each is filed under one key of its own, the DIGIT bytes in it whose hash is least (the first such), and neighbours
+that share their key travel together. Equal windows have equal keys at equal offsets, so:
+
+1. Dealing out, by the key's hash: a bucket holds a range of hashes. A key that only one document has ends here;
+   its windows repeat nowhere. Documents are told which of their keys are left.
+2. The windows of the keys that are left, packed as the bytes around the key, go to the key's bucket, and are ordered there by radix passes,
+   the first bytes first, down to the last: a pass parts each group by its next digit, and groups of one document go no further. A window
+   whose last group has a smaller document is covered.
 3. Covered runs are merged for each document and cut out.
 
-Before either shuffle, each chunk of text (about CHUNK bytes of many documents) is grouped by itself: a digit or a
+Before either shuffle, each chunk of text (about CHUNK bytes of many documents) is grouped by itself: a key or a
 packed window that several of its documents share is sent on once, however many they are.
 """
 
@@ -29,8 +31,10 @@ from ashlar.llm.common import cut, small_batches, table
 
 THRESHOLD = 50
 DIGIT = 16
+#: Bytes that one pass orders by.
+PASS = 8
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
-CHUNK = 1 << 18
+CHUNK = 1 << 20
 #: Bytes of text to a bucket of digits.
 BUCKET_BYTES = 16 << 20
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
@@ -38,8 +42,6 @@ _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
 _PLACE = np.uint64((1 << 24) - 1)
 _MANY = np.uint16(0xFFFF)
 _MULT = 0x9E3779B97F4A7C15
-_BACK = pow(_MULT, -1, 1 << 64)
-_TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _hashes(raw: np.ndarray) -> np.ndarray:
@@ -288,38 +290,44 @@ def _told(doc, th, a, z, schema, buckets) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[cuts] % buckets), pa.array(doc[cuts]), pa.array(th[cuts]), _grouped(spans, cuts), none, none, none], schema=schema)
 
 
+def repeated_windows(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which rows of `window` (THRESHOLD bytes each) also belong to a smaller document. Rows are ordered by most-significant-digit passes over
+    PASS bytes each: a pass orders the rows of every group by the next digit and parts the group where it changes, and only groups
+    of two documents or more go on. What is left in one group after the last byte is equal; no other rows are."""
+    hit = np.zeros(len(doc), bool)
+    rows, group = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+    for at in range(0, THRESHOLD, PASS):
+        part = window[rows, at : at + PASS]
+        if part.shape[1] < PASS:
+            part = np.concatenate([part, np.zeros((len(part), PASS - part.shape[1]), np.uint8)], axis=1)
+        digit = np.ascontiguousarray(part).view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((digit, group)) if at else np.argsort(digit, kind="stable")
+        rows, digit, group = rows[order], digit[order], group[order]
+        starts = _starts(digit, group)
+        sizes = np.diff(np.r_[starts, len(rows)])
+        docs = doc[rows]
+        low = np.minimum.reduceat(docs, starts)
+        on = np.repeat(low != np.maximum.reduceat(docs, starts), sizes)
+        low = np.repeat(low, sizes)[on]
+        rows, group = rows[on], np.repeat(np.arange(len(starts)), sizes)[on]
+        if not len(rows):
+            return hit
+    hit[rows[doc[rows] > low]] = True
+    return hit
+
+
 def covered_offsets(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of packed windows (bytes around a digit, least and greatest offset in use) of documents: the least and greatest offset at
     which a window equals one of a smaller document; greatest below least if none. Windows of one digit overlap, so what is
-    covered lies between. Grouped by a rolling hash of all THRESHOLD bytes, every group then compared byte by byte."""
+    covered lies between. Windows at each offset are ordered by themselves, as equal windows have their digit at the same one."""
     n = len(whole)
     around, o1, o2 = whole[:, :_WIDTH], whole[:, _WIDTH].astype(np.int64), whole[:, _WIDTH + 1].astype(np.int64)
     least, most = np.full(n, 255), np.full(n, -1)
-    mult, back = np.uint64(_MULT), np.uint64(_BACK)
-    top = np.uint64(pow(_MULT, THRESHOLD - 1, 1 << 64))
-    h = np.zeros(n, np.uint64)
-    for j in range(THRESHOLD):
-        h = h * mult + _TABLE[around[:, _SPREAD + j]]
     for o in range(_SPREAD + 1):
-        if o:  # one byte to the left
-            h = (h - _TABLE[around[:, _WIDTH - o]]) * back + _TABLE[around[:, _SPREAD - o]] * top
         use = np.flatnonzero((o1 <= o) & (o <= o2))
         if len(use) < 2:
             continue
-        order = use[np.argsort(h[use], kind="stable")]
-        key = h[order]
-        again = np.flatnonzero(key[1:] == key[:-1])
-        if not len(again):
-            continue
-        window = slice(_SPREAD - o, _WIDTH - o)
-        if (around[order[again], window] != around[order[again + 1], window]).any():
-            exact = np.ascontiguousarray(around[use, window]).view(f"V{THRESHOLD}").ravel()
-            key = np.unique(exact, return_inverse=True)[1]
-            by = np.argsort(key, kind="stable")
-            order, key = use[by], key[by]
-        at = _starts(key)
-        low = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.r_[at, len(order)]))
-        hit = order[doc[order] > low]
+        hit = use[repeated_windows(around[use, _SPREAD - o : _WIDTH - o], doc[use])]
         least[hit] = np.minimum(least[hit], o)
         most[hit] = np.maximum(most[hit], o)
     return least, most
@@ -387,7 +395,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(_second_pass(buckets), _SECOND)
     spans = second.groupBy("dest").applyInArrow(_full_depth(), "doc_id long, th long, a long, z long")
-    with small_batches(df.sparkSession, 250):
+    with small_batches(df.sparkSession, 500):
         spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
 

@@ -180,12 +180,22 @@ def test_no_suffixes(docs):
     assert suffix_dedup.suffix_dedup(docs([])).count() == 0
 
 
-def test_equal_hashes_are_told_apart(monkeypatch):
-    """With a hash that takes all windows for one, the bytes decide."""
-    monkeypatch.setattr(suffix_dedup, "_TABLE", np.zeros(256, np.uint64))
+def test_radix_passes_against_sorting():
+    """The groups that the passes leave are the runs of equal windows in sorted order."""
     rnd = np.random.default_rng(1)
-    a = rnd.integers(0, 255, (4, suffix_dedup._WIDTH + 2), dtype=np.uint8)
-    a[:, -2], a[:, -1] = 0, suffix_dedup._SPREAD
-    a[2] = a[0]
-    least, most = suffix_dedup.covered_offsets(a, np.array([1, 2, 3, 4]))
-    assert (most >= 0).tolist() == [False, False, True, False] and least[2] == 0 and most[2] == suffix_dedup._SPREAD
+    for kinds in (2, 3, 40):
+        pool = rnd.integers(0, 2, (kinds, suffix_dedup.THRESHOLD), dtype=np.uint8) * 255
+        window = pool[rnd.integers(0, kinds, 300)]
+        window[::7, -1] = 7
+        doc = rnd.integers(0, 40, 300)
+        least = {}
+        for w, d in zip(map(bytes, window), doc):
+            least[w] = min(least.get(w, d), d)
+        assert suffix_dedup.repeated_windows(window, doc).tolist() == [least[bytes(w)] < d for w, d in zip(window, doc)]
+    assert not suffix_dedup.repeated_windows(window[:1], doc[:1]).any()
+
+
+def test_one_passage_in_every_document(docs):
+    rnd = random.Random(6)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    check(docs, [(k, f"{rnd.random()}{passage}{rnd.random()}") for k in range(400)])

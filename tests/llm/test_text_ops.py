@@ -33,7 +33,7 @@ ITEMS = [(1, "What is the Capital of France, asked the old man in Paris today?")
 TEXTS = [None, "", "...", "SHORT\x01one!", "xshort one", "short onex", "what is the capital of france asked the old man in PARIS", "ünï, CÖDÉ", "Ünï-cödé", " ".join("a" * 25), "is the capital of france asked the old man in paris today short one short one", "b " * 50 + "short one"]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 600])
+@pytest.mark.parametrize("block_bytes", [1 << 24, 60])
 def test_hits(spark, docs, block_bytes):
     rows = [(k % 8, t, None) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], None), (None, TEXTS[10], None)]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -42,6 +42,16 @@ def test_hits(spark, docs, block_bytes):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 40])
+def test_blocks_remove_and_drop_alike(spark, docs, block_bytes):
+    items = [(k, f"alpha{k} beta{k} gamma{k}") for k in range(6)] + [(9, "beta1 gamma1 alpha2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs([(1, "x alpha1 Beta1, gamma1 alpha2! y", None), (2, "alpha1 beta1", None), (3, None, None), (None, "ALPHA5 beta5 gamma5", None), (4, "alpha0 beta0 gamma0 z alpha3 beta3 gamma3", None)])
+    assert {r.doc_id: r.text for r in decontaminate.remove_hits(df, bench, block_bytes=block_bytes).collect()} == {1: "x ! y", 2: "alpha1 beta1", 3: None, None: "", 4: " z "}
+    got = decontaminate.drop_contaminated(df, bench, block_bytes=block_bytes)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [2, 3]
+
+
 def test_remove_and_drop(spark, docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = docs([(1, "Keep this. SHORT, one! and that", None), (2, "clean", None), (3, None, None), (4, "short-one", None)]).withColumn("item_id", F.lit("clash"))
@@ -199,16 +209,45 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_language_folded_product_is_the_kernel():
+def test_language_against_explicit_nystroem():
+    """Scores as the definition has them: kernels as sums over n-gram sets, every matrix built in full, nothing folded."""
     import numpy as np
 
-    texts = ["abc abd", "xyz xyy", "abab", "zzyx"]
-    rows = [language_id.grams(t) for t in texts]
-    model = language_id.fit(rows, ["a", "x", "a", "x"])
-    vocabulary = np.unique(np.concatenate(rows))
-    x = language_id.matrix(rows, vocabulary)
-    k = x @ x.T
-    assert np.allclose(np.diag(k), 1, atol=1e-5) and (model.scores(texts).argmax(axis=1) == [0, 1, 0, 1]).all()
+    rnd = random.Random(9)
+    kinds = {"a": "abcdeio", "b": "fghijklo", "c": "mnopqrs"}
+    langs = [rnd.choice(list(kinds)) for _ in range(60)]
+    texts = [made_up(rnd, kinds[x], rnd.randint(1, 20)) for x in langs]
+    new = [made_up(rnd, kinds[rnd.choice(list(kinds))], rnd.randint(1, 9)) for _ in range(20)] + ["1", "zzz"]
+
+    def sets(t):
+        raw = t.encode().lower()
+        return [{raw[k : k + n] for k in range(len(raw) - n + 1)} for n in language_id.ORDERS]
+
+    def kernel(x, y):
+        return sum(len(a & b) / (len(a) * len(b)) ** 0.5 for a, b in zip(sets(x), sets(y)) if a and b) / len(language_id.ORDERS)
+
+    model = language_id.fit([language_id.grams(t) for t in texts], langs, landmarks=9)
+    names = sorted(kinds)
+    by = {n: [k for k, x in enumerate(langs) if x == n] for n in names}
+    marks = [by[n][r] for r in range(3) for n in names]
+    mm = np.array([[kernel(texts[i], texts[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(mm)
+    root = vectors @ np.diag(values**-0.5)
+    feature = lambda ts: np.column_stack([np.array([[kernel(t, texts[j]) for j in marks] for t in ts]) @ root, np.ones(len(ts))])
+    z = feature(texts)
+    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    w = np.linalg.solve(z.T @ z + np.diag([language_id.RIDGE] * 9 + [1e-9]), z.T @ y)
+    assert np.allclose(model.scores(new), feature(new) @ w, atol=2e-3)
+
+
+def test_many_languages(spark):
+    rnd = random.Random(1)
+    rows = [(k * 3 + j, "".join(chr(0x4E00 + 6 * k + rnd.randrange(6)) for _ in range(30)), f"l{k}") for k in range(600) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert len(model.langs) == 600
+    got, _ = model.predict([t for _, t, _ in rows[::3]])
+    assert sum(a == b for a, (_, _, b) in zip(got, rows[::3])) / 600 > 0.97
 
 
 def test_grams_in_pieces(monkeypatch):
