@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, skew_join, small_batches, table
+from ashlar.llm.common import cut, skew_join, small_batches, table, tidy
 from ashlar.operators.components import components
 
 SHINGLE = 4
@@ -65,19 +65,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = np.fromiter((fingerprint(t, size) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": fp.view(np.int64)})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), "id long, fp long")
 
 
-def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two tiles within the radius, exactly compared, as a spanning forest: ends (u, v) such that two
-    fingerprints are connected by them if and only if they are by all links. At most len(left) + len(right) - 1 of them."""
-    lab = np.arange(len(left) + len(right))
-    us, vs = [], []
-    step = max(1, _CELLS // max(1, len(right)))
-    for at in range(0, len(left), step):
-        near = np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + len(left)
+def spanning(size: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (i, j) between the numbers below `size`, as they come in blocks, a spanning forest: as few that connect the same. A block is held at a time."""
+    lab = np.arange(size)
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in links:
         while True:
             a, b = lab[i], lab[j]
             open_ = a != b
@@ -85,7 +80,7 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
                 break
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
             high, first = np.unique(np.maximum(a, b), return_index=True)
-            up = np.arange(len(lab))
+            up = np.arange(size)
             up[high] = np.minimum(a, b)[first]
             us.append(i[first])
             vs.append(j[first])
@@ -95,9 +90,21 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
                     break
                 up = to
             lab = up[lab]
-    if not us:
-        return np.empty(0, left.dtype), np.empty(0, left.dtype)
-    return left[np.concatenate(us)], right[np.concatenate(vs) - len(left)]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two tiles within the radius, exactly compared, as a spanning forest: ends (u, v) such that two
+    fingerprints are connected by them if and only if they are by all links. At most len(left) + len(right) - 1 of them."""
+    step = max(1, _CELLS // max(1, len(right)))
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(left), step):
+            i, j = np.nonzero(np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius)
+            yield i + at, j + len(left)
+
+    u, v = spanning(len(left) + len(right), near())
+    return left[u], right[v - len(left)]
 
 
 def _steps(radius: int, parts: int) -> list[tuple[int, bool]]:
@@ -146,11 +153,12 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
             if us:
                 yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    return rows.mapInPandas(run, "u long, v long")
+    return rows.mapInPandas(tidy(run), "u long, v long")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """id, fp, component of each row: the smallest id that links of `radius` or fewer differing bits reach, its own included.
+    """id, fp, component of each row: the smallest id that links of `radius` or fewer differing bits reach, its own included. Also
+    root: the smallest fingerprint of the component, which tells components apart where rows of one id are in several.
 
     Exact over all rows: rows of equal fingerprints are one node, and all distinct fingerprints are compared by tiles.
     Null texts and texts without words have fingerprint 0 and link like any other. Null ids are nobody's smallest;
@@ -163,19 +171,26 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = nodes.agg(F.sum("rows")).first()[0] or 0
     linked = cut(roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "low"))
     groups = cut(linked.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")))
-    named = skew_join(linked, groups, ["root"], "n", groups.agg(F.sum("n")).first()[0] or 0).select(F.col("node").alias("fp"), "component")
-    named = cut(nodes.join(named, "fp", "left").select("fp", "rows", F.coalesce("component", "low").alias("component")))
-    return skew_join(rows, named, ["fp"], "rows", total).select("id", "fp", "component")
+    named = skew_join(linked, groups, ["root"], "n", groups.agg(F.sum("n")).first()[0] or 0).select(F.col("node").alias("fp"), "root", "component")
+    named = cut(nodes.join(named, "fp", "left").select("fp", "rows", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component")).alias("component")))
+    return skew_join(rows, named, ["fp"], "rows", total).select("id", "fp", "component", "root")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """df without all but one row of each component: that of the smallest id stays. Rows that repeat that id count once; a component
-    of null ids keeps them all."""
+    """df without all but one row of each component: of the rows of its smallest id the one of the least fingerprint stays, once for each
+    of its different texts' repeats. Rows are known by id and fingerprint, so a row that shares its id alone with a dropped one stays.
+    A row of a null id goes if its component has an id, and stays if not."""
     found = cut(near_components(df, id_col, text_col, radius, size))
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone"))
-    again = found.where(F.col("id").isNotNull() & (F.col("id") == F.col("component"))).groupBy("id").count().where("count > 1")
-    out = df.join(gone.distinct(), F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return out if again.isEmpty() else out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    named = found.where(F.col("id").isNotNull())
+    best = named.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.fp").alias("__fp"))
+    fps = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)), "long")
+    rows = df.withColumn("__print", fps(F.col(text_col)))
+    first = rows.where(F.col(id_col).isNotNull()).join(best, (F.col(id_col) == F.col("__id")) & (F.col("__print") == F.col("__fp")), "left_semi")
+    again = named.groupBy("id", "fp").count().where("count > 1")
+    first = first if again.isEmpty() else first.dropDuplicates([id_col, "__print"])
+    alone = found.where("component is null").select(F.col("fp").alias("__fp")).distinct()
+    null = rows.where(F.col(id_col).isNull()).join(alone, F.col("__print") == F.col("__fp"), "left_semi")
+    return first.unionByName(null).drop("__print")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

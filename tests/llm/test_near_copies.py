@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from ashlar.llm import near_copies
 from corpus_pipeline import near_dedup
 
@@ -32,3 +35,69 @@ def test_repeated_and_null_ids(spark, docs):
     got = sorted(((r.doc_id, r.text) for r in near_copies.drop_similar(docs(rows)).collect()), key=str)
     assert got == sorted([(1, text), (1, rows[2][1]), (2, rows[4][1]), (None, "null"), (None, "null"), (3, "")], key=str)
     assert near_copies.drop_similar(docs([])).count() == 0
+
+
+def brute(texts, least=0.8, size=5):
+    """Classes of texts joined by chains of Jaccard similarities over whole shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        k = min(size, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if x == y or x and y and len(x & y) / len(x | y) >= least:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize("tile, set_bytes", [(1 << 15, 1 << 20), (8, 6000)])
+def test_group_of_many_variants(spark, docs, monkeypatch, tile, set_bytes):
+    """A chain of edits, a dense group, and texts apart: the same classes however small the tiles and parts are."""
+    monkeypatch.setattr(near_copies, "SET_BYTES", set_bytes)
+    monkeypatch.setattr(near_copies.candidate_links, "__defaults__", (near_copies.LEAST, tile))
+    rnd = random.Random(3)
+    word = lambda: "w%d" % rnd.randrange(4000)
+    texts, now = [], [word() for _ in range(200)]
+    for _ in range(40):
+        texts.append(" ".join(now))
+        now = list(now)
+        now[rnd.randrange(200)] = word()
+    base = [word() for _ in range(150)]
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            near[rnd.randrange(150)] = word()
+        texts.append("\n".join(near))
+    texts += [" ".join(word() for _ in range(rnd.randint(1, 90))) for _ in range(40)] + ["", None, "one two", "ONE  two", "one two three"]
+    order = list(range(len(texts)))
+    rnd.shuffle(order)
+    texts = [texts[k] for k in order]
+    got = {r.doc_id for r in near_copies.drop_similar(docs([(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert got == set(brute(texts))
+
+
+def test_exact_links_against_brute_force():
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 60, rnd.integers(1, 60)).astype(np.uint64)) for _ in range(80)]
+    u, v = near_copies.exact_links(sets, 0.5)
+    want = {(i, j) for i in range(80) for j in range(i + 1, 80) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.5}
+    assert set(zip(u.tolist(), v.tolist())) <= want
+
+    def classes(edges):
+        root = list(range(80))
+        for _ in range(80):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(list(zip(u, v))) == classes(list(want))

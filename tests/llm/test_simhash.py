@@ -98,3 +98,11 @@ def test_drop(spark, docs, rows):
     got = simhash.drop_near_copies(docs([(d, t, "s") for d, t in rows]))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id for r in got.collect()), key=str) == ([1, None] if rows else [])
+
+
+def test_drop_tells_rows_of_one_id_apart(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    drop = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.drop_near_copies(docs([(d, t, "s") for d, t in rows])).collect()), key=str)
+    assert drop([(None, a), (None, b), (2, b)]) == [(2, b), (None, a)]
+    assert drop([(5, a), (5, b), (2, b)]) == [(2, b), (5, a)]
+    assert drop([(5, a), (5, a), (5, c), (7, c), (9, a)]) == [(5, a), (5, c)]
