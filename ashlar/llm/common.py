@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +37,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, old)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next batch or task shares an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to ask for
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives its memory back when its task's last batch is done: a worker outlives its tasks."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import table
+from ashlar.llm.common import table, tidy
 
 #: Lengths of the byte n-grams that are blended, each with the same weight.
 ORDERS = (1, 2, 3, 4)
@@ -157,7 +157,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_c
             b = b[[has_letter(t) for t in b["text"]]]
             yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "codes": [grams(t).tobytes() for t in b["text"]]})
 
-    got = drawn.select("text", "lang", "h").mapInPandas(features, "lang string, h long, codes binary").collect()
+    got = drawn.select("text", "lang", "h").mapInPandas(tidy(features), "lang string, h long, codes binary").collect()
     taken: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["h"], bytes(r["codes"]))):
         if len(taken.setdefault(r["lang"], [])) < each:
@@ -176,7 +176,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str
             names, score = m.predict([None if pd.isna(t) else t for t in b])
             yield pd.DataFrame({"lang": names, "score": score})
 
-    found = F.pandas_udf(run, "lang string, score double")
+    found = F.pandas_udf(tidy(run), "lang string, score double")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (lang_out, score_out)]
     return df.select(*kept, found(F.col(text_col)).alias("__found")).select(*kept, F.col("__found.lang").alias(lang_out), F.col("__found.score").alias(score_out))
 

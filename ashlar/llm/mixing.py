@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ashlar.llm.common import cut, table
+from ashlar.llm.common import cut, table, tidy
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
@@ -218,7 +218,7 @@ def slots(spark, sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
                     left, first = left - inner, first + inner
 
     ids = spark.range(0, groups, 1, max(1, min(groups, 1024)))
-    return ids.mapInPandas(draw, "shard long, slot long, source int, epoch long, block long, take long")
+    return ids.mapInPandas(tidy(draw), "shard long, slot long, source int, epoch long, block long, take long")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = SHARE, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[Source]]:
@@ -294,7 +294,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out = out.set_column(i, out.schema.field(i), pa.array([len(t) for t in new], out.column(i).type))
             yield out
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(tidy(run), schema)
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
