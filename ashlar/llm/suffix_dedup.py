@@ -7,9 +7,9 @@ that share their key travel together. Equal windows have equal keys at equal off
 
 1. Dealing out, by the key's hash: a bucket holds a range of hashes. A key that only one document has ends here;
    its windows repeat nowhere. Documents are told which of their keys are left.
-2. The windows of the keys that are left, packed as the bytes around the key, go to the key's bucket, and are ordered there by radix passes,
-   the first bytes first, down to the last: a pass parts each group by its next digit, and groups of one document go no further. A window
-   whose last group has a smaller document is covered.
+2. The windows of the keys that are left, packed as the bytes around the key, go to the key's bucket. There the suffixes at the keys are ordered
+   by radix passes, the first bytes first, down to THRESHOLD: a pass parts each group by its next digit, and groups of one document go no
+   further. So are the bytes before the keys. A window is in the groups of its two parts; one whose group has a smaller document is covered.
 3. Covered runs are merged for each document and cut out.
 
 Before either shuffle, each chunk of text (about CHUNK bytes of many documents) is grouped by itself: a key or a
@@ -18,7 +18,6 @@ packed window that several of its documents share is sent on once, however many
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, small_batches, table
+from ashlar.llm.common import cut, give_back, small_batches, table, tidy
 
 THRESHOLD = 50
 DIGIT = 16
@@ -131,15 +130,6 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new])
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system: a worker that waits for its next batch or group shares an executor's memory with others."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library: nothing to ask for
-        pass
-
-
 def _per_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """A range of mixed hashes to a bucket. Digits are the least hashes of their windows, so their own leading bits are nearly all zero."""
     mixed = hashes * np.uint64(_MULT)
@@ -154,7 +144,7 @@ def _first_pass(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _give_back()
+            give_back()
             ids = b.column(0).to_numpy()
             data, offsets = _bytes_of(b.column(1))
             for row, _, raw, bounds in _chunks(data, offsets):
@@ -200,7 +190,7 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _left_over(group: pa.Table) -> pa.Table:
     """Of a bucket: (document, digit) for each digit that another document has too. What chunks found by themselves is passed on."""
-    _give_back()
+    give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
     hs, docs, manies = [], [], []
@@ -234,7 +224,7 @@ def _second_pass(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            _give_back()
+            give_back()
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = _bytes_of(b.column(2))
             cuts, flat = _listed(b.column(3))
@@ -290,44 +280,63 @@ def _told(doc, th, a, z, schema, buckets) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[cuts] % buckets), pa.array(doc[cuts]), pa.array(th[cuts]), _grouped(spans, cuts), none, none, none], schema=schema)
 
 
-def repeated_windows(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which rows of `window` (THRESHOLD bytes each) also belong to a smaller document. Rows are ordered by most-significant-digit passes over
-    PASS bytes each: a pass orders the rows of every group by the next digit and parts the group where it changes, and only groups
-    of two documents or more go on. What is left in one group after the last byte is equal; no other rows are."""
-    hit = np.zeros(len(doc), bool)
-    rows, group = np.arange(len(doc)), np.zeros(len(doc), np.int64)
-    for at in range(0, THRESHOLD, PASS):
-        part = window[rows, at : at + PASS]
+def ordered(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings (rows of bytes) of documents, and how many bytes each shares with the one before it in that order.
+
+    Ordered by most-significant-digit passes over PASS bytes each: a pass orders the rows of every group by their next digit and parts the
+    group where it changes, and only groups of two documents or more go on. Rows of a group of one document keep any order."""
+    n, depth = strings.shape
+    order, group, open_ = np.arange(n), np.zeros(n, np.int64), np.arange(n)
+    for at in range(0, depth, PASS):
+        part = strings[order[open_], at : at + PASS]
         if part.shape[1] < PASS:
             part = np.concatenate([part, np.zeros((len(part), PASS - part.shape[1]), np.uint8)], axis=1)
         digit = np.ascontiguousarray(part).view(">u8").ravel().astype(np.uint64)
-        order = np.lexsort((digit, group)) if at else np.argsort(digit, kind="stable")
-        rows, digit, group = rows[order], digit[order], group[order]
-        starts = _starts(digit, group)
-        sizes = np.diff(np.r_[starts, len(rows)])
-        docs = doc[rows]
-        low = np.minimum.reduceat(docs, starts)
-        on = np.repeat(low != np.maximum.reduceat(docs, starts), sizes)
-        low = np.repeat(low, sizes)[on]
-        rows, group = rows[on], np.repeat(np.arange(len(starts)), sizes)[on]
-        if not len(rows):
-            return hit
-    hit[rows[doc[rows] > low]] = True
-    return hit
+        by = np.lexsort((digit, group[open_])) if at else np.argsort(digit, kind="stable")
+        order[open_] = order[open_][by]
+        digit = digit[by]
+        starts = _starts(digit, group[open_])
+        sizes = np.diff(np.r_[starts, len(open_)])
+        group[open_] = np.repeat(open_[starts], sizes)
+        docs = doc[order[open_]]
+        open_ = open_[np.repeat(np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts), sizes)]
+        if not len(open_):
+            break
+    differ = strings[order[1:]] != strings[order[:-1]]
+    return order, np.r_[0, np.where(differ.any(axis=1), differ.argmax(axis=1), depth)]
 
 
 def covered_offsets(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of packed windows (bytes around a digit, least and greatest offset in use) of documents: the least and greatest offset at
-    which a window equals one of a smaller document; greatest below least if none. Windows of one digit overlap, so what is
-    covered lies between. Windows at each offset are ordered by themselves, as equal windows have their digit at the same one."""
+    """Of packed windows (bytes around a key, least and greatest offset in use) of documents: the least and greatest offset at
+    which a window equals one of a smaller document; greatest below least if none. Windows of one key overlap, so what is
+    covered lies between.
+
+    The suffixes that start at the keys are ordered, and so are the strings before the keys, read backwards. Where neighbours in these orders share
+    fewer than k bytes a new group of k bytes starts, which gives the groups of every length at once. A window that holds its key at offset o is
+    the o bytes before it and the THRESHOLD - o from it on: windows are equal if both are of the same groups, and only then."""
     n = len(whole)
     around, o1, o2 = whole[:, :_WIDTH], whole[:, _WIDTH].astype(np.int64), whole[:, _WIDTH + 1].astype(np.int64)
     least, most = np.full(n, 255), np.full(n, -1)
+    order, shared = ordered(np.ascontiguousarray(around[:, _SPREAD:]), doc)
+    back, shared_back = ordered(np.ascontiguousarray(around[:, _SPREAD - 1 :: -1]), doc)
+    before = np.empty(n, np.int64)
+    o1, o2, docs = o1[order], o2[order], doc[order]
     for o in range(_SPREAD + 1):
         use = np.flatnonzero((o1 <= o) & (o <= o2))
         if len(use) < 2:
             continue
-        hit = use[repeated_windows(around[use, _SPREAD - o : _WIDTH - o], doc[use])]
+        after = np.cumsum(shared < THRESHOLD - o)[use]
+        new = np.r_[True, after[1:] != after[:-1], True]
+        together = ~(new[:-1] & new[1:])
+        use, after = use[together], after[together]
+        if not len(use):
+            continue
+        before[back] = np.cumsum(shared_back < o) if o else 0
+        key = after * (n + 1) + before[order[use]]
+        by = np.argsort(key, kind="stable")
+        use, at = use[by], _starts(key[by])
+        low = np.repeat(np.minimum.reduceat(docs[use], at), np.diff(np.r_[at, len(use)]))
+        hit = order[use[docs[use] > low]]
         least[hit] = np.minimum(least[hit], o)
         most[hit] = np.maximum(most[hit], o)
     return least, most
@@ -335,7 +344,7 @@ def covered_offsets(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
 
 def _full_depth():
     def run(group: pa.Table) -> pa.Table:
-        _give_back()
+        give_back()
         own = pa.compute.is_valid(group["doc_id"])
         found, rest = group.filter(own), group.filter(pa.compute.invert(own))
         doc_out, spans_out = _unpacked(found, "spans", 16)
@@ -387,13 +396,13 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = max(1, -(-total // BUCKET_BYTES))
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= THRESHOLD))
 
-    first = named.select("doc_id", "text").mapInArrow(_first_pass(buckets), _FIRST)
+    first = named.select("doc_id", "text").mapInArrow(tidy(_first_pass(buckets)), _FIRST)
     left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digit long")
     with small_batches(df.sparkSession, 250):
         left = cut(left.groupBy("doc_id").agg(F.collect_list("digit").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
-    second = todo.mapInArrow(_second_pass(buckets), _SECOND)
+    second = todo.mapInArrow(tidy(_second_pass(buckets)), _SECOND)
     spans = second.groupBy("dest").applyInArrow(_full_depth(), "doc_id long, th long, a long, z long")
     with small_batches(df.sparkSession, 500):
         spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
@@ -414,7 +423,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 runs.append(len(cuts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = out.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = out.mapInArrow(tidy(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumnRenamed("doc_id", id_col)
 
 

@@ -181,18 +181,18 @@ def test_no_suffixes(docs):
 
 
 def test_radix_passes_against_sorting():
-    """The groups that the passes leave are the runs of equal windows in sorted order."""
+    """The order is that of the bytes, but in groups of one document; what neighbours share is counted."""
     rnd = np.random.default_rng(1)
     for kinds in (2, 3, 40):
         pool = rnd.integers(0, 2, (kinds, suffix_dedup.THRESHOLD), dtype=np.uint8) * 255
-        window = pool[rnd.integers(0, kinds, 300)]
-        window[::7, -1] = 7
-        doc = rnd.integers(0, 40, 300)
-        least = {}
-        for w, d in zip(map(bytes, window), doc):
-            least[w] = min(least.get(w, d), d)
-        assert suffix_dedup.repeated_windows(window, doc).tolist() == [least[bytes(w)] < d for w, d in zip(window, doc)]
-    assert not suffix_dedup.repeated_windows(window[:1], doc[:1]).any()
+        strings = pool[rnd.integers(0, kinds, 300)]
+        strings[::7, -1] = 7
+        order, shared = suffix_dedup.ordered(strings, np.arange(300))
+        rows = [bytes(strings[k]) for k in order]
+        assert rows == sorted(map(bytes, strings))
+        assert shared.tolist() == [0] + [next((i for i in range(len(a)) if a[i] != b[i]), len(a)) for a, b in zip(rows, rows[1:])]
+        order, _ = suffix_dedup.ordered(strings, np.zeros(300, int))
+        assert [bytes(strings[k])[:8] for k in order] == sorted(bytes(x)[:8] for x in strings)
 
 
 def test_one_passage_in_every_document(docs):
