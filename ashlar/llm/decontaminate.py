@@ -1,6 +1,6 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items; each text is scanned once.
 
-The automaton's letters are words: a window of ten words takes ten states at most, however long the words are.
+The automaton reads words as codes of three characters: a window of ten words takes thirty states at most, however long the words are.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, small_batches, table
+from ashlar.llm.common import cut, small_batches, table, tidy
 from ashlar.tables import discard
 
 WINDOW = 10
-#: Bytes of benchmark text in one automaton, which takes a worker about 100 times as much. A larger benchmark is dealt to several, and the texts scanned
+#: Bytes of benchmark text in one automaton, which takes a worker about 180 times as much. A larger benchmark is dealt to several, and the texts scanned
 #: once for each, one after the other.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words are ASCII letters and digits and all bytes from 0x80; A-Z becomes a-z; every other byte separates.
@@ -38,29 +38,37 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]
 
 
 class Windows:
-    """All windows of items: which words they use, and the automaton, which maps each to (number of words, indexes of the items that hold it)."""
+    """All windows of items: a code for each word they use, and the automaton over the codes, which maps each to (number of words, indexes of the items that hold it)."""
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
         self.names = [name for name, _ in items]
-        self.letters: dict[bytes, int] = {}
-        held: dict[tuple[int, ...], list[int]] = {}
+        self.letters: dict[bytes, str] = {}
+        held: dict[str, list[int]] = {}
         for k, (_, text) in enumerate(items):
             for w in windows_of(words_of(text), size):
-                held.setdefault(tuple(self.letters.setdefault(x, len(self.letters) + 1) for x in w), []).append(k)
-        self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                held.setdefault("".join(self.letters.setdefault(x, _code(len(self.letters))) for x in w), []).append(k)
+        self.auto = ahocorasick.Automaton()
         for w, ks in held.items():
-            self.auto.add_word(w, (len(w), tuple(ks)))
+            self.auto.add_word(w, (len(w) // 3, tuple(ks)))
         if held:
             self.auto.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Number of words, merged runs [first, last) of hit words, and the items found, in one pass over the text. A match ends at
-        a word's number. Words that no window uses are one letter of their own."""
+        """Number of words, merged runs [first, last) of hit words, and the items found, in one pass over the text. Codes are equally long, so a
+        match's end tells the word; one that ends inside a code is none. Words that no window uses have a code of their own."""
         words = words_of(text)
         if not words or not len(self.auto):
             return len(words), [], set()
-        hits = list(self.auto.iter(tuple(map(self.letters.get, words, repeat(0)))))
-        return len(words), merged((e + 1 - v[0], e + 1) for e, v in hits), {k for _, v in hits for k in v[1]}
+        hits = [(e // 3 + 1, v) for e, v in self.auto.iter("".join(map(self.letters.get, words, repeat("\0\0\0")))) if e % 3 == 2]
+        if not hits:
+            return len(words), [], set()
+        return len(words), merged((e - v[0], e) for e, v in hits), {k for _, v in hits for k in v[1]}
+
+
+def _code(k: int) -> str:
+    """Three characters that stand for the k-th word. They are few kinds, as the automaton tries a state's ways on one by one; there are codes for 1.03 million
+    words, more than a block has."""
+    return chr(1 + k // 10201) + chr(1 + k // 101 % 101) + chr(1 + k % 101)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -89,6 +97,19 @@ _HITS = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("first
 _HITS_SQL = "struct<n_words:long,runs:array<struct<first:long,last:long>>,items:array<string>>"
 
 
+def _row(windows: Windows, text: str | None) -> dict:
+    n, runs, found = windows.scan(text)
+    return {"n_words": n, "runs": [{"first": a, "last": z} for a, z in runs], "items": sorted({windows.names[k] for k in found} - {None})}
+
+
+def _added(new: dict, old: dict) -> dict:
+    """What two scans of a text found."""
+    if not old["runs"] and not old["items"]:
+        return new
+    runs = merged((r["first"], r["last"]) for r in new["runs"] + old["runs"])
+    return {"n_words": new["n_words"], "runs": [{"first": a, "last": z} for a, z in runs], "items": sorted({*new["items"], *old["items"]})}
+
+
 def scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES, hits_col: str = "__hits") -> DataFrame:
     """df with a struct of n_words, runs (of hit words) and items (sorted distinct item ids as strings) for each row. One task, one automaton: with several blocks, each scan's rows
     are written to the shared folder before the next, which adds to what was found."""
@@ -102,19 +123,16 @@ def scanned(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str =
             def run(batches: Iterator[pa.RecordBatch], sent=sent, width=len(out.columns)) -> Iterator[pa.RecordBatch]:
                 windows = Windows(sent.value, size)
                 for b in batches:
-                    found = [windows.scan(t) for t in b.column(at).to_pylist()]
-                    old = b.column(width - 1).to_pylist() if width > n else repeat({"runs": [], "items": []})
-                    rows = []
-                    for (n_words, runs, ks), o in zip(found, old):
-                        runs = merged([*runs, *((r["first"], r["last"]) for r in o["runs"])])
-                        rows.append({"n_words": n_words, "runs": [{"first": a, "last": z} for a, z in runs], "items": sorted({windows.names[k] for k in ks} - {None} | set(o["items"]))})
+                    rows = [_row(windows, t) for t in b.column(at).to_pylist()]
+                    if width > n:
+                        rows = [_added(new, old) for new, old in zip(rows, b.column(n).to_pylist())]
                     yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(rows, _HITS)], names=[*names, hits_col])
 
             if before is not None:
                 out = cut(out)
                 if before.columns != df.columns:
                     discard(before)
-            before, out = out, out.mapInArrow(run, schema)
+            before, out = out, out.mapInArrow(tidy(run), schema)
     return out
 
 
