@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ashlar.operators import components, matching, pricing, scoring, themes, upserts
+from ashlar.operators import components, matching, pricing, scoring, upserts
 from ashlar.sources import listings, official, pages
 
 
@@ -66,30 +66,6 @@ def test_overall_needs_coverage(spark):
     assert rows(scoring.overall_score(s, "e", "category", "score", "confidence")) == [(1, 2, 0.45, 6.9, "low"), (2, 1, 0.1, None, "insufficient"), (3, 0, 0.0, None, "insufficient")]
 
 
-def mention_names(text):
-    return [(m[1], m[4]) for m in themes.Lexicon().mentions(text if isinstance(text, list) else [text])]
-
-
-def test_themes():
-    assert mention_names("The building is very quiet.") == [("quiet", False)]
-    assert mention_names("It is not quiet here.") == [("other_noise", False)]
-    assert mention_names("Never had any bugs or roaches.") == []
-    assert mention_names("No pest problems so far.") == [("no_pests", False)]
-    assert mention_names("We have not seen roaches, ants or mice.") == []
-    assert mention_names("Roaches are not only here but everywhere.") == [("cockroaches", False)]
-    assert mention_names(["There are mice.", "It keeps happening."]) == [("rodents", True)]
-    assert mention_names("Pests: roaches and bugs.") == [("cockroaches", False)]
-    assert mention_names("The rude manager ignored our requests.") == [("professionalism", False), ("responsiveness", False)]
-    assert len({t.theme for t in themes.THEMES}) == len(themes.THEMES) == 74
-
-
-def test_excerpts_are_verbatim(spark):
-    long = "word " * 100 + "there are roaches " + "more " * 100
-    df = spark.createDataFrame([(1, long), (2, None), (3, "")], "review long, text string")
-    got = themes.mine(df, "review", "text").collect()
-    assert len(got) == 1 and got[0].excerpt.strip("…") in " ".join(long.split()) and len(got[0].excerpt) <= 282
-
-
 def test_pages(spark):
     html = '<script type="application/ld+json">{"a": 1}</script><script type="application/ld+json">{bad</script><script id="__NEXT_DATA__">{"x": {"listingId": "7", "plans": [{"beds": "Studio", "units": [{"n": "A", "rent": 1500}, {"n": "A", "rent": "$1,600"}]}, {"beds": 1, "rent": 2000}, {"beds": 2}]}}</script>'
     df = spark.createDataFrame([(1, html), (2, None)], "page long, html string")
