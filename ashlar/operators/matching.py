@@ -108,3 +108,13 @@ def near_duplicate_members(df: DataFrame, entity: str, row: str, text: str, leas
     classes = cut(members.groupBy("__class").agg(F.min(row).alias("representative"), F.count("*").alias("__n")))
     total = classes.agg(F.sum("__n")).first()[0] or 0
     return skew_join(members, classes, ["__class"], "__n", total).select(entity, row, "representative")
+
+
+def shared_tokens(df: DataFrame, group: str, name: str, tokens: str) -> DataFrame:
+    """Pairs (a < b) of a group's names that share a token: their Jaccard similarity, and the shared part of the smaller set, which is 0 unless a token that is no number
+    is shared. Joined by (group, token), so names without a common token never meet; shared tokens are counted where they meet. Names are distinct in a group."""
+    each = df.select(group, name, F.size(tokens).alias("n"), F.explode(tokens).alias("t"))
+    a, b = (each.select(group, "t", F.col(name).alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    g = a.join(b, [group, "t"]).where("a < b").groupBy(group, "a", "b", "na", "nb").agg(F.count("*").alias("both"), F.max(~F.col("t").rlike("^[0-9]+$")).alias("words"))
+    both = F.col("both")
+    return g.select(group, "a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"), F.when(F.col("words"), both / F.least("na", "nb")).otherwise(0.0).alias("overlap"))

@@ -31,7 +31,7 @@ def dominant_share(items: DataFrame, group: list[str], review: str, influence: s
 
 
 def evidence_confidence(items: DataFrame, group: list[str], review: str, source: str, published: str, influence: str, now: Column,
-                        least: int = 3, medium: int = 5, high: int = 8, high_recent: int = 3, high_sources: int = 2, high_single: int = 15, dominant: float = 0.5, old: float = 0.5) -> DataFrame:
+                        least: int = 3, medium: int = 5, high: int = 8, high_recent: int = 4, high_sources: int = 2, high_single: int = 12, dominant: float = 0.5, old: float = 0.7) -> DataFrame:
     """Per group: reviews, recent reviews, sources, dominant share, old share, and confidence: a level by counts, one lower (not below
     low) if one review dominates or most evidence is over four years old. Two aggregations: by review, then by group."""
     per = items.groupBy(*group, review).agg(
@@ -44,7 +44,7 @@ def evidence_confidence(items: DataFrame, group: list[str], review: str, source:
     )
     many = (F.col("reviews") >= high) & (F.col("recent") >= high_recent) & ((F.col("sources") >= high_sources) | (F.col("reviews") >= high_single))
     level = F.when(F.col("reviews") < least, "insufficient").when(many, "high").when(F.col("reviews") >= medium, "medium").otherwise("low")
-    lowered = F.when((F.col("dominant_share") > dominant) | (F.col("old_share") > old), lower_confidence(F.col("level"))).otherwise(F.col("level"))
+    lowered = F.when((F.round("dominant_share", 9) > dominant) | (F.round("old_share", 9) > old), lower_confidence(F.col("level"))).otherwise(F.col("level"))
     return g.withColumn("level", level).withColumn("confidence", lowered)
 
 

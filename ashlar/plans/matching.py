@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ashlar.functions import scalars as S
-from ashlar.operators import audit, matching, themes
+from ashlar.operators import assessments, audit, matching, themes
 from ashlar.plans.pricing import NOW, now
 from ashlar.plans.registry import query
 from ashlar.session import table
+from ashlar.tables import cut
 
 
 @query("""
@@ -54,9 +55,7 @@ FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE len(lis
 """)
 def name_token_match(spark, sf_dir):
     t = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct().withColumn("w", S.name_tokens("p_name"))
-    a, b = t.alias("a"), t.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") < F.col("b.p_name"))).where(F.arrays_overlap("a.w", "b.w"))
-    return j.select(F.col("a.p_brand").alias("p_brand"), F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"), F.round(S.jaccard("a.w", "b.w"), 6).alias("jaccard"), F.round(S.overlap("a.w", "b.w"), 6).alias("overlap"))
+    return matching.shared_tokens(t, "p_brand", "p_name", "w").select("p_brand", "a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("overlap", 6).alias("overlap"))
 
 
 @query("""
@@ -114,7 +113,22 @@ FEES = ("Trash $25/mo required; Parking (1 space, covered) $150 per month, Pet d
 OFFERS = ("8 weeks free on select homes", "One month free", "Up to 6 weeks of free rent", "half a month free", "Two weeks free!", "Reduced deposits", "")
 
 
-@query()
+#: What the fee texts name, by reading: text, place, type, description, amount, its text, recurring, mandatory (null: as assumed).
+FEES_READ = (
+    (0, 0, "trash", "Trash $25/mo required", 25, "$25", True, True), (0, 1, "parking", "Parking (1 space, covered) $150 per month", 150, "$150", True, None), (0, 2, "pet", "Pet deposit $500", 500, "$500", False, None),
+    (1, 0, "other", "Admin fee $1,250.50 one-time", 1250, "$1,250.50", False, None), (1, 1, "utilities", "Water", None, None, None, None), (1, 2, "utilities", "sewer and gas billed back", None, None, None, None),
+    (2, 0, "storage", "Storage $40-$75 monthly optional", None, "$40-$75 monthly optional", True, False), (3, 0, "internet", "Internet package $60 monthly must be taken", 60, "$60", True, True), (3, 1, "insurance", "Insurance", None, None, None, None),
+)
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+
+
+FEES_SQL = "(VALUES " + ", ".join(f"({', '.join(map(_literal, r))})" for r in FEES_READ) + ") f(k, pos, fee_type, description, amount, amount_text, recurring, said)"
+
+
+@query(f"SELECT s_suppkey, pos, fee_type, description, amount, amount_text, recurring, CASE WHEN said IS NULL AND s_suppkey % 2 = 0 THEN true ELSE said END AS mandatory FROM supplier JOIN {FEES_SQL} ON s_suppkey % 5 = k")
 def fee_text_rows(spark, sf_dir):
     key = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, FEES)), (key % len(FEES) + 1).cast("int")).alias("t"))
@@ -122,7 +136,11 @@ def fee_text_rows(spark, sf_dir):
     return s.select("s_suppkey", F.posexplode(items).alias("pos", "f")).select("s_suppkey", "pos", "f.*")
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey, 1500 + p_partkey % 900 AS base, CASE WHEN p_partkey % 4 > 0 THEN 6 + p_partkey % 9 END AS months, p_partkey % 7 AS k FROM part),
+o AS (SELECT *, CASE k WHEN 0 THEN 8.0 WHEN 1 THEN 52 / 12.0 WHEN 2 THEN 6.0 WHEN 3 THEN 26 / 12.0 WHEN 4 THEN 2.0 END::DOUBLE AS w, CASE WHEN k = 6 THEN NULL ELSE k IN (1, 3, 4) END AS is_definite FROM p)
+SELECT p_partkey, base, months, round(w, 6) AS free_weeks, is_definite, CASE WHEN is_definite AND w < months * 52 / 12.0 THEN CAST(round_even(base * (months * 52 / 12.0::DOUBLE - w) / (months * 52 / 12.0::DOUBLE), 0) AS BIGINT) END AS effective FROM o
+""")
 def promotion_terms(spark, sf_dir):
     key = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", (1500 + key % 900).alias("base"), F.when(key % 4 > 0, 6 + key % 9).alias("months"), F.element_at(F.array(*map(F.lit, OFFERS)), (key % len(OFFERS) + 1).cast("int")).alias("t"))
@@ -158,6 +176,24 @@ REVIEWS = (
 )
 
 
+#: What each of them states, by reading: number, theme, its polarity, the first sentence that says so, and whether it recurs.
+STATED = (
+    (0, "noise", "thin_walls", "negative", "The walls are paper thin.", True), (1, "noise", "quiet", "positive", "Very quiet building and the staff is helpful.", False),
+    (1, "management", "helpful_staff", "positive", "Very quiet building and the staff is helpful.", False), (1, "management", "quick_repairs", "positive", "Maintenance fixed it quickly.", False),
+    (2, "pests", "no_pests", "positive", "Never had any bugs or roaches here.", False), (2, "noise", "quiet", "positive", "It is a peaceful place.", False),
+    (3, "pests", "cockroaches", "negative", "We saw roaches again and again.", True), (3, "management", "responsiveness", "negative", "Management ignored our requests.", False),
+    (4, "management", "management_change", "neutral", "New management took over.", False), (4, "other_issues", "elevators", "negative", "Since then the elevator is always broken.", True),
+    (5, "building_safety", "package_theft", "negative", "Packages were stolen twice.", True), (6, "noise", "other_noise", "negative", "Not quiet at all: street noise and loud neighbors.", False),
+    (6, "noise", "street_traffic", "negative", "Not quiet at all: street noise and loud neighbors.", False), (6, "noise", "neighbor_noise", "negative", "Not quiet at all: street noise and loud neighbors.", False),
+    (7, "other_issues", "parking", "negative", "Parking is a nightmare.", False), (7, "other_issues", "water_shutdowns", "negative", "Water outages too.", False),
+    (7, "building_safety", "secure_building", "positive", "I feel safe though, good security.", False), (8, "management", "deposit_disputes", "negative", "They kept my deposit and added hidden fees.", False),
+    (8, "management", "unexplained_charges", "negative", "They kept my deposit and added hidden fees.", False), (9, "other_issues", "mold", "negative", "Mold in the bathroom, slow internet and no parking.", False),
+    (9, "other_issues", "internet", "negative", "Mold in the bathroom, slow internet and no parking.", False), (9, "other_issues", "parking", "negative", "Mold in the bathroom, slow internet and no parking.", False),
+    (11, "noise", "other_noise", "negative", "No doubt noisy.", False), (11, "pests", "rodents", "negative", "Mice in the kitchen; ants as well.", False), (11, "pests", "ants", "negative", "Mice in the kitchen; ants as well.", False),
+)
+STATED_SQL = "(VALUES " + ", ".join(f"({k}, '{c}', '{t}', '{p}', '{x}', {again})" for k, c, t, p, x, again in STATED) + ") s(k, category, theme, polarity, excerpt, recurring)"
+
+
 def reviews(spark, sf_dir):
     key = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(
@@ -167,30 +203,36 @@ def reviews(spark, sf_dir):
     return c
 
 
-@query()
+@query(f"SELECT c_custkey AS review, category, theme, polarity, excerpt, recurring FROM customer JOIN {STATED_SQL} ON c_custkey * 7 % 12 = k")
 def theme_mentions(spark, sf_dir):
     return themes.mine(reviews(spark, sf_dir), "review", "text")
 
 
+def mined(spark, sf_dir):
+    """The reviews, and what they mention, mined once and written."""
+    r = reviews(spark, sf_dir)
+    return r.withColumn("parts", F.lit(None).cast("map<string,double>")), cut(themes.mine(r, "review", "text"))
+
+
 @query()
 def category_scores(spark, sf_dir):
-    r = reviews(spark, sf_dir)
-    return themes.category_scores(r.drop("text"), themes.mine(r, "review", "text"), now())
+    r, m = mined(spark, sf_dir)
+    return assessments.evaluate(assessments.scored_items(m, r, now()), r, now())
 
 
 @query()
 def issue_scores(spark, sf_dir):
-    r = reviews(spark, sf_dir)
-    return themes.issue_scores(r.drop("text"), themes.mine(r, "review", "text"), now())
+    r, m = mined(spark, sf_dir)
+    return assessments.issue_assessments(assessments.issue_patterns(m, r, now()), r.groupBy("property").agg(F.count("*").alias("texts")))
 
 
 @query()
 def pest_patterns(spark, sf_dir):
-    r = reviews(spark, sf_dir)
-    return themes.pest_patterns(r.drop("text"), themes.mine(r, "review", "text"))
+    r, m = mined(spark, sf_dir)
+    return themes.pest_patterns(r.drop("text", "parts"), m)
 
 
-@query()
+@query("SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_custkey // 3) AS entity FROM customer")
 def entity_resolution(spark, sf_dir):
     key = F.col("c_custkey")
     site = F.floor(key / 3)

@@ -102,7 +102,7 @@ def run_summary(spark, sf_dir):
     return out.select("run_id", F.array_join(F.array_sort(F.transform(F.map_entries("stats"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), ",").alias("stats"), "status")
 
 
-@query()
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_size":' || CASE WHEN p_size > 10 THEN p_size || '' ELSE 'null' END || '}' AS document FROM part""")
 def served_documents(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size"))
     return views.served_json(p, "p_partkey")

@@ -52,7 +52,7 @@ SELECT user_id, reviews, recent, sources, round(dom, 6) AS dominant_share, round
 
 def _confidence(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("review", F.col("event_id") % 7)
-    return scoring.evidence_confidence(rows, ["user_id"], "review", "event_type", "published", "influence", events_now(), high=7, dominant=0.25, old=0.6)
+    return scoring.evidence_confidence(rows, ["user_id"], "review", "event_type", "published", "influence", events_now(), high=7, high_recent=3, high_single=15, dominant=0.25, old=0.6)
 
 
 @query(CONFIDENCE_SQL)
