@@ -7,6 +7,7 @@ import json
 import math
 import time
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -182,10 +183,11 @@ class ShardStore:
         if not m["shards"]:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumn(shard_col, F.lit(None).cast("string")).withColumn(tier_col, F.lit(None).cast("int"))
-        df = self.spark.read.schema(schema).parquet(*(self._path(s["path"]).toString() for s in m["shards"]))
-        df = df.withColumn(shard_col, F.element_at(F.split(F.input_file_name(), "/"), -1))
-        tiers = self.spark.createDataFrame([(s["path"].split("/")[1], s["tier"]) for s in m["shards"]], f"`{shard_col}` string, `{tier_col}` int")
-        return df.join(tiers, shard_col, "left").select(*schema.names, shard_col, tier_col)  # a row for each file: the planner knows its size
+        parts = []
+        for tier in sorted({s["tier"] for s in m["shards"]}):  # a few, as their sizes grow by a factor: no join tells a row its tier
+            part = self.spark.read.schema(schema).parquet(*(self._path(s["path"]).toString() for s in m["shards"] if s["tier"] == tier))
+            parts.append(part.withColumn(shard_col, F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn(tier_col, F.lit(tier)))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def shard(df: DataFrame, root: str | None = None, **options) -> ShardStore:
