@@ -11,6 +11,7 @@ from ashlar.functions.scalars import haversine_m, jaccard, name_tokens, normaliz
 from ashlar.operators.components import components
 from ashlar.tables import cut, skew_join
 
+
 # Metres within which records can be of one site, and of one site by name.
 SAME_SITE_M = 80.0
 NAME_SITE_M = 40.0
@@ -78,18 +79,21 @@ def near_duplicate_pairs(df: DataFrame, entity: str, row: str, text: str, least:
 
     Rows with equal word sets are one class, known by its smallest row; pairs are between classes (`near_duplicate_members` tells
     the rest). Candidates share a word of their prefixes: of words sorted by rarity, two sets that similar share one of the
-    first (1 - least) n + 1. Sizes must be within the ratio too. Candidates are then compared exactly.
+    first (1 - least) n + 1. Sizes must be within the ratio too, and what is left of both sets after the shared word must be enough for the
+    overlap that the similarity asks for. Candidates are then compared exactly. Texts are cut into words once; only word sets are kept.
     """
-    sets = class_members(df, entity, row, text, least_tokens).groupBy(entity, "words").agg(F.min(row).alias("rep"))
-    exploded = sets.select(entity, "rep", F.explode("words").alias("w"))
-    common = exploded.groupBy(entity, "w").agg(F.count("*").alias("n"))
-    ranked = exploded.join(common, [entity, "w"]).groupBy(entity, "rep").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
-    n = F.size("ws")
-    prefix = F.slice("ws", 1, (n - F.ceil(n * least) + 1).cast("int"))
-    keyed = ranked.select(entity, "rep", n.alias("n"), F.explode(prefix).alias("p")).select(entity, "rep", "n", F.col("p.w").alias("w"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.rep") < F.col("b.rep")) & (F.least("a.n", "b.n") >= least * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, [entity, "w"]).where(near).select(entity, F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    sets = cut(class_members(df, entity, row, text, least_tokens).groupBy(entity, "words").agg(F.min(row).alias("rep")))
+    exploded = sets.select(entity, "rep", F.size("words").alias("n"), F.explode("words").alias("w"))
+    common = cut(exploded.groupBy(entity, "w").agg(F.count("*").alias("many")))
+    total = common.agg(F.sum("many")).first()[0] or 0
+    rare = skew_join(exploded.where(F.col(entity).isNotNull()), common.where(F.col(entity).isNotNull()), [entity, "w"], "many", total)
+    length = F.col("n") - F.ceil(F.col("n") * least) + 1
+    ranked = rare.groupBy(entity, "rep", "n").agg(F.array_sort(F.collect_list(F.struct("many", "w"))).alias("ws"))
+    keyed = cut(ranked.select(entity, "rep", "n", F.posexplode(F.slice("ws", 1, length.cast("int"))).alias("at", "p")).select(entity, "rep", "n", "at", F.col("p.w").alias("w")))
+    a, b = (keyed.select(entity, "w", *(F.col(x).alias(f"{x}_{k}") for x in ("rep", "n", "at"))) for k in "ab")
+    sized = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
+    enough = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) >= least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = a.join(b, [entity, "w"]).where((F.col("rep_a") < F.col("rep_b")) & sized & enough).select(entity, F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     words = sets.select(entity, "rep", "words")
     j = pairs.join(words.withColumnsRenamed({"rep": "a", "words": "wa"}), [entity, "a"]).join(words.withColumnsRenamed({"rep": "b", "words": "wb"}), [entity, "b"])
     return j.withColumn("similarity", jaccard("wa", "wb")).where(F.col("similarity") >= least).select(entity, "a", "b", "similarity")
