@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.plans import evidence, matching, more, pricing, scoring, screening, serving, streams  # noqa: F401  they register themselves
+from ashlar.plans import evidence, matching, more, pricing, scoring, screening, serving, sources, streams  # noqa: F401  they register themselves
 from ashlar.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "qualifying_parts"
