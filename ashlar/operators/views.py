@@ -47,7 +47,8 @@ def evidence_index(*parts: DataFrame) -> DataFrame:
     for k, p in enumerate(parts):
         p = p.withColumn("__part", F.lit(k))
         all_ = p if all_ is None else all_.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy("id").orderBy(F.desc("__part"), F.hash(*[c for c in all_.columns if c != "__part"]))
+    rest = [c for c in all_.columns if c not in ("__part", "id")]
+    w = Window.partitionBy("id").orderBy(F.desc("__part"), *(F.to_json(F.struct(c)) for c in rest))  # by their content, whatever their types are
     return all_.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__part")
 
 

@@ -185,12 +185,6 @@ def flatten_units(listings: DataFrame) -> DataFrame:
     return listings.select("listing_id", F.explode("units").alias("u")).select("listing_id", "u.*")
 
 
-def restricted(*names) -> Column:
-    """Whether a unit's or plan's name says that incomes or ages are limited."""
-    pattern = r"(?i)\b(income|bmr|below[- ]market|affordable|senior|\d{2}\s*%\s*ami|ami)(?![a-z])"
-    return F.greatest(F.lit(False), *(F.coalesce(F.rlike(n, F.lit(pattern)), F.lit(False)) for n in names))
-
-
 def expense_rollup(df: DataFrame, keys: list[str], label: str, amount: str) -> DataFrame:
     """Per label: its distinct amounts, sorted, and whether they vary."""
     g = df.where(F.col(amount).isNotNull()).groupBy(*keys, label).agg(F.array_sort(F.collect_set(amount)).alias("amounts"))
