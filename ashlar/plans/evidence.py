@@ -145,6 +145,14 @@ def comments_summaries(spark, sf_dir):
     return cards.comments_summary(_mentions(spark, sf_dir).join(r.select("review", "property"), "review"), r, "property", now())
 
 
+@query(f"""
+WITH {REVIEWS_SQL} SELECT property, theme, min(review) AS review, strftime(min(published), '%Y-%m-%d') AS published FROM m JOIN rv USING (review) WHERE theme IN ('cockroaches', 'mold') GROUP BY 1, 2 HAVING count(*) = 1
+""")
+def single_allegations(spark, sf_dir):
+    out = assessments.single_allegations(_mentions(spark, sf_dir), _reviews(spark, sf_dir))
+    return out.select("property", "theme", "review", F.date_format("published", "yyyy-MM-dd").alias("published"))
+
+
 # -- audit and storage: claims are orders, their evidence lines of orders
 
 
