@@ -212,3 +212,37 @@ def review_panel(entities: DataFrame, reviews: DataFrame, quality: DataFrame, th
     missing = F.when(F.col("n_reviews") == 0, "Review data: No reviews found").otherwise("Not evaluated yet.")
     empty = F.array().cast("array<string>")
     return j.select(entity, "n_reviews", F.coalesce("confidence", F.lit("insufficient")).alias("confidence"), F.when(F.col("confidence").isNull(), missing).otherwise(F.col("summary")).alias("summary"), F.coalesce("praised", empty).alias("praised"), F.coalesce("criticized", empty).alias("criticized"))
+
+
+def review_inputs(reviews: DataFrame, evidence: DataFrame, entity: str) -> DataFrame:
+    """What is evaluated of each entity: its reviews with the text and date of their evidence, and the latest summary of its reviews, marked as one. reviews: entity, evidence_id,
+    rating; evidence: entity, evidence_id, kind, source, content, published, collected. Reviews without evidence are left out."""
+    own = evidence.where("kind = 'review'").select("evidence_id", "source", F.col("content").alias("text"), "published")
+    listed = reviews.join(own, "evidence_id").select(entity, "evidence_id", "source", "rating", "text", "published", F.lit(False).alias("is_summary"))
+    fields = F.struct("collected", "evidence_id", "source", "content", "published")
+    last = evidence.where("kind = 'review_summary'").groupBy(entity).agg(F.max(fields).alias("s")).select(
+        entity, "s.evidence_id", "s.source", F.lit(None).cast(listed.schema["rating"].dataType).alias("rating"), F.col("s.content").alias("text"), "s.published", F.lit(True).alias("is_summary"))
+    return listed.unionByName(last)
+
+
+def context(entities: DataFrame, entity: str, latest: dict[str, tuple[DataFrame, list[str]]], whole: dict[str, DataFrame]) -> DataFrame:
+    """Entities with all that a page of theirs needs: of each table in `latest` (with its order) the last row as a struct, null if there is none; of each in `whole` all
+    rows as an array of structs, empty if there are none. A table is aggregated by the entity before it is joined."""
+    out = entities
+    for name, (df, order) in latest.items():
+        rest = [c for c in df.columns if c not in (entity, *order)]
+        out = out.join(df.groupBy(entity).agg(F.max(F.struct(*order, *rest)).alias(name)), entity, "left")
+    for name, df in whole.items():
+        rows = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != entity]))).alias(name))
+        empty = F.array().cast(rows.schema[name].dataType)
+        out = out.join(rows, entity, "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
+def intelligence(items: DataFrame, entity: str, now: Column, least: int = 2, most: int = 5) -> DataFrame:
+    """Per entity, polarity and theme: reviews and how many of them are recent, of themes that `least` reviews share, the `most` commonest of each polarity, equals by theme.
+    items: entity, review, theme, polarity, published."""
+    one = items.where(F.col("polarity").isin("positive", "negative")).groupBy(entity, "polarity", "theme", "review").agg(F.max(is_recent("published", now).cast("int")).alias("new"))
+    g = one.groupBy(entity, "polarity", "theme").agg(F.count("*").alias("reviews"), F.sum("new").alias("recent")).where(F.col("reviews") >= least)
+    w = Window.partitionBy(entity, "polarity").orderBy(F.desc("reviews"), "theme")
+    return g.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)

@@ -360,3 +360,37 @@ def evaluated_properties(spark, sf_dir):
     """All categories of every property by the registered evaluators, from mentions classified once."""
     return assessments.evaluate_all(_reviews(spark, sf_dir), _mentions(spark, sf_dir), now())
 
+
+
+@query(f"""
+WITH {REVIEWS_SQL}, g AS (SELECT property, polarity, theme, count(DISTINCT review) AS reviews, count(DISTINCT CASE WHEN new THEN review END) AS recent FROM it WHERE polarity <> 'neutral' GROUP BY 1, 2, 3 HAVING count(DISTINCT review) >= 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY property, polarity ORDER BY reviews DESC, theme) AS rank FROM g) WHERE rank <= 5
+""")
+def review_intelligence(spark, sf_dir):
+    return cards.intelligence(_items(spark, sf_dir), "property", now())
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS id, o_custkey AS property, CASE WHEN o_orderkey % 4 = 0 THEN 'review_summary' WHEN o_orderkey % 4 = 1 THEN 'price' ELSE 'review' END AS kind, 'text ' || o_orderkey AS text, o_orderdate AS d FROM orders)
+SELECT property, id AS evidence_id, id % 5 + 1 AS rating, text, false AS is_summary FROM e WHERE kind = 'review'
+UNION ALL SELECT property, id, NULL, text, true FROM (SELECT *, row_number() OVER (PARTITION BY property ORDER BY d DESC, id DESC) AS rn FROM e WHERE kind = 'review_summary') WHERE rn = 1
+""")
+def review_inputs(spark, sf_dir):
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(key % 4 == 0, "review_summary").when(key % 4 == 1, "price").otherwise("review")
+    e = o.select(F.col("o_custkey").alias("property"), key.alias("evidence_id"), kind.alias("kind"), F.lit("s").alias("source"), F.concat(F.lit("text "), key.cast("string")).alias("content"), F.col("o_orderdate").alias("published"), F.col("o_orderdate").alias("collected"))
+    r = o.select(F.col("o_custkey").alias("property"), key.alias("evidence_id"), (key % 5 + 1).alias("rating"))
+    return cards.review_inputs(r, e, "property").select("property", "evidence_id", "rating", "text", "is_summary")
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS id, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), n AS (SELECT o_custkey AS id, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1)
+SELECT c_custkey AS id, last AS last_order, coalesce(n, 0) AS n_orders, round(coalesce(t, 0), 2) AS total FROM customer LEFT JOIN l ON l.id = c_custkey LEFT JOIN n ON n.id = c_custkey
+""")
+def entity_context(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", "o_totalprice")
+    e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    out = cards.context(e, "id", {"latest": (o.where("o_orderkey % 3 = 0"), ["o_orderkey"])}, {"orders": o})
+    total = F.aggregate("orders", F.lit(0.0), lambda a, x: a + x["o_totalprice"])
+    return out.select("id", F.col("latest.o_orderkey").alias("last_order"), F.size("orders").cast("long").alias("n_orders"), F.round(total, 2).alias("total"))
