@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ashlar.functions import scalars as S
 from ashlar.operators import assessments, cards, writes
 from ashlar.operators.scoring import CATEGORY_WEIGHTS
-from ashlar.plans.matching import FEES, FEES_SQL, REVIEWS
+from ashlar.plans.matching import FEES, FEES_SQL, REVIEWS, mined
 from ashlar.plans.matching import STATED_SQL as STATED_TEXTS_SQL
 from ashlar.plans.pricing import NOW, now
 from ashlar.plans.registry import query
@@ -29,7 +29,7 @@ m AS (SELECT DISTINCT review, s.c AS category, s.t AS theme, s.p AS polarity FRO
 pt AS (SELECT review, category, avg(raw) AS raw FROM (SELECT o_orderkey AS review, 'noise' AS category, 1.0 + o_orderkey % 5 AS raw FROM orders WHERE o_orderkey % 4 = 0
   UNION ALL SELECT o_orderkey, 'management', 1.0 + o_orderkey % 6 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'management', 0.0 + o_orderkey % 7 FROM orders WHERE o_orderkey % 6 = 0) WHERE raw BETWEEN 1 AND 5 GROUP BY 1, 2),
 ch AS (SELECT property, min(published) AS changed FROM m JOIN rv USING (review) WHERE theme = 'management_change' GROUP BY 1),
-i0 AS (SELECT review, category, theme, polarity, CASE WHEN polarity = 'positive' THEN 1.0 ELSE -1.0 END AS value, coalesce(map {{'cockroaches': 1.8, 'package_theft': 1.3}}[theme], 1.0) AS severity, NULL AS raw FROM m WHERE polarity <> 'neutral'
+i0 AS (SELECT review, category, theme, polarity, CASE WHEN polarity = 'positive' THEN 1.0 ELSE -1.0 END AS value, coalesce(map {{'cockroaches': 1.8, 'package_theft': 1.3, 'rodents': 1.6}}[theme], 1.0) AS severity, NULL AS raw FROM m WHERE polarity <> 'neutral'
   UNION ALL SELECT review, category, 'subscore', CASE WHEN raw > 3 THEN 'positive' WHEN raw < 3 THEN 'negative' ELSE 'neutral' END, (raw - 3) / 2, 1.0, raw FROM pt),
 it AS (SELECT *, published IS NOT NULL AND {_AGE} <= 2 AS new, published IS NOT NULL AND {_AGE} > 4 AS old, CASE WHEN published IS NULL THEN 0.3 WHEN {_AGE} <= 2 THEN 1.0 WHEN {_AGE} <= 4 THEN 0.6 WHEN {_AGE} <= 7 THEN 0.3 ELSE 0.15 END
   * CASE WHEN category = 'management' AND published < changed THEN 0.5 ELSE 1.0 END AS w FROM i0 JOIN rv USING (review) LEFT JOIN ch USING (property))
@@ -394,3 +394,28 @@ def entity_context(spark, sf_dir):
     out = cards.context(e, "id", {"latest": (o.where("o_orderkey % 3 = 0"), ["o_orderkey"])}, {"orders": o})
     total = F.aggregate("orders", F.lit(0.0), lambda a, x: a + x["o_totalprice"])
     return out.select("id", F.col("latest.o_orderkey").alias("last_order"), F.size("orders").cast("long").alias("n_orders"), F.round(total, 2).alias("total"))
+
+
+# -- mined reviews
+
+#: The reviews of the customer table and what they state, in place of the orders'.
+MINED_SQL = f"""
+rv AS (SELECT c_custkey % 40 AS property, c_custkey AS review, 's' || c_custkey % 3 AS source, CASE WHEN c_custkey % 11 > 0 THEN TIMESTAMP '2001-08-01 00:00:00' - to_days((c_custkey * 37 % 3000)::INT) END AS published FROM customer),
+m AS (SELECT c_custkey AS review, category, theme, polarity FROM customer JOIN {STATED_TEXTS_SQL} ON c_custkey * 7 % 12 = k),
+pt AS (SELECT 0::BIGINT AS review, '' AS category, 0.0 AS raw WHERE false),
+""" + REVIEWS_SQL[REVIEWS_SQL.index("ch AS (") :]
+
+
+@query(f"WITH {EVALUATION_SQL.replace(REVIEWS_SQL, MINED_SQL)} SELECT * FROM ev")
+def category_scores(spark, sf_dir):
+    r, m = mined(spark, sf_dir)
+    return assessments.evaluate(assessments.scored_items(m, r, now()), r, now()).drop("summary")
+
+
+@query(f"""
+WITH {ISSUES_SQL.replace(REVIEWS_SQL, MINED_SQL)}, t AS (SELECT property, count(*) AS texts FROM rv GROUP BY 1), s AS (SELECT property, count(*) FILTER (status = 'recurring_current') AS nc, count(*) FILTER (status = 'recurring_old') AS old FROM iss GROUP BY 1)
+SELECT property, texts, CASE WHEN texts >= 5 THEN floor(greatest(1.0, 10 - 1.5 * coalesce(nc, 0) - 0.75 * coalesce(old, 0)) * 10 + 0.5 + 1e-9) / 10 END AS score FROM t LEFT JOIN s USING (property)
+""")
+def issue_scores(spark, sf_dir):
+    r, m = mined(spark, sf_dir)
+    return assessments.issue_assessments(assessments.issue_patterns(m, r, now()), r.groupBy("property").agg(F.count("*").alias("texts"))).drop("summary")
