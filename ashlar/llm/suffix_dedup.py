@@ -36,6 +36,8 @@ PASS = 8
 CHUNK = 1 << 20
 #: Bytes of text to a bucket of digits.
 BUCKET_BYTES = 16 << 20
+#: Tasks to a shuffle; with more buckets a task takes several, one after the other.
+MOST_TASKS = 20_000
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
 _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
 _PLACE = np.uint64((1 << 24) - 1)
@@ -105,9 +107,9 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, n
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column, and where each value starts."""
+    column = column.cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or column.buffers()[2] is None:
         return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
@@ -130,6 +132,15 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, new])
 
 
+def _own_names(cuts: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows cut at `cuts` from entries of pieces: each entry's place among its row's pieces, and the pieces of all rows with where each row's
+    start. A row names only the documents that it holds, so what is sent follows the entries and not how many buckets there are."""
+    row = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(piece)]))
+    used, entry = np.unique(row * (int(_MANY) + 1) + piece, return_inverse=True)
+    first = np.searchsorted(used, np.arange(len(cuts)) * (int(_MANY) + 1))
+    return entry - first[row], used % (int(_MANY) + 1), first
+
+
 def _per_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """A range of mixed hashes to a bucket. Digits are the least hashes of their windows, so their own leading bits are nearly all zero."""
     mixed = hashes * np.uint64(_MULT)
@@ -157,7 +168,7 @@ def _first_pass(buckets: int):
                 at = _starts(h)
                 many = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
                 one = h[at]
-                who = np.where(many, _MANY, piece[at].astype(np.uint16))
+                whose = piece[at]
                 told = np.repeat(many, np.diff(np.r_[at, len(h)]))
                 d, x = doc[told], h[told]
                 by = np.argsort(d, kind="stable")
@@ -168,10 +179,12 @@ def _first_pass(buckets: int):
                     yield pa.RecordBatch.from_arrays([pa.array(d[cuts] % buckets), pa.array(d[cuts]), _grouped(x, cuts), none, none], schema=schema)
                 dest = _per_bucket(one, buckets)
                 by = np.argsort(dest, kind="stable")
-                one, who, dest = one[by], who[by], dest[by]
+                one, many, dest = one[by], many[by], dest[by]
                 cuts = _starts(dest)
-                names = ids[row : row + len(bounds) - 1].astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), pa.nulls(len(cuts), pa.int64()), _grouped(one, cuts), _grouped(who, cuts), pa.array([names] * len(cuts), pa.binary())], schema=schema)
+                entry, named, first = _own_names(cuts, whose[by])
+                who = np.where(many, _MANY, entry.astype(np.uint16))
+                names = ids[row + named].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), pa.nulls(len(cuts), pa.int64()), _grouped(one, cuts), _grouped(who, cuts), _grouped(names, first)], schema=schema)
 
     return run
 
@@ -193,18 +206,14 @@ def _left_over(group: pa.Table) -> pa.Table:
     give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
-    hs, docs, manies = [], [], []
-    for x, who, ids in zip(rest["digits"], rest["who"], rest["ids"]):
-        w = np.frombuffer(who.as_buffer(), np.uint16)
-        names = np.frombuffer(ids.as_buffer(), np.int64)
-        many = w == _MANY
-        hs.append(np.frombuffer(x.as_buffer(), np.uint64))
-        docs.append(names[np.where(many, 0, w)])
-        manies.append(many)
     docs_out, out = _unpacked(found, "digits", 8)
     out = out.view(np.uint64)
-    if hs:
-        h, doc, many = np.concatenate(hs), np.concatenate(docs), np.concatenate(manies)
+    if rest.num_rows:
+        h, w = (np.frombuffer(_bytes_of(rest[n])[0].tobytes(), kind) for n, kind in (("digits", np.uint64), ("who", np.uint16)))
+        names, starts = _bytes_of(rest["ids"])
+        many = w == _MANY
+        row = np.repeat(starts[:-1] // 8, np.diff(_bytes_of(rest["who"])[1]) // 2)
+        doc = np.frombuffer(names.tobytes(), np.int64)[row + np.where(many, 0, w)]
         order = np.argsort(h, kind="stable")
         h, doc, many = h[order], doc[order], many[order]
         at = _starts(h)
@@ -257,15 +266,13 @@ def _second_pass(buckets: int):
                 by = np.lexsort((h[go], dest))
                 order, dest = np.flatnonzero(go)[by], dest[by]
                 cuts = _starts(dest)
-                names = np.column_stack([ids[row : row + len(bounds) - 1], ths[row : row + len(bounds) - 1]]).astype(np.int64).tobytes()
-                packed, who = [], []
-                for a, z in zip(cuts, np.r_[cuts[1:], len(order)]):
-                    part = order[a:z]
-                    packed.append(pack(whole[part].tobytes()))
-                    who.append(np.column_stack([piece[part], place[part]]).astype(np.int64).tobytes())
+                entry, named, first = _own_names(cuts, piece[order])
+                names = np.column_stack([ids[row + named], ths[row + named]]).astype(np.int64)
+                who = np.column_stack([entry, place[order]]).astype(np.int32)
+                packed = [pack(whole[order[a:z]].tobytes()) for a, z in zip(cuts, np.r_[cuts[1:], len(order)])]
                 n = len(cuts)
                 nulls = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(n, pa.binary()), pa.array(packed, pa.binary()), pa.array(who, pa.binary()), pa.array([names] * n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(n, pa.binary()), pa.array(packed, pa.binary()), _grouped(who, cuts), _grouped(names, first)], schema=schema)
 
     return run
 
@@ -342,33 +349,50 @@ def covered_offsets(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
     return least, most
 
 
-def _full_depth():
-    def run(group: pa.Table) -> pa.Table:
-        give_back()
-        own = pa.compute.is_valid(group["doc_id"])
-        found, rest = group.filter(own), group.filter(pa.compute.invert(own))
-        doc_out, spans_out = _unpacked(found, "spans", 16)
-        th_out = np.repeat(found["th"].to_numpy().astype(np.int64), np.diff(_bytes_of(found["spans"])[1]) // 16)
-        spans_out = spans_out.reshape(-1, 2)
-        wholes, docs, ths, places = [], [], [], []
+def _full_depth(group: pa.Table) -> pa.Table:
+    """Of a bucket: (document, text, span) for each stretch that a smaller document covers."""
+    give_back()
+    own = pa.compute.is_valid(group["doc_id"])
+    found, rest = group.filter(own), group.filter(pa.compute.invert(own))
+    doc_out, spans_out = _unpacked(found, "spans", 16)
+    th_out = np.repeat(found["th"].to_numpy().astype(np.int64), np.diff(_bytes_of(found["spans"])[1]) // 16)
+    spans_out = spans_out.reshape(-1, 2)
+    if rest.num_rows:
         unpack = zstandard.ZstdDecompressor().decompress
-        for x, who, ids in zip(rest["packed"], rest["who"], rest["ids"]):
-            wholes.append(np.frombuffer(unpack(x.as_py()), np.uint8).reshape(-1, _WIDTH + 2))
-            w = np.frombuffer(who.as_buffer(), np.int64).reshape(-1, 2)
-            names = np.frombuffer(ids.as_buffer(), np.int64).reshape(-1, 2)[w[:, 0]]
-            docs.append(names[:, 0])
-            ths.append(names[:, 1])
-            places.append(w[:, 1])
-        if wholes:
-            doc = np.concatenate(docs)
-            least, most = covered_offsets(np.concatenate(wholes), doc)
-            hit = most >= 0
-            place = np.concatenate(places)[hit]
-            doc_out, th_out = np.r_[doc_out, doc[hit]], np.r_[th_out, np.concatenate(ths)[hit]]
-            spans_out = np.r_[spans_out, np.column_stack([place - most[hit], place - least[hit] + THRESHOLD])]
-        return pa.table([pa.array(x, pa.int64()) for x in (doc_out, th_out, spans_out[:, 0], spans_out[:, 1])], names=["doc_id", "th", "a", "z"])
+        whole = np.concatenate([np.frombuffer(unpack(x.as_py()), np.uint8) for x in rest["packed"]]).reshape(-1, _WIDTH + 2)
+        data, offsets = _bytes_of(rest["who"])
+        who = np.frombuffer(data.tobytes(), np.int32).reshape(-1, 2)
+        data, starts = _bytes_of(rest["ids"])
+        names = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2)[np.repeat(starts[:-1] // 16, np.diff(offsets) // 8) + who[:, 0]]
+        least, most = covered_offsets(whole, names[:, 0])
+        hit = most >= 0
+        place = who[hit, 1].astype(np.int64)
+        doc_out, th_out = np.r_[doc_out, names[hit, 0]], np.r_[th_out, names[hit, 1]]
+        spans_out = np.r_[spans_out, np.column_stack([place - most[hit], place - least[hit] + THRESHOLD])]
+    return pa.table([pa.array(x, pa.int64()) for x in (doc_out, th_out, spans_out[:, 0], spans_out[:, 1])], names=["doc_id", "th", "a", "z"])
+
+
+def _by_bucket(df: DataFrame, buckets: int, work, schema: str) -> DataFrame:
+    """What `work` makes of the table of each bucket. Buckets are dealt out to tasks one after the other: by their hashes some tasks would get several more
+    than others. A task holds one bucket at a time."""
+    tasks = min(buckets, MOST_TASKS)
+    dealt = df.repartitionById(tasks, (F.col("dest") % tasks).cast("int")).sortWithinPartitions("dest")
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for b in batches:
+            dest = b.column(0).to_numpy()
+            cuts = _starts(dest)
+            for start, end in zip(cuts, np.r_[cuts[1:], len(dest)]):
+                if held and dest[start] != bucket:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                bucket = dest[start]
+                held.append(b.slice(start, end - start))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(tidy(run), schema)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -397,13 +421,13 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= THRESHOLD))
 
     first = named.select("doc_id", "text").mapInArrow(tidy(_first_pass(buckets)), _FIRST)
-    left = first.groupBy("dest").applyInArrow(_left_over, "doc_id long, digit long")
+    left = _by_bucket(first, buckets, _left_over, "doc_id long, digit long")
     with small_batches(df.sparkSession, 250):
         left = cut(left.groupBy("doc_id").agg(F.collect_list("digit").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(tidy(_second_pass(buckets)), _SECOND)
-    spans = second.groupBy("dest").applyInArrow(_full_depth(), "doc_id long, th long, a long, z long")
+    spans = _by_bucket(second, buckets, _full_depth, "doc_id long, th long, a long, z long")
     with small_batches(df.sparkSession, 500):
         spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
