@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,12 +23,16 @@ class Spec:
     """How a site keeps a listing in its page's JSON: where the JSON is, what marks the listing's object, and the names of fields, each as
     alternatives tried in order; a name may go through objects by dots, and through all items of a list by *. Plans hold units; a plan
     without any counts as one itself. Where units stand beside plans, plan_ref names the unit's and the plan's field that agree.
-    skip_unit and need_unit are fields of units that must be false or absent, and true; skip_plan likewise of plans."""
+    skip_unit and need_unit are fields of units that must be false or absent, and true; skip_plan likewise of plans. JSON may also follow a text in the page
+    (`after`). Where the flag of `instead` holds for a unit, its fields have other names. plans_alone: plans count where the page has no unit."""
 
     script_id: str | None = "__NEXT_DATA__"
     script_type: str | None = None
     flight: bool = False
     whole: bool = False
+    after: str | None = None
+    instead: tuple[str, dict[str, tuple[str, ...]]] | None = None
+    plans_alone: bool = False
     plan_ref: tuple[str, str] | None = None
     skip_plan: tuple[str, ...] = ()
     skip_unit: tuple[str, ...] = ()
@@ -81,6 +86,11 @@ def beds(v) -> int | None:
 
 
 def _script(spec: Spec, html: str) -> Iterator:
+    if spec.after:
+        at = html.find(spec.after)
+        if at >= 0:
+            yield json.JSONDecoder().raw_decode(html, at + len(spec.after))[0]
+        return
     if spec.whole:
         texts = [html]
     elif spec.flight:
@@ -107,27 +117,41 @@ def _pairs(spec: Spec, o: dict) -> Iterator[tuple[dict, dict | None]]:
         by = {str(_at(p, theirs)): p for p in plans}
         for u in good(_pick(o, spec.units)):
             yield by.get(str(_at(u, mine)), {}), u
+        if spec.plans_alone and not _pick(o, spec.units):
+            for p in plans:
+                yield p, None
         return
     for p in plans:
         for u in good(_pick(p, spec.units)) or [None]:
             yield p, u
 
 
+def _day(v) -> str | None:
+    """The day of a moment: seconds since 1970, or a text that starts with the day."""
+    if isinstance(v, bool) or not v:
+        return None
+    if isinstance(v, (int, float)) or re.fullmatch(r"\d{9,}", v if isinstance(v, str) else ""):
+        return datetime.fromtimestamp(int(v), UTC).date().isoformat() if int(v) > 0 else None
+    return str(v)[:10]
+
+
 def _unit(spec: Spec, plan: dict, unit: dict | None, k: int) -> dict | None:
     """A unit's row; what it doesn't say is its plan's. None without a price."""
     u = spec.unit_fields
+    if spec.instead and _at(plan if unit is None else unit, spec.instead[0]):
+        u = u | spec.instead[1]
 
     def get(name: str):
         own = _pick(unit, u.get(name, ())) if unit is not None else None
         return _pick(plan, u.get(name, ())) if own is None else own
 
-    low, high = number(get("price_min")), number(get("price_max"))
-    if low is None and high is None:
+    low, high, total = (number(get(n)) for n in ("price_min", "price_max", "total"))
+    if low is None and high is None and total is None:
         return None
     key = get("key") if unit is not None else _pick(plan, u.get("plan_key", u.get("key", ())))
     size = number(get("sqft"))
     return {"unit_key": str(key if key is not None else k), "kind": "unit" if unit is not None else "floorplan", "beds": beds(get("beds")), "baths": number(get("baths")), "sqft": int(size) if size else None,
-            "base_min": low or high, "base_max": high or low, "total": number(get("total")), "available_on": str(get("available"))[:10] if get("available") else None}
+            "base_min": low or high, "base_max": high or low, "total": total, "available_on": _day(get("available"))}
 
 
 def read_listings(spec: Spec) -> Callable[[str], list[tuple]]:

@@ -9,20 +9,22 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ashlar.functions.scalars import c, seconds_between
 
-# Signs of a page that asks for proof of a person instead of answering.
-HARD_SIGNS = ("captcha-delivery", "px-captcha", "cf-challenge", "challenge-platform", "_incapsula_resource")
-SOFT_SIGNS = ("access denied", "are you a human", "verify you are human", "unusual traffic", "request blocked")
+# Signs of a page that asks for proof of a person instead of answering; the soft ones stand in normal pages too.
+HARD_SIGNS = ("<title>Client Challenge</title>", "px-captcha", "cf-chl-", "Access Denied</title>", "Pardon Our Interruption")
+SOFT_SIGNS = ("awsWafCookieDomainList", "gokuProps", "AwsWafIntegration", "/cdn-cgi/challenge-platform/", "g-recaptcha")
 SOFT_LIMIT = 20_000
 
 
 def looks_like_challenge(html) -> Column:
-    """Hard signs anywhere; soft ones only on short pages."""
-    low = F.lower(F.coalesce(c(html), F.lit("")))
-    return low.rlike("|".join(HARD_SIGNS)) | ((F.length(low) < SOFT_LIMIT) & low.rlike("|".join(SOFT_SIGNS)))
+    """Hard signs anywhere; soft ones only on short pages. Null is an empty page."""
+    text = F.coalesce(c(html), F.lit(""))
+    says = lambda signs: F.greatest(F.lit(False), *(F.contains(text, F.lit(x)) for x in signs))
+    return says(HARD_SIGNS) | ((F.length(text) < SOFT_LIMIT) & says(SOFT_SIGNS))
 
 
 def content_address(text) -> Column:
@@ -93,7 +95,7 @@ def read_pages(df: DataFrame, key: str, html: str, schema: str, reader: Callable
     """key and the columns of `schema`, a row for each tuple that `reader` makes of a page. Pages are read where they are; a reader that
     fails on a page gives that page none."""
     kind = df.schema[key].dataType.simpleString()
-    names = [part.split()[0] for part in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,16 +114,18 @@ def read_pages(df: DataFrame, key: str, html: str, schema: str, reader: Callable
 
 
 def robots_rules(df: DataFrame, host: str, text: str, agent: str) -> DataFrame:
-    """host, allow, pattern: the rules that hold for an agent: those of groups that name it, else those for all. Lines are numbered and
-    each rule takes the group of the user-agent lines right before its block."""
+    """host, allow, pattern: the rules that hold for an agent: those of groups that name its product (what comes before a slash), else those for all.
+    Lines are numbered and each rule takes the group of the user-agent lines right before its block; a group without any rule line doesn't count."""
     lines = df.select(host, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r?\n")).alias("n", "line"))
     clean = F.trim(F.regexp_replace("line", "#.*$", ""))
     parts = lines.select(host, "n", F.lower(F.trim(F.split_part(clean, F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_extract(clean, r"^[^:]*:(.*)$", 1)).alias("value")).where("field in ('user-agent', 'allow', 'disallow')")
     w = Window.partitionBy(host).orderBy("n")
     starts = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(w), F.lit("")) != "user-agent")
     grouped = parts.withColumn("s", starts.cast("int")).withColumn("g", F.sum("s").over(w))
-    who = F.lower(F.lit(agent))
-    named = grouped.where("field = 'user-agent'").groupBy(host, "g").agg(F.max(F.when(F.col("value") == "*", 1).when(F.contains(who, F.lower("value")), 2).otherwise(0)).alias("fit"))
+    who = F.lit(agent.split("/", 1)[0].strip().lower())
+    agents = F.col("field") == "user-agent"
+    fit = F.max(F.when(agents & (F.col("value") == "*"), 1).when(agents & (F.lower("value") == who), 2).otherwise(0))
+    named = grouped.groupBy(host, "g").agg(fit.alias("fit"), F.bool_or(~agents).alias("ruled")).where("ruled")
     best = named.where("fit > 0").groupBy(host).agg(F.max("fit").alias("fit"))
     use = named.join(best, [host, "fit"]).select(host, "g")
     rules = grouped.where("field <> 'user-agent' and value <> ''").join(use, [host, "g"])

@@ -33,6 +33,23 @@ SITES = {
         plans=("floorPlans.floorPlanGroups.*.plans",), units=("units",), skip_plan=("isRoomForRent",), skip_unit=("isRoomForRent",),
         unit_fields={"key": ("id", "name"), "plan_key": ("id", "name"), "beds": ("bedrooms.formattedValue", "bedrooms"), "baths": ("bathrooms.formattedValue", "bathrooms"), "sqft": ("floorSpace.min", "floorSpace.formattedDimension"), "price_min": ("priceRange.min", "priceRange.formattedPrice"), "price_max": ("priceRange.max", "priceRange.min"), "available": ("availabilityDate",)},
     ),
+    "platform_1": Spec(
+        after="Fusion.globalContent=", marks=("communityId",), plan_ref=("floorPlan.id", "id"), units=("units",),
+        fields={"id": ("communityId",), "name": ("name",), "street": ("address.addressLine1",), "city": ("address.city",), "zip": ("address.zip",), "lat": ("coordinates.latitude",), "lon": ("coordinates.longitude",)},
+        unit_fields={
+            "key": ("unitId",), "beds": ("bedroomNumber",), "baths": ("bathroomNumber",), "sqft": ("squareFeet",), "price_min": ("startingAtPricesUnfurnished.prices.price",),
+            "price_max": ("startingAtPricesUnfurnished.prices.price",), "total": ("startingAtPricesUnfurnished.prices.totalPrice",), "available": ("availableDateUnfurnished",),
+        },
+    ),
+    "platform_2": Spec(
+        script_id="jd-fp-data-script-app", marks=("floorplans",), plan_ref=("floorplan_id", "id"), plans=("floorplans",), units=("units",), plans_alone=True,
+        unit_fields={
+            "key": ("id_value", "id"), "plan_key": ("id",), "beds": ("bedrooms",), "baths": ("bathrooms",), "sqft": ("square_feet",), "price_min": ("price_entity.priceLow",), "price_max": ("price_entity.priceHigh", "price_entity.priceLow"),
+            "available": ("available_date", "available_date_min"),
+        },
+        # With fees in the headline price that price is the total, and rents have fields of their own.
+        instead=("price_entity.pricingReflectFees", {"price_min": ("price_entity.adjusted.low_no_fees",), "price_max": ("price_entity.adjusted.high_no_fees", "price_entity.adjusted.low_no_fees"), "total": ("price_entity.priceLow",)}),
+    ),
     "platform_3": Spec(
         whole=True, marks=("units_data",), plans=("units_data.layouts",), units=("units_data.units",), plan_ref=("layoutId", "id"), skip_unit=("hidden", "leased"), need_unit=("available",),
         unit_fields={"key": ("id",), "beds": ("bedrooms",), "baths": ("bathrooms",), "sqft": ("area",), "price_min": ("displayPrice", "price"), "price_max": ("displayPrice", "price"), "available": ("availableOn",)},
@@ -44,7 +61,7 @@ SITES = {
 }
 
 # What in a page or its address tells the platform, in the order they are tried.
-PLATFORMS = {"platform_1": "Fusion\\.globalContent", "platform_2": "application/json[^>]*data-jd-fp|jd-fp-floorplan", "platform_3": "doorway\\.knck\\.io|knock-doorway", "platform_4": "sightmap\\.com/embed"}
+PLATFORMS = {"platform_1": '(?s)Fusion\\.globalContent=.*"communityId":"AVB-', "platform_2": 'id="jd-fp-data-script-app"|(?i)<meta[^>]+name="generator"[^>]+content="Jonah Systems', "platform_3": "doorway\\.knck\\.io|knock-doorway", "platform_4": "sightmap\\.com/embed"}
 
 
 def platforms(html) -> Column:

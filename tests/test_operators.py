@@ -77,7 +77,7 @@ def test_pages(spark):
     assert [(u["unit_key"], u["beds"], u["base_min"]) for u in got[0][8]] == [("A", 0, 1500.0), ("A#2", 0, 1600.0), ("2", 1, 2000.0)]
     assert pages.flight_rows('self.__next_f.push([1,"1:T5,héb\\n2:[\\"x\\"]\\n"])') == [("1", "héb\n"), ("2", '["x"]')]
     assert list(pages.objects({"a": [{"b": {}}]})) == [{"a": [{"b": {}}]}, {"b": {}}, {}]
-    assert [r[0] for r in spark.createDataFrame([("x px-captcha",), ("Access Denied",), ("fine",), ("access denied" + " " * 20_000,)], "h string").select(pages.looks_like_challenge("h")).collect()] == [True, True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("x px-captcha",), ("<title>Access Denied</title>",), ("Access Denied",), ("g-recaptcha",), ("fine",), (None,), ("g-recaptcha" + " " * 20_000,)], "h string").select(pages.looks_like_challenge("h")).collect()] == [True, True, False, True, False, False, False]
 
 
 def test_robots(spark):
