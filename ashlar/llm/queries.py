@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, packing, sharding, simhash, suffix_dedup
+from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op11_pack": packing.op11_pack,
+    "op12_whiten": whitening.op12_whiten,
 }
 
 ORACLE_SQL = {
