@@ -27,12 +27,15 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Characters of text that are tokenized at a time; longer texts are cut where that changes no id.
 RUN_CHARS = 1 << 20
-#: Words that a worker remembers the ids of, and how long they may be: about 120 MB.
+#: Words that a worker remembers the ids of for good and for a while, and how long they may be: about 120 and 60 MB.
 KNOWN_WORDS = 600_000
+RECENT_WORDS = 300_000
 KNOWN_CHARS = 32
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"^ |\s \S|\S \s|  | $")
+_SPACES = [chr(k) for k in range(0x3001) if chr(k).isspace() and k != 0x20]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
+_ENDS = ".,;:!?"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
@@ -55,6 +58,8 @@ class Ids:
         self.begins = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.begins[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.ends = dict(zip(_ENDS, (x.tobytes() for x in self._encode(list(_ENDS)))))
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -67,31 +72,40 @@ class Ids:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each with a space before it. Those without a space inside are tokenized as one text: each begins where an id begins with a space."""
-        plain = [w for w in words if " " not in w]
+        """Ids of words, each with a space before it. A letter and a mark after it are never joined either, so a known word with a mark is known. Of the
+        others, those without a space inside are tokenized as one text: each begins where an id begins with a space."""
         out = {}
+        for w in words:
+            if w[-1] in _ENDS and w[-2:-1].isascii() and w[-2:-1].isalpha() and (ids := self.known.get(w[:-1])):
+                out[w] = ids + self.ends[w[-1]]
+        plain = [w for w in words if w not in out and " " not in w]
         if plain:
             ids = self._encode([" " + " ".join(plain)])[0]
             at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
             raw = ids.tobytes()
             if len(at) == len(plain) + 1:
-                out = {w: raw[4 * a : 4 * z] for w, a, z in zip(plain, at, at[1:])}
+                out |= {w: raw[4 * a : 4 * z] for w, a, z in zip(plain, at, at[1:])}
         rest = [w for w in words if w not in out]
         return out | dict(zip(rest, (x.tobytes() for x in self._encode([" " + w for w in rest]))))
 
     def runs(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut_up = [_GAP.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
+        cut_up = [_GAP.split(t) if _odd(t) else t.split(" ") for t in texts]
         heads = self._encode([w[0] for w in cut_up])
         words = [w for ws in cut_up for w in ws[1:]]
         found = list(map(self.known.get, words))
         if None in found:
             missing = [k for k, x in enumerate(found) if x is None]
-            new = self._learn(list(dict.fromkeys([words[k] for k in missing])))
+            new = self._learn([w for w in dict.fromkeys([words[k] for k in missing]) if w not in self.recent])
+            short = {w: x for w, x in new.items() if len(w) <= KNOWN_CHARS}
             for k in missing:
-                found[k] = new[words[k]]
+                found[k] = new.get(words[k]) or self.recent[words[k]]
             if len(self.known) < KNOWN_WORDS:
-                self.known.update((w, x) for w, x in new.items() if len(w) <= KNOWN_CHARS)
+                self.known.update(short)
+            else:
+                if len(self.recent) > RECENT_WORDS:
+                    self.recent.clear()
+                self.recent.update(short)
         out, at = [], 0
         for head, ws in zip(heads, cut_up):
             out.append(head.tobytes() + b"".join(found[at : at + len(ws) - 1]))
@@ -115,6 +129,13 @@ class Ids:
         yield from self.runs(group)
 
 
+def _odd(text: str) -> bool:
+    """Whether a space stands at an end or beside white space, so that not every space begins a word."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    return any(c in text and (" " + c in text or c + " " in text) for c in (_ASCII_SPACES if text.isascii() else _SPACES))
+
+
 def _parts(text: str) -> Iterator[str]:
     """A long text in parts that begin at a single space between visible characters, where there is one after RUN_CHARS characters."""
     at = 0
