@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ashlar.llm import chat_format, decontaminate, exact_dedup, html_text, language_id, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, whitening
+from ashlar.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_text, language_id, line_dedup, mixing, packing, sharding, simhash, suffix_dedup, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.op10_html_text,
     "op11_pack": packing.op11_pack,
     "op12_whiten": whitening.op12_whiten,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.SQL,
     "op6_chat_format": chat_format.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
