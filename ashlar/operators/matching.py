@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.functions.scalars import haversine_m, jaccard, name_tokens, normalize_street, street_name, street_number
@@ -36,30 +37,37 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float, lat: str = "lat", lon:
     return j.where(F.col("meters") <= radius).drop("__r", "__c")
 
 
-def match_edges(records: DataFrame) -> DataFrame:
+def match_edges(records: DataFrame, fresh: str | None = None) -> DataFrame:
     """Links (u, v, reason, meters; u <= v) of records (id, name, street, city, zip, lat, lon) of one entity: the same address and area; or within
     80 m the same street address, or the same number and half the name's words; or within 40 m most of the name and the number or street.
     Similar names alone never match.
 
     Records that agree in all that a rule looks at are linked to the smallest of them, not pairwise, so a group of any size gives as many
-    links as members; all that the rules link is connected. Places are compared between such groups."""
+    links as members; all that the rules link is connected. Places are compared between such groups.
+
+    fresh: a flag of the records that weren't there before. Then links among old records alone are left out: of a group's old members only the smallest is linked, and only places of fresh
+    records are compared, with all others."""
     r = records.withColumn("addr", normalize_street("street")).where("addr IS NOT NULL").withColumn("words", F.array_sort(name_tokens("name")))
 
     def star(keys: list, reason: str) -> DataFrame:
         known = r.where(~F.greatest(*(F.isnull(k) for k in keys), F.lit(False)))
-        low = known.groupBy(*(k.alias(f"k{n}") for n, k in enumerate(keys))).agg(F.min("id").alias("u"))
-        ids = known.select(*(k.alias(f"k{n}") for n, k in enumerate(keys)), F.col("id").alias("v"))
+        named = [k.alias(f"k{n}") for n, k in enumerate(keys)]
+        low = known.groupBy(*named).agg(F.min("id").alias("u"))
+        ids = known.select(*named, F.col("id").alias("v"))
+        if fresh:
+            old = known.where(~F.col(fresh)).groupBy(*named).agg(F.min("id").alias("v"))
+            ids = known.where(fresh).select(*named, F.col("id").alias("v")).unionByName(old)
         return ids.join(low, [f"k{n}" for n in range(len(keys))]).where("u < v").select("u", "v", F.lit(reason).alias("reason"), F.lit(0.0).alias("meters"))
 
     addr = F.col("addr")
     stars = star([addr, F.col("zip")], "address").union(star([addr, F.lower("city")], "address")).union(star([addr, F.col("lat"), F.col("lon")], "street"))
-    placed = r.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon", "addr", "words").agg(F.min("id").alias("id"))
+    placed = r.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon", "addr", "words").agg(F.min("id").alias("id"), F.max(fresh or F.lit(True)).alias("fresh"))
     placed = placed.withColumn("num", street_number("addr")).withColumn("road", street_name("addr")).drop("addr")
-    near = near_pairs(placed, placed, SAME_SITE_M).where("a_id < b_id")
+    near = near_pairs(placed.where("fresh"), placed, SAME_SITE_M).where("a_id < b_id OR a_id > b_id AND NOT b_fresh")
     number, road = F.col("a_num") == F.col("b_num"), F.col("a_road") == F.col("b_road")
     name = jaccard("a_words", "b_words")
     reason = F.when(number & road, "street").when(number & (name >= 0.5), "number and name").when((F.col("meters") <= NAME_SITE_M) & (name >= 0.6) & (road | number), "name")
-    near = near.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), reason.alias("reason"), "meters").where("reason IS NOT NULL")
+    near = near.select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v"), reason.alias("reason"), "meters").where("reason IS NOT NULL")
     best = F.min(F.struct(F.when(F.col("reason") == "address", 0).otherwise(1).alias("o"), "meters", "reason")).alias("m")
     return stars.unionByName(near).groupBy("u", "v").agg(best).select("u", "v", "m.reason", "m.meters")
 
@@ -70,6 +78,69 @@ def resolve(records: DataFrame) -> DataFrame:
     return records.select("id").join(roots, records["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("entity"))
 
 
+@dataclass(frozen=True)
+class Arrival:
+    """What an arrival of records did. members: all records as they are now known (id, entity, hinted and what is matched by); decisions: id, entity, reason of each record that came; merges:
+    entity, into, of stored entities that turned out to be one."""
+
+    members: DataFrame
+    decisions: DataFrame
+    merges: DataFrame
+
+
+_MATCHED = ("name", "street", "city", "zip", "lat", "lon")
+
+
+def arrive(stored: DataFrame, records: DataFrame) -> Arrival:
+    """Takes records (id, hint, name, street, city, zip, lat, lon) into stored entities (`members` of the arrival before; empty at first).
+
+    A record with a hint belongs to that entity; else one that is stored keeps its entity, and what it is matched by; else the entities decide that it matches, or records that came with it; else
+    it founds one. Entities that a record matches at once are merged: the one of the smallest id stays, and `merges` tells of the others, whose ids therefore still lead somewhere. An entity's
+    id is that of a record that founded it, and never changes otherwise. A hinted record is nobody's match, then or later. A hint of an unknown entity founds it. Links are symmetric and groups
+    are connected components, so arrivals in any order, or all at once, give the same groups, if no id comes twice with other contents.
+
+    Only fresh records are compared, with all. Stored records stand for their entity, so the components are those of fresh records and the entities they touch. Of rows that repeat an id the
+    one with a hint stays, then the smallest. Null ids are left out.
+    """
+    by = F.min(F.struct(F.when(F.col("hint").isNull(), 1).otherwise(0).alias("o"), "hint", *_MATCHED)).alias("r")
+    came = cut(records.where("id IS NOT NULL").groupBy("id").agg(by).select("id", "r.hint", *(f"r.{c}" for c in _MATCHED)))
+    old = stored.select("id", "entity", "hinted", *_MATCHED)
+    known = came.join(old.select("id", "entity"), "id", "left")
+    fresh = cut(known.where("entity IS NULL OR hint IS NOT NULL").select("id", "hint", F.col("entity").alias("was"), *_MATCHED))
+    rows = old.where("NOT hinted").join(fresh.select("id"), "id", "left_anti").select("id", F.lit(False).alias("fresh"), *_MATCHED).unionByName(fresh.where("hint IS NULL").select("id", F.lit(True).alias("fresh"), *_MATCHED))
+    kept = old.join(fresh.select("id"), "id", "left_anti").select("id", "entity")
+
+    def entity_of(edges: DataFrame, end: str) -> DataFrame:
+        return edges.join(kept.withColumnsRenamed({"id": end, "entity": "__e"}), end, "left").withColumn(end, F.coalesce("__e", end)).drop("__e")
+
+    matched = entity_of(entity_of(match_edges(rows, "fresh").select("u", "v"), "u"), "v").where("u <> v")
+    hinted = fresh.where("hint IS NOT NULL").select(F.col("id").alias("u"), F.col("hint").alias("v"))
+    # A hinted record that founded an entity goes on standing for it: others may be in it.
+    there = cut(old.select("entity").distinct())
+    ends = cut(matched.union(hinted.where("u <> v")).distinct())
+    roots = cut(components(ends))
+    first = F.coalesce(F.min(F.when(F.col("entity").isNotNull(), F.col("node"))), F.min(F.when(F.col("named"), F.col("node"))), F.min("node"))
+    named = hinted.select(F.col("v").alias("node"), F.lit(True).alias("named")).distinct()
+    kinds = roots.join(there, roots["node"] == there["entity"], "left").join(named, "node", "left")
+    chosen = cut(kinds.join(kinds.groupBy("root").agg(first.alias("into")), "root").select("node", "entity", "into"))
+    merges = chosen.where("entity IS NOT NULL AND node <> into").select("entity", "into")
+    hint_here = chosen.select(F.col("node").alias("hint"), "into")
+    free = fresh.where("hint IS NULL").join(chosen.select(F.col("node").alias("id"), "into"), "id", "left").select("id", F.coalesce("into", "id").alias("entity"), "into")
+    reason = F.when(F.col("into").isNull(), "new").otherwise("match")
+    placed = free.select("id", "entity", F.when(F.col("entity") == F.col("id"), "new").otherwise(reason).alias("reason"))
+    told = fresh.where("hint IS NOT NULL").join(hint_here, "hint", "left").select("id", F.coalesce("into", "hint").alias("entity"), F.lit("hint").alias("reason"))
+    again = known.where("entity IS NOT NULL AND hint IS NULL").select("id", "entity").join(merges, "entity", "left").select("id", F.coalesce("into", "entity").alias("entity"), F.lit("link").alias("reason"))
+    decisions = cut(placed.unionByName(told).unionByName(again))
+    moved = old.join(fresh.select("id"), "id", "left_anti").join(merges, "entity", "left").select("id", F.coalesce("into", "entity").alias("entity"), "hinted", *_MATCHED)
+    added = fresh.join(decisions.select("id", "entity"), "id").select("id", "entity", F.col("hint").isNotNull().alias("hinted"), *_MATCHED)
+    return Arrival(cut(moved.unionByName(added)), decisions, merges)
+
+
+def no_members(spark: SparkSession, kind: str = "long") -> DataFrame:
+    """The members before the first arrival, with ids of that type."""
+    return spark.createDataFrame([], f"id {kind}, entity {kind}, hinted boolean, name string, street string, city string, zip string, lat double, lon double")
+
+
 def token_set(text) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0))))
 

@@ -228,3 +228,50 @@ def entity_resolution(spark, sf_dir):
         key.alias("id"), F.concat(F.lit("The Site "), site.cast("string"), F.lit(" Apartments")).alias("name"), F.concat((site * 10 + 1).cast("string"), F.lit(" Main Street")).alias("street"),
         F.lit("Town").alias("city"), F.when(key % 3 == 0, F.lit("94000")).alias("zip"), (37.2 + site * 0.01 + key % 3 * 0.0001).alias("lat"), F.lit(-122.0).alias("lon"))
     return matching.resolve(r)
+
+
+# Customers as records: the address from the key and the segment, the area from the nation or the balance. Even keys come first, then the odd ones with every twentieth even one again.
+_ADDRESSES = """
+WITH RECURSIVE c AS (SELECT c_custkey AS id, concat(c_custkey % 11 + 1, ' ', c_mktsegment, ' Street') AS addr, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey % 9 END AS zip,
+    CASE WHEN c_custkey % 3 > 0 THEN floor(abs(c_acctbal))::BIGINT % 7 END AS city, c_custkey % 30 = 1 AND c_custkey - 1 IN (SELECT c_custkey FROM customer) AS hinted FROM customer),
+k AS (SELECT id, addr || '|z' || zip AS k FROM c WHERE NOT hinted UNION ALL SELECT id, addr || '|c' || city FROM c WHERE NOT hinted), g AS (SELECT id, k FROM k WHERE k IS NOT NULL),
+first(id, root) AS (SELECT id, id FROM c WHERE id % 2 = 0 UNION SELECT b.id, f.root FROM first f JOIN g a ON a.id = f.id JOIN g b ON b.k = a.k AND b.id % 2 = 0),
+e AS (SELECT id, min(root) AS entity FROM first GROUP BY 1),
+l AS (SELECT a.id AS u, b.id AS v FROM g a JOIN g b ON a.k = b.k UNION SELECT id, id - 1 FROM c WHERE hinted UNION SELECT id - 1, id FROM c WHERE hinted),
+both_(id, root) AS (SELECT id, id FROM c UNION SELECT l.v, b.root FROM both_ b JOIN l ON l.u = b.id),
+o AS (SELECT id, min(root) AS low, min(CASE WHEN root % 2 = 0 THEN root END) AS stored FROM both_ GROUP BY 1)
+"""
+
+
+def _addresses(spark, sf_dir):
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.lit(None).cast("long").alias("hint"), F.lit("x").alias("name"), F.concat((key % 11 + 1).cast("string"), F.lit(" "), "c_mktsegment", F.lit(" Street")).alias("street"),
+        F.when(key % 3 > 0, F.concat(F.lit("Town "), (F.floor(F.abs("c_acctbal")) % 7).cast("string"))).alias("city"), F.when(key % 5 > 0, (F.col("c_nationkey") % 9).cast("string")).alias("zip"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+
+
+def _two_arrivals(spark, sf_dir):
+    r = _addresses(spark, sf_dir)
+    key = F.col("id")
+    one = matching.arrive(matching.no_members(spark), r.where(key % 2 == 0))
+    hints = one.members.select((key + 1).alias("id"), F.col("entity").alias("__h"))
+    odd = r.where(key % 2 == 1).join(hints, "id", "left").withColumn("hint", F.when(key % 30 == 1, F.col("__h"))).drop("__h")
+    again = r.where(key % 20 == 0).withColumn("street", F.lit("1 Elsewhere Road"))
+    return one, matching.arrive(one.members, odd.unionByName(again))
+
+
+@query(_ADDRESSES + """
+SELECT o.id, coalesce(o.stored, o.low) AS entity, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 20 = 0 THEN 'link' ELSE 'stored' END WHEN hinted THEN 'hint' WHEN coalesce(o.stored, o.low) = id THEN 'new' ELSE 'match' END AS reason FROM o JOIN c USING (id)
+""")
+def incremental_entities(spark, sf_dir):
+    """Each record after two arrivals: its entity, and why the second arrival put it there."""
+    _, two = _two_arrivals(spark, sf_dir)
+    return two.members.select("id", "entity").join(two.decisions.select("id", "reason"), "id", "left").select("id", "entity", F.coalesce("reason", F.lit("stored")).alias("reason"))
+
+
+@query(_ADDRESSES + "SELECT DISTINCT e.entity, o.stored AS into FROM e JOIN o USING (id) WHERE e.entity <> o.stored")
+def entity_merges(spark, sf_dir):
+    """Stored entities that the second arrival found to be one with another."""
+    _, two = _two_arrivals(spark, sf_dir)
+    return two.merges
