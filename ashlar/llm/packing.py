@@ -27,14 +27,15 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Characters of text that are tokenized at a time; longer texts are cut where that changes no id.
 RUN_CHARS = 1 << 20
-#: Words that a worker remembers the ids of for good and for a while, and how long they may be: about 120 and 60 MB.
-KNOWN_WORDS = 600_000
+#: Words that a worker remembers the ids of for good and for a while, and how long they may be: about 200 and 60 MB.
+KNOWN_WORDS = 1_000_000
 RECENT_WORDS = 300_000
 KNOWN_CHARS = 32
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _SPACES = [chr(k) for k in range(0x3001) if chr(k).isspace() and k != 0x20]
 _ASCII_SPACES = [c for c in _SPACES if c.isascii()]
+_SPACE = re.compile(r"\s")
 _ENDS = ".,;:!?"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int64()), ("nth", pa.int64())])
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
@@ -44,7 +45,8 @@ class Ids:
     """Ids of whole texts by a file of the tokenizers library, as little-endian 32-bit numbers.
 
     A byte-level vocabulary never joins what stands on both sides of a single space between two visible characters: the space begins
-    a word of its own. So texts are taken apart there, and each different word is tokenized once and remembered.
+    a word of its own; nor across a single line feed between such, which is a word alone. So texts are taken apart there, and each different word is tokenized once and
+    remembered: those that begin with a line feed as they are, all others with a space before them.
     """
 
     _kept: dict[str, Ids] = {}
@@ -57,6 +59,8 @@ class Ids:
         vocab = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a space
         self.begins[[k for t, k in vocab.items() if t.startswith("Ġ")]] = True
+        self.feeds = self.begins & False  # the line feed's
+        self.feeds[vocab["Ċ"]] = True
         self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.ends = dict(zip(_ENDS, (x.tobytes() for x in self._encode(list(_ENDS)))))
@@ -72,25 +76,30 @@ class Ids:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each with a space before it. A letter and a mark after it are never joined either, so a known word with a mark is known. Of the
-        others, those without a space inside are tokenized as one text: each begins where an id begins with a space."""
+        """Ids of words. A letter and a mark after it are never joined either, so a known word with a mark is known. The others are tokenized as one text, if what begins
+        them is nowhere inside."""
         out = {}
         for w in words:
             if w[-1] in _ENDS and w[-2:-1].isascii() and w[-2:-1].isalpha() and (ids := self.known.get(w[:-1])):
                 out[w] = ids + self.ends[w[-1]]
-        plain = [w for w in words if w not in out and " " not in w]
-        if plain:
-            ids = self._encode([" " + " ".join(plain)])[0]
-            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            if len(at) == len(plain) + 1:
-                out |= {w: raw[4 * a : 4 * z] for w, a, z in zip(plain, at, at[1:])}
         rest = [w for w in words if w not in out]
-        return out | dict(zip(rest, (x.tobytes() for x in self._encode([" " + w for w in rest]))))
+        out |= self._together([w for w in rest if w[0] != "\n" and " " not in w], " ", self.begins)
+        out |= self._together([w for w in rest if w[0] == "\n" and not _SPACE.search(w, 1)], "", self.feeds)
+        rest = [w for w in rest if w not in out]
+        return out | dict(zip(rest, (x.tobytes() for x in self._encode([w if w[0] == "\n" else " " + w for w in rest]))))
+
+    def _together(self, words: list[str], before: str, begins: np.ndarray) -> dict[str, bytes]:
+        """Words as one text, told apart by the ids that begin them; none if those are not as many."""
+        if not words:
+            return {}
+        ids = self._encode(["".join(before + w for w in words)])[0]
+        at = [*np.flatnonzero(begins[ids]).tolist(), len(ids)]
+        raw = ids.tobytes()
+        return {w: raw[4 * a : 4 * z] for w, a, z in zip(words, at, at[1:])} if len(at) == len(words) + 1 and at[0] == 0 else {}
 
     def runs(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut_up = [_GAP.split(t) if _odd(t) else t.split(" ") for t in texts]
+        cut_up = [_GAP.split(t) if _odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
         heads = self._encode([w[0] for w in cut_up])
         words = [w for ws in cut_up for w in ws[1:]]
         found = list(map(self.known.get, words))
@@ -130,10 +139,10 @@ class Ids:
 
 
 def _odd(text: str) -> bool:
-    """Whether a space stands at an end or beside white space, so that not every space begins a word."""
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
+    """Whether a space or line feed stands at an end or beside white space, so that not every one begins a word."""
+    if "  " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
         return True
-    return any(c in text and (" " + c in text or c + " " in text) for c in (_ASCII_SPACES if text.isascii() else _SPACES))
+    return any(c in text and (" " + c in text or c + " " in text or "\n" + c in text or c + "\n" in text) for c in (_ASCII_SPACES if text.isascii() else _SPACES))
 
 
 def _parts(text: str) -> Iterator[str]:
