@@ -204,7 +204,25 @@ def shard(df: DataFrame, root: str | None = None, **options) -> ShardStore:
     return store
 
 
+#: Arrivals that the query takes the documents in.
+ARRIVALS = 6
+
+
+def shard_arrivals(df: DataFrame, key: str, arrivals: int = ARRIVALS, root: str | None = None, vacuum: bool = True, **options) -> ShardStore:
+    """A store that takes df's rows in as so many arrivals, dealt by a hash of `key` (rows of one key come together, null keys too), and is compacted after each. vacuum: what was merged is deleted after each arrival, so that
+    the disk holds about twice the table; older versions can't be read then. An arrival without rows adds a version without shards."""
+    store = ShardStore(df.sparkSession, root or shared_dir(df.sparkSession), **options)
+    if root is None:
+        store.fs.deleteOnExit(store._path())
+    for k in range(arrivals):
+        store.append(df.where(F.pmod(F.xxhash64(key), F.lit(arrivals)) == k))
+        store.compact()
+        if vacuum:
+            store.vacuum(0)
+    return store
+
+
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
-    """Every row of documents as read back from the shards of the newest manifest."""
-    store = shard(table(spark, sf_dir, "documents"))
+    """Every row of documents, taken in as several arrivals, as read back from the shards of the newest manifest."""
+    store = shard_arrivals(table(spark, sf_dir, "documents"), "doc_id")
     return store.read().select("doc_id", "shard", "tier", F.lit(store.version()).alias("version"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))

@@ -109,6 +109,37 @@ def test_query_against_the_files(spark, docs, folder):
     assert all(r.tier == max(0, math.floor(math.log(size[r.shard] / (1 << 20), 4))) for r in got) and len({r.version for r in got}) == 1
 
 
+@pytest.mark.parametrize("parts,folder_", [(1, None), (5, None), (None, "/root/testdata/sf0.001"), (None, "/root/testdata/sf0.01")])
+def test_each_version_by_another_reader(spark, docs, parts, folder_):
+    """The manifests, replayed with json and pyarrow: each version holds what has arrived, whole, merges change nothing, and the last holds merged shards."""
+    import json
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    df = spark.read.parquet(f"{folder_}/documents.parquet") if folder_ else docs([(None if k % 5 == 0 else k, f"text {k}" * (k % 9), "s") for k in range(400)]).repartition(parts)
+    store = sharding.shard_arrivals(df, "doc_id", vacuum=False)
+    root = pathlib.Path(store.root.removeprefix("file://").removeprefix("file:"))
+    versions = [json.loads(f.read_text()) for f in sorted(root.glob("manifest-*.json"))]
+    assert [v["version"] for v in versions] == list(range(1, len(versions) + 1)) and len(versions) > sharding.ARRIVALS
+    came = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.ARRIVALS)).alias("k")).collect()
+    arrived, merges, before = 0, 0, {}
+    for v in versions:
+        now = {s["path"]: sorted(((r["doc_id"], r["text"]) for r in pq.read_table(root / s["path"], columns=["doc_id", "text"]).to_pylist()), key=str) for s in v["shards"]}
+        assert {s["path"]: s["rows"] for s in v["shards"]} == {p: len(rows) for p, rows in now.items()}
+        if gone := set(before) - set(now):
+            merges += 1
+            new = set(now) - set(before)
+            assert len(gone) >= store.fan_in and len(new) < len(gone)
+            assert sorted((r for p in gone for r in before[p]), key=str) == sorted((r for p in new for r in now[p]), key=str)
+        else:
+            arrived += 1
+        assert sorted((r for rows in now.values() for r in rows), key=str) == sorted(((r.doc_id, r.text) for r in came if r.k < arrived), key=str)
+        before = now
+    assert arrived == sharding.ARRIVALS and merges >= (1 if parts == 1 or folder_ else 2)
+    assert any(s["path"].split("/")[0] not in {p.split("/")[0] for w in versions[:3] for p in (x["path"] for x in w["shards"])} for s in versions[-1]["shards"])
+
+
 def test_odd_tables(spark, docs, tmp_path):
     df = docs([(1, None, None), (None, "", "s"), (1, "x" * 200_000, "s"), (2, "a", "s"), (2, "a", "s")]).withColumn("shard", F.lit("mine")).withColumn("tier", F.lit(9))
     out = sharding.shard(df).read()
