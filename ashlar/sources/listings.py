@@ -80,9 +80,9 @@ def beds(v) -> int | None:
     if isinstance(v, str) and "studio" in v.lower():
         return 0
     if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return int(v)
+        return int(v) if 0 <= v < 1000 else None
     m = re.search(r"\d+", str(v or ""))
-    return int(m[0]) if m else None
+    return int(m[0]) if m and len(m[0]) < 4 else None
 
 
 def _script(spec: Spec, html: str) -> Iterator:
@@ -131,7 +131,8 @@ def _day(v) -> str | None:
     if isinstance(v, bool) or not v:
         return None
     if isinstance(v, (int, float)) or re.fullmatch(r"\d{9,}", v if isinstance(v, str) else ""):
-        return datetime.fromtimestamp(int(v), UTC).date().isoformat() if int(v) > 0 else None
+        n = float(v)
+        return datetime.fromtimestamp(n, UTC).date().isoformat() if 0 < n < 1e11 else None  # to the year 5138
     return str(v)[:10]
 
 

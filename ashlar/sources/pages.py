@@ -6,13 +6,15 @@ import json
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ashlar.functions.scalars import c, seconds_between
+from ashlar.tables import cut
 
 # Signs of a page that asks for proof of a person instead of answering; the soft ones stand in normal pages too.
 HARD_SIGNS = ("<title>Client Challenge</title>", "px-captcha", "cf-chl-", "Access Denied</title>", "Pardon Our Interruption")
@@ -91,23 +93,40 @@ def objects(value) -> Iterator[dict]:
             stack.extend(v)
 
 
-def read_pages(df: DataFrame, key: str, html: str, schema: str, reader: Callable[[str], list[tuple]]) -> DataFrame:
-    """key and the columns of `schema`, a row for each tuple that `reader` makes of a page. Pages are read where they are; a reader that
-    fails on a page gives that page none."""
+def _tried(df: DataFrame, key: str, html: str, schema: str, reader: Callable[[str], list[tuple]]) -> DataFrame:
+    """k, row (struct of `schema`), reason: of each page its rows, or one row with the reason why there are none. A page's rows are turned into columns by themselves, so values that
+    don't fit are its own failure too."""
     kind = df.schema[key].dataType.simpleString()
+    whole = to_arrow_schema(T.StructType.fromDDL(f"k {kind}, row struct<{_nested(schema)}>, reason string"))
     names = T.StructType.fromDDL(schema).names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, page in zip(b[key], b[html]):
+            for k, page in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
-                    rows += [(k, *r) for r in reader(page or "")]
-                except (ValueError, KeyError, TypeError):
-                    continue
-            yield pd.DataFrame(rows, columns=[key, *names])
+                    rows = [{"k": k, "row": dict(zip(names, r, strict=True)), "reason": None} for r in reader(page.as_py() or "")]
+                    out = pa.RecordBatch.from_pylist(rows, schema=whole)
+                except Exception as e:  # whatever a page does to its reader, the others are read
+                    out = pa.RecordBatch.from_pylist([{"k": k, "row": None, "reason": f"{type(e).__name__}: {e}"[:200]}], schema=whole)
+                yield out
+
+    return df.select(F.col(key).alias("k"), html).mapInArrow(run, f"k {kind}, row struct<{_nested(schema)}>, reason string")
+
+
+def _nested(schema: str) -> str:
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
+
+
+def read_pages(df: DataFrame, key: str, html: str, schema: str, reader: Callable[[str], list[tuple]]) -> DataFrame:
+    """key and the columns of `schema`, a row for each tuple that `reader` makes of a page. Pages are read where they are; a reader that
+    fails on a page, in whatever way, gives that page none. A null page is empty."""
+    return _tried(df, key, html, schema, reader).where("row IS NOT NULL").select(F.col("k").alias(key), "row.*")
+
 
-    return df.select(key, html).mapInPandas(run, f"`{key}` {kind}, {schema}")
+def read_pages_apart(df: DataFrame, key: str, html: str, schema: str, reader: Callable[[str], list[tuple]]) -> tuple[DataFrame, DataFrame]:
+    """What read_pages gives, and key, reason of the pages that the reader failed on. The pages are read once: both outputs are of one written table."""
+    out = cut(_tried(df, key, html, schema, reader))
+    return out.where("row IS NOT NULL").select(F.col("k").alias(key), "row.*"), out.where("reason IS NOT NULL").select(F.col("k").alias(key), "reason")
 
 
 # -- robots.txt
