@@ -99,3 +99,24 @@ def test_small_predicates(spark):
     assert one(screening.same_site(F.lit("https://www.a.com/x"), F.lit("http://b.a.com")), screening.same_site(F.lit("https://a.com"), F.lit("https://ba.com")), screening.same_site(F.lit(None), F.lit("https://a.com"))) == [True, False, False]
     assert one(cards.clean_list(F.array(F.lit(" a  b "), F.lit("a b"), F.lit(""), F.lit("c"))))[0] == ["a b", "c"]
     assert one(screening.house_number(F.lit("12 Oak")), screening.house_number(F.lit("Oak 12"))) == ["12", None]
+
+
+def test_what_summaries_imply(spark):
+    from ashlar.operators.assessments import implies_good
+
+    said = {"No known pests here.": True, "There are no complaints.": True, "It is a very quiet house": True, "PEST-FREE, they say": True, "Perfectly safe.": True, "No reported noise": True,
+            "No data.": False, "Issues with noise": False, "Know noise": False, "safe": False, None: False, "No one reported issues": False}
+    df = spark.createDataFrame([(k,) for k in said], "s string")
+    assert {r["s"]: r["good"] for r in df.select("s", implies_good("s").alias("good")).collect()} == said
+
+
+def test_who_is_excluded(spark):
+    from ashlar.operators.screening import excluded_eligibility, restricted_unit
+
+    rows = [(["Pool", "Low-Income housing"], "x", "Listed as Low-Income housing"), (["55 + living"], "x", "Listed as 55 + living"), (["62+"], None, "Listed as 62+"), (["5+ acres", "Seniority", "155+"], "Oak", None),
+            (None, "Golden SENIOR homes", "Name indicates restricted eligibility: Golden SENIOR homes"), ([], "Age 55 place", "Name indicates restricted eligibility: Age 55 place"), ([None, "income limits apply"], "x", "Listed as income limits apply"), (None, "Affordable", None), (None, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, listed array<string>, name string, want string")
+    assert [(r["got"], r["want"]) for r in df.select(excluded_eligibility("listed", "name").alias("got"), "want").collect()] == [(w, w) for _, _, w in rows]
+    names = {"A1 (60% AMI)": True, "BMR-2": True, "below-market": True, "miami": False, None: False, "Incoming": False}
+    df = spark.createDataFrame([(k,) for k in names], "n string")
+    assert {r["n"]: r["no"] for r in df.select("n", restricted_unit("n").alias("no")).collect()} == names
