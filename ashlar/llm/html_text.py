@@ -49,8 +49,6 @@ SVG_NOT_SHOWN = frozenset("defs symbol clippath mask pattern marker desc metadat
 MOST_TIMES, MOST_MORE = 64, 1 << 16
 #: Lists and quotes inside more than so many others are indented no further; tables inside more than so many others are set as blocks.
 DEEPEST, DEEPEST_TABLE = 64, 32
-#: Cells that reach down into one row, at most; more are set as if they ended in their own.
-MOST_SPANS = 1000
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -357,31 +355,68 @@ class _Page:
         return self.lines
 
 
+class _Columns:
+    """Until which row each column is taken by cells from above. Columns are halves of halves of a range that grows; a half knows the least row of its columns, so both
+    taking columns and finding the next free one cost steps as the logarithm of the columns, however many cells reach down however far."""
+
+    def __init__(self):
+        self.height = 0
+        self.least: dict[tuple[int, int], int] = {}
+        self.all: dict[tuple[int, int], int] = {}
+
+    def take(self, start: int, end: int, row: int) -> None:
+        """Columns [start, end) are taken before `row`."""
+        while end > 1 << self.height:
+            self.height += 1
+        self._take(self.height, 0, start, end, row)
+
+    def _take(self, k: int, i: int, start: int, end: int, row: int) -> None:
+        first, last = i << k, (i + 1) << k
+        if end <= first or last <= start or self.least.get((k, i), 0) >= row:
+            return
+        if start <= first and last <= end:
+            self.least[k, i] = self.all[k, i] = row
+            return
+        self._take(k - 1, 2 * i, start, end, row)
+        self._take(k - 1, 2 * i + 1, start, end, row)
+        self.least[k, i] = max(self.all.get((k, i), 0), min(self.least.get((k - 1, 2 * i), 0), self.least.get((k - 1, 2 * i + 1), 0)))
+
+    def free(self, start: int, row: int) -> int:
+        """The first column from `start` on that is free in `row`."""
+        if not self.least:
+            return start
+        found = self._free(self.height, 0, start, row)
+        return max(start, 1 << self.height) if found is None else found
+
+    def _free(self, k: int, i: int, start: int, row: int) -> int | None:
+        if (i + 1) << k <= start or self.least.get((k, i), 0) > row:
+            return None
+        if (k, i) not in self.least or not k:
+            return max(start, i << k)
+        found = self._free(k - 1, 2 * i, start, row)
+        return self._free(k - 1, 2 * i + 1, start, row) if found is None else found
+
+
 class _Table:
     def __init__(self):
         self.rows: list[dict[int, list[str]]] = []
-        #: Columns [start, end) that cells from above take, and how many rows more; those of cells of this row; how far the row has come in the first.
-        self.taken: list[tuple[int, int, int]] = []
-        self.new: list[tuple[int, int, int]] = []
-        self.passed = 0
+        self.taken = _Columns()
         self.at = 0
 
     def row(self) -> None:
-        left = sorted((a, z, n - 1) for a, z, n in self.taken + self.new if n > 1)
-        self.taken, self.new, self.passed, self.at = left[:MOST_SPANS], [], 0, 0
+        self.at = 0
         self.rows.append({})
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         """A cell of one line or more, at the next place that no cell from above takes."""
         if not self.rows:
             self.row()
-        while self.passed < len(self.taken) and self.taken[self.passed][0] <= self.at:
-            self.at = max(self.at, self.taken[self.passed][1])
-            self.passed += 1
+        here = len(self.rows) - 1
+        self.at = self.taken.free(self.at, here)
         if lines:
             self.rows[-1][self.at] = lines
-        if down > 1 and len(self.new) < MOST_SPANS:
-            self.new.append((self.at, self.at + across, down))
+        if down > 1:
+            self.taken.take(self.at, self.at + across, here + down)
         self.at += across
 
     def lines(self) -> list[str]:

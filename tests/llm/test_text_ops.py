@@ -296,3 +296,40 @@ def test_language_bound(spark):
     far = [language_id.grams(chr(0x4E00 + k)) for k in range(5)]
     model = language_id.fit(far, list("abcde"), landmarks=2)
     assert model.predict([chr(0x4E00 + k) for k in range(5)])[0] == list("abcde")
+
+
+def test_cells_that_reach_down_against_a_grid():
+    """Places of cells by marking every cell of a grid, with thousands of cells that reach down into one row."""
+    import random
+
+    from ashlar.llm.html_text import _Table
+
+    rng = random.Random(6)
+    for wide, rows in ((8, 60), (3000, 4)):
+        t, grid, want = _Table(), {}, []
+        for r in range(rows):
+            t.row()
+            at, row = 0, {}
+            for k in range(rng.randint(0, wide)):
+                across, down = rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 3, 40])
+                while (r, at) in grid:
+                    at += 1
+                row[at] = [f"{r}.{k}"]
+                for d in range(1, down):
+                    for c in range(at, at + across):
+                        grid[r + d, c] = True
+                t.cell([f"{r}.{k}"], across, down)
+                at += across
+            want.append(row)
+        assert t.rows == want
+
+
+def test_many_cells_that_reach_down_take_no_longer():
+    import time
+
+    from ashlar.llm.html_text import render
+
+    page = "<table><tr>" + "".join(f"<td rowspan={2 + k % 60000}>" for k in range(20_000)) + "<tr><td>x" * 20_000 + "</table>"
+    began = time.time()
+    assert render(page).count("x") == 20_000
+    assert time.time() - began < 60
