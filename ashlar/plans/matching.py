@@ -214,7 +214,17 @@ def mined(spark, sf_dir):
     return r.withColumn("parts", F.lit(None).cast("map<string,double>")), cut(themes.mine(r, "review", "text"))
 
 
-@query()
+#: The reviews in SQL: review, property, source, published.
+REVIEWS_AS_SQL = """rv AS (SELECT c_custkey AS review, c_custkey % 40 AS property, 's' || c_custkey % 3 AS source, c_custkey * 7 % 12 AS k,
+  CASE WHEN c_custkey % 11 > 0 THEN TIMESTAMP '2001-08-01' - to_days((c_custkey * 37 % 3000)::INT) END AS published FROM customer)"""
+
+
+@query(f"""
+WITH {REVIEWS_AS_SQL}, p AS (SELECT property, theme, review, published, recurring, date_diff('day', lag(published) OVER (PARTITION BY property, theme ORDER BY published NULLS LAST, review), published) AS gap
+  FROM rv JOIN {STATED_SQL} USING (k) WHERE category = 'pests' AND polarity = 'negative'),
+g AS (SELECT property, theme, bool_or(recurring) AS said, count(DISTINCT review) AS reviews, coalesce(min(gap) <= 730, false) AS soon, count(published) AS dated FROM p GROUP BY 1, 2)
+SELECT property, theme, reviews, said OR reviews > 1 AND (soon OR dated < reviews) AS recurring FROM g
+""")
 def pest_patterns(spark, sf_dir):
     r, m = mined(spark, sf_dir)
     return themes.pest_patterns(r.drop("text", "parts"), m)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ashlar.operators import quality, themes, views
-from ashlar.plans.matching import reviews
-from ashlar.plans.pricing import now
+from ashlar.plans.matching import REVIEWS_AS_SQL, STATED_SQL, reviews
+from ashlar.plans.pricing import NOW, now
 from ashlar.plans.registry import query
 from ashlar.session import table
 
@@ -28,16 +28,35 @@ def source_concentration(spark, sf_dir):
     return out.select("user_id", "reviews", "sources", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(f"""
+WITH {REVIEWS_AS_SQL}, n AS (SELECT property, count(*) AS reviews, count(*) FILTER (published >= TIMESTAMP '{NOW}' - INTERVAL 17532 HOUR) AS recent FROM rv GROUP BY 1),
+s AS (SELECT property, count(*) AS sources, max(c) / sum(c) AS share FROM (SELECT property, source, count(*) AS c FROM rv GROUP BY 1, 2) GROUP BY 1),
+w AS (SELECT property, count(*) OVER (PARTITION BY property ORDER BY epoch(published) RANGE BETWEEN CURRENT ROW AND 1209600 FOLLOWING) AS c, count(*) OVER (PARTITION BY property) AS total FROM rv WHERE published IS NOT NULL),
+b AS (SELECT property, max(c) >= 3 AND any_value(total) >= 5 AND max(c) / any_value(total) >= 0.4 AS burst FROM w GROUP BY 1),
+d AS (SELECT DISTINCT property, true AS copies FROM rv WHERE k <> 10 GROUP BY property, k HAVING count(*) > 1),
+c AS (SELECT property, min(published) AS earliest FROM rv JOIN {STATED_SQL} USING (k) WHERE theme = 'management_change' GROUP BY 1),
+m AS (SELECT property, 2 * count(*) FILTER (published < earliest) > count(*) AS changed FROM rv JOIN c USING (property) GROUP BY 1),
+r AS (SELECT property, max(a) - min(a) >= 1 AS clash FROM (SELECT property, source, avg(review % 5) + 1 AS a FROM rv GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT *, coalesce(burst, false)::INT + coalesce(copies, false)::INT + coalesce(changed, false)::INT + coalesce(clash, false)::INT + (share > 0.8)::INT AS lowered,
+  CASE WHEN reviews >= 15 AND recent >= 5 AND sources >= 2 AND share <= 0.8 THEN 2 WHEN reviews >= 8 AND recent >= 2 THEN 1 ELSE 0 END AS level
+  FROM n JOIN s USING (property) LEFT JOIN b USING (property) LEFT JOIN d USING (property) LEFT JOIN m USING (property) LEFT JOIN r USING (property))
+SELECT property, reviews, recent, sources, round(share, 4) AS share, ['low', 'medium', 'high'][level + 1] AS base, lowered, ['low', 'medium', 'high'][CASE WHEN recent = 0 THEN 0 ELSE greatest(0, level - lowered) END + 1] AS confidence FROM f
+""")
 def review_quality(spark, sf_dir):
     r = reviews(spark, sf_dir)
     ratings = r.groupBy("property", "source").agg((F.avg(F.col("review") % 5) + 1).alias("average"))
     return quality.review_quality(r, themes.mine(r, "review", "text"), ratings, now())
 
 
-@query()
+@query(f"""
+WITH {REVIEWS_AS_SQL}, m AS (SELECT property, count(*) AS reports, avg(CASE WHEN review % 4 = 0 THEN 1.0 ELSE -1.0 END) AS net FROM rv WHERE review % 4 < 2 AND review % 7 > 0 GROUP BY 1),
+a AS (SELECT DISTINCT property, CASE WHEN property % 5 > 0 THEN least(10, greatest(1, 5.5 - 2.25 * log2((1.0 + property % 7) / 4))) END AS v, CASE WHEN property % 7 > 0 THEN least(10, greatest(1, 5.5 - 2.25 * log2((10.0 + property % 30) / 22))) END AS q FROM rv),
+o AS (SELECT property, (coalesce(v * 0.6, 0) + coalesce(q * 0.4, 0)) / nullif((v IS NOT NULL)::INT * 0.6 + (q IS NOT NULL)::INT * 0.4, 0) AS official, CASE WHEN reports >= 3 THEN round(net, 2) ELSE 0 END AS move FROM a LEFT JOIN m USING (property))
+SELECT property, floor(official * 10 + 0.5 + 1e-9) / 10 AS official, move AS adjustment, CASE WHEN official IS NOT NULL THEN floor(least(10, greatest(1, official + move)) * 10 + 0.5 + 1e-9) / 10 END AS score, CASE WHEN official IS NULL THEN 'insufficient' ELSE 'low' END AS confidence FROM o
+""")
 def neighborhood_safety(spark, sf_dir):
-    r = reviews(spark, sf_dir)
+    key = F.col("review")
+    r = reviews(spark, sf_dir).withColumn("text", F.concat("text", F.when(key % 7 == 0, " Nothing else.").when(key % 4 == 0, " It is a safe neighborhood.").when(key % 4 == 1, " Dangerous area, sadly.").otherwise("")))
     m = themes.mine(r, "review", "text").where("category = 'neighborhood_safety'").join(r.select("review", "property"), "review")
     residents = m.groupBy("property").agg(F.count_distinct("review").alias("reports"), F.avg(F.when(F.col("polarity") == "positive", 1.0).otherwise(-1.0)).alias("net"))
     key = F.col("property")
