@@ -53,13 +53,13 @@ def listing_nested_fees(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Six weeks free' WHEN 1 THEN '' WHEN 2 THEN 'Base rent $100 off' ELSE 'New gym' END AS promotions, CASE WHEN p_partkey % 4 = 1 THEN 'Prices include required fees' ELSE '' END AS disclosures,
+SELECT p_partkey AS id, ['Six weeks free', '', 'Base rent $100 off', 'New gym', 'Prices include a $500 gift', 'Total monthly price, discounted', '', 'Prices include savings'][p_partkey % 8 + 1] AS promotions, ['', 'Prices include required fees', '', '', '', '', 'Pricing is subject to change', ''][p_partkey % 8 + 1] AS disclosures,
   CASE p_partkey % 3 WHEN 0 THEN 'Zillow Group' END AS network, p_partkey % 3 > 0 AS independent, concat_ws('; ', CASE p_partkey % 3 WHEN 0 THEN 'tplsource: Zillow' WHEN 1 THEN 'tplsource: other' END, CASE WHEN p_partkey % 2 = 0 THEN 'feed: x' END) AS signals FROM part
 """)
 def listing_deals(spark, sf_dir):
     key = F.col("id")
     doc = F.to_json(F.struct(pick(("Zillow", "other", None), key).alias("tplsource"), F.struct(F.when(key % 2 == 0, "x").alias("feed")).alias("mlsInfo")))
-    deal = pick(("Six  weeks free", "Prices include required fees", "Base rent $100 off", "New gym"), key)
+    deal = pick(("Six  weeks free", "Prices include required fees", "Base rent $100 off", "New gym", "Prices include a $500 gift", "Total monthly price, discounted", "Pricing is subject to change", "Prices include savings"), key)
     p = _part(spark, sf_dir).select("id", disclosures.split_deals(F.array(deal, F.lit(" "), deal)).alias("d"), disclosures.feed_provenance(doc).alias("f"))
     return p.select("id", F.array_join("d.promotions", "; ").alias("promotions"), F.array_join("d.disclosures", "; ").alias("disclosures"), "f.network", "f.independent", F.array_join("f.signals", "; ").alias("signals"))
 
@@ -112,3 +112,30 @@ def total_compositions(spark, sf_dir):
     kinds = rows(("expense", "label", "frequency", "required", "category"), ("1", "Trash", "month", True, "utilities"), ("2", "Pets", "month", True, "pets"), ("3", "Gym", "month", False, "other"))
     definitions = p.select("id", kinds.alias("d")).select("id", "d.*")
     return disclosures.total_composition(units, amounts, definitions, "id")
+
+
+#: A listing's costs: each of the calculator's sections for some parts, with one amount, a span, or a text; sections of the page's own, with titles that tell their kind; items that are none.
+_COSTS = """concat('{"rentalCostsAndFees":{"costAndFeeCalculator":{"fees":{"monthlyRequiredFees":[{"fee":{"displayValue":" Trash ","min":', p_size, ',"max":', p_size + p_partkey % 2, ',"amount":{"value":9}}},7,{"fee":{"displayValue":"Base Rent","min":1}},{"fee":null}],',
+'"oneTimeRequiredFees":', CASE WHEN p_partkey % 3 = 0 THEN concat('[{"fee":{"displayValue":"Security Deposit","amount":{"value":"', p_partkey % 900, '"}}}]') ELSE '"none"' END,
+',"oneTimeOptionalFees":[{"fee":{"displayValue":"', p_brand, '","amount":{"displayText":" ', CASE WHEN p_partkey % 2 = 0 THEN '$1,250.50 ' ELSE 'from $5 up' END, '"}}}]}},',
+'"rentalFeeSections":[{"sectionTitle":"', CASE p_partkey % 3 WHEN 0 THEN 'Required Monthly' WHEN 1 THEN 'Optional one-time costs' ELSE '' END, '","rentalFees":[{"title":"Parking","formattedValue":"$', p_partkey % 500 + 1, '"},{"title":" ","formattedValue":"$3"},{"title":"Storage","formattedValue":"ask"}]},{"rentalFees":{}}]}}')"""
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey AS id, p_size AS s, p_brand AS b, ({_COSTS})::JSON->'$.rentalCostsAndFees' AS j FROM part),
+c AS (SELECT id, n, o, json_extract(j, '$.costAndFeeCalculator.fees.' || n || '[' || k || '].fee') AS f, o * 100 + k AS pos FROM
+  (SELECT *, unnest(range(CASE WHEN json_type(j, '$.costAndFeeCalculator.fees.' || n) = 'ARRAY' THEN json_array_length(j, '$.costAndFeeCalculator.fees.' || n)::BIGINT ELSE 0 END)) AS k
+   FROM p, (VALUES ('monthlyRequiredFees', 0), ('oneTimeRequiredFees', 1), ('monthlyOptionalFees', 2), ('oneTimeOptionalFees', 3)) x(n, o))),
+v AS (SELECT id, pos, o, trim(f->>'$.displayValue') AS name, nullif(trim(f->>'$.amount.displayText'), '') AS said, coalesce((f->>'$.min')::BIGINT, (f->>'$.amount.value')::BIGINT) AS low, coalesce((f->>'$.max')::BIGINT, (f->>'$.min')::BIGINT, (f->>'$.amount.value')::BIGINT) AS high FROM c),
+u AS (SELECT id, pos, name, said, low, high, o IN (0, 2) AS recurring, o < 2 AS mandatory, ['required monthly fee', 'required one-time fee', 'optional monthly fee', 'optional one-time fee'][o + 1] AS section FROM v
+  UNION ALL SELECT id, 1000 + k, trim(x->>'$.title'), nullif(trim(x->>'$.formattedValue'), ''), NULL, NULL, CASE WHEN contains(t, 'monthly') THEN true WHEN contains(t, 'one-time') THEN false END, CASE WHEN contains(t, 'required') THEN true WHEN contains(t, 'optional') THEN false END, coalesce(nullif(t, ''), 'fee')
+  FROM (SELECT id, k, lower(j->>'$.rentalFeeSections[0].sectionTitle') AS t, json_extract(j, '$.rentalFeeSections[0].rentalFees[' || k || ']') AS x FROM (SELECT *, unnest(range(3)) AS k FROM p))),
+w AS (SELECT *, regexp_extract(said, '^\$([0-9,.]+)$', 1) AS m FROM u WHERE name <> '' AND lower(name) <> 'base rent'),
+z AS (SELECT *, CASE WHEN low IS NOT NULL THEN CASE WHEN low = high THEN low END WHEN m <> '' THEN round_even(replace(m, ',', '')::DOUBLE, 0)::BIGINT END AS amount,
+  CASE WHEN low = high THEN '$' || low WHEN low IS NOT NULL THEN '$' || low || '–$' || high WHEN contains(said, '$') THEN said END AS amount_text FROM w)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, CASE WHEN recurring = false THEN CASE WHEN contains(lower(name), 'deposit') THEN 'deposit' ELSE 'one_time' END WHEN name = 'Trash' THEN 'trash' WHEN name = 'Parking' THEN 'parking' WHEN name = 'Storage' THEN 'storage' ELSE 'other' END AS fee_type,
+  name || ' (' || section || '): ' || coalesce(amount_text, said, 'amount not stated') AS description, amount, amount_text, recurring, mandatory FROM z
+""")
+def listing_calculator_fees(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_COSTS).alias("doc"))
+    return p.select("id", F.posexplode(disclosures.calculator_fees("doc")).alias("pos", "f")).select("id", "pos", "f.*")

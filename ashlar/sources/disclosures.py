@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.functions.scalars import c, fee_items
+from ashlar.functions.scalars import as_int, c, fee_items, fee_type
 
 # Fields of the pages and what they are called; networks that feeds name.
 LABELLED = (("deposit_fee_text", "Security deposit", "deposit", True), ("application_fee_text", "Application fee", "one_time", True), ("move_in_fees_text", "Move-in fees", "one_time", None))
@@ -15,7 +15,7 @@ NETWORKS = {"ZILLOW": "Zillow Group", "ZRM": "Zillow Group"}
 PREFIX = "{}&&"
 #: Words of this library's own that tell a disclosure of prices from a deal.
 DISCLOSURE_WORDS = ("base rent", "total price", "total monthly", "additional fees", "required fees", "prices include", "pricing", "subject to change", "utilities not included")
-CONCESSION_WORDS = ("free", "off", "credit", "waived", "waive", "special", "save", "discount", "concession", "gift card", "reduced")
+CONCESSION_WORDS = ("free", "off", "credit", "waived", "waive", "special", "save", "savings", "discount", "discounted", "concession", "gift card", "reduced")
 
 _FEE = "struct<fee_type:string,description:string,amount:bigint,amount_text:string,recurring:boolean,mandatory:boolean>"
 _TEXT_FEES = "struct<additional_fees_text:string,deposit_fee_text:string,application_fee_text:string,move_in_fees_text:string,parking:array<struct<comment:string,space_fee:int>>,pet_policies:struct<general:struct<rent:int>>>"
@@ -102,10 +102,71 @@ def nested_fees(document) -> Column:
     return F.array_distinct(F.filter(all_, lambda f: f.isNotNull()))
 
 
+# Sections of the calculator, whether their fees come again and must be paid, and what they are called; names of what is no fee but the rent.
+CALCULATOR = (
+    ("monthlyRequiredFees", True, True, "required monthly fee"), ("oneTimeRequiredFees", False, True, "required one-time fee"), ("monthlyOptionalFees", True, False, "optional monthly fee"),
+    ("oneTimeOptionalFees", False, False, "optional one-time fee"),
+)
+RENT_NAMES = ("base rent", "rent", "monthly rent", "monthly base rent")
+_MONEY = r"^\$\s?([0-9][0-9,]*(?:\.[0-9]{1,2})?)(?: ?/ ?(?:mo|month))?$"
+
+
+def calculator_fees(document) -> Column:
+    """Fees of a listing whose page has a calculator (JSON), by its four sections, then those of the page's own sections, in this order: fee_type, description, amount, amount_text, recurring, mandatory.
+
+    A fee's least and greatest amount are its min and max, else its value; two different ones are a span without an amount. In the page's own sections the title tells whether fees come again and must be paid, and
+    the amount is a text: known if it is money alone, kept as a text if it has money in it. Fees without a name, and the rent itself, are left out. What is no list or no object is passed over.
+    """
+    d = F.try_parse_json(c(document))
+    none = F.array().cast(f"array<{_FEE}>")
+
+    def items(v: Column, path: str) -> Column:
+        return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+
+    def fee(name: Column, text: Column, low: Column, high: Column, recurring: Column, mandatory: Column, section: Column) -> Column:
+        said = F.nullif(F.trim(text), F.lit(""))
+        one = low.isNotNull() & (F.coalesce(high, low) == low)
+        dollars = lambda x: F.concat(F.lit("$"), F.format_number(x, 0))
+        alone = F.bround(F.replace(F.nullif(F.regexp_extract(said, _MONEY, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")).cast("long")
+        amount = F.when(low.isNotNull(), F.when(one, low)).otherwise(alone)
+        shown = F.when(one, dollars(low)).when(low.isNotNull(), F.concat(dollars(low), F.lit("–"), dollars(high))).when(said.rlike(r"\$\s?[0-9]"), said)
+        kind = F.when(recurring.isNotNull() & ~recurring, F.when(F.contains(F.lower(name), F.lit("deposit")), "deposit").otherwise("one_time")).otherwise(fee_type(name))
+        words = F.concat(name, F.lit(" ("), section, F.lit("): "), F.coalesce(shown, said, F.lit("amount not stated")))
+        return F.when((name != "") & ~F.lower(name).isin(*RENT_NAMES), _fee(kind, words, amount, shown, recurring, mandatory).cast(_FEE))
+
+    def listed(monthly: bool, must: bool, label: str):
+        def one(v: Column) -> Column:
+            value = as_int(F.try_variant_get(v, "$.fee.amount.value", "string"))
+            low = F.coalesce(as_int(F.try_variant_get(v, "$.fee.min", "string")), value)
+            high = F.coalesce(as_int(F.try_variant_get(v, "$.fee.max", "string")), low)
+            name = F.coalesce(F.trim(F.try_variant_get(v, "$.fee.displayValue", "string")), F.lit(""))
+            return fee(name, F.try_variant_get(v, "$.fee.amount.displayText", "string"), low, high, F.lit(monthly), F.lit(must), F.lit(label))
+
+        return one
+
+    parts = [F.transform(items(d, f"$.rentalCostsAndFees.costAndFeeCalculator.fees.{section}"), listed(*kind)) for section, *kind in CALCULATOR]
+
+    def own(s: Column) -> Column:
+        title = F.coalesce(F.try_variant_get(s, "$.sectionTitle", "string"), F.lit(""))
+        low = F.lower(title)
+        monthly = F.when(F.contains(low, F.lit("monthly")), True).when(low.rlike("one[- ]time"), False)
+        must = F.when(F.contains(low, F.lit("required")), True).when(F.contains(low, F.lit("optional")), False)
+        none_ = F.lit(None).cast("long")
+
+        def one(v: Column) -> Column:
+            name = F.coalesce(F.trim(F.try_variant_get(v, "$.title", "string")), F.lit(""))
+            return fee(name, F.try_variant_get(v, "$.formattedValue", "string"), none_, none_, monthly, must, F.coalesce(F.nullif(low, F.lit("")), F.lit("fee")))
+
+        return F.transform(items(s, "$.rentalFees"), one)
+
+    parts.append(F.flatten(F.transform(items(d, "$.rentalCostsAndFees.rentalFeeSections"), own)))
+    return F.filter(F.concat(*(F.coalesce(p, none) for p in parts)), lambda f: f.isNotNull())
+
+
 def split_deals(texts) -> Column:
-    """promotions and disclosures of the texts in a listing's slot for deals, each once, in order: one that speaks of prices and of no concession is a disclosure."""
+    """promotions and disclosures of the texts in a listing's slot for deals, each once, in order: one that speaks of prices, and neither of a concession nor of an amount of dollars, is a disclosure."""
     told = F.array_distinct(F.filter(F.transform(c(texts), lambda t: _squash(t)), lambda t: t.isNotNull()))
-    only = lambda t: _says(t, DISCLOSURE_WORDS) & ~_says(t, CONCESSION_WORDS)
+    only = lambda t: _says(t, DISCLOSURE_WORDS) & ~_says(t, CONCESSION_WORDS) & ~t.rlike(r"\$\s*[0-9]")
     return F.struct(F.filter(told, lambda t: ~only(t)).alias("promotions"), F.filter(told, only).alias("disclosures"))
 
 
