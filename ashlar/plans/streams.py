@@ -48,3 +48,22 @@ SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT unnest([time_b
 def stream_sliding(spark, sf_dir):
     agg = S.sliding(_events(spark, sf_dir), "ts", "3 days", "1 day", "1 day", [], F.count("*").alias("n"))
     return S.drain(agg, "complete").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query("""
+WITH e AS (SELECT event_id AS call, 'u' || user_id % 17 AS source, ts, strftime(timezone('America/Los_Angeles', timezone('UTC', ts)), '%Y-%m') AS period, event_id % 3 > 0 AS failed FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, period ORDER BY ts, call) AS call_no, count(*) FILTER (NOT failed) OVER (PARTITION BY source, period ORDER BY ts, call ROWS UNBOUNDED PRECEDING) AS run FROM e),
+r AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY source, period, run ORDER BY call_no ROWS UNBOUNDED PRECEDING) AS bad FROM n),
+s AS (SELECT source, period, min(call_no) AS stop FROM r WHERE bad >= 6 AND call_no <= 40 GROUP BY 1, 2)
+SELECT source, call, period, call_no, CASE WHEN call_no > stop THEN 'breaker open' WHEN call_no > 40 THEN 'over budget' ELSE 'granted' END AS decision FROM n LEFT JOIN s USING (source, period)
+""")
+def stream_budgets(spark, sf_dir):
+    """Decisions on every event as a call of its user's group, by a stream with state. Months that close are left out."""
+    from ashlar.streaming import budgets
+    from ashlar.tables import filesystem, shared_dir
+
+    calls = _events(spark, sf_dir).select(F.concat(F.lit("u"), (F.col("user_id") % 17).cast("string")).alias("source"), F.col("event_id").alias("call"), F.col("ts").alias("at"), (F.col("event_id") % 3 > 0).alias("failed"))
+    root = shared_dir(spark)
+    fs, p = filesystem(spark, root)
+    fs.deleteOnExit(p)
+    return budgets.keep(budgets.ledger(calls, 40, 6, "40 days"), root).where("decision <> 'closed'")
