@@ -27,9 +27,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Characters of text that are tokenized at a time; longer texts are cut where that changes no id.
 RUN_CHARS = 1 << 20
-#: Words that a worker remembers the ids of for good and for a while, and how long they may be: about 200 and 60 MB.
-KNOWN_WORDS = 1_000_000
-RECENT_WORDS = 300_000
+#: Words that a worker remembers the ids of for good and for a while, and how long they may be: about 100 and 40 MB.
+KNOWN_WORDS = 500_000
+RECENT_WORDS = 200_000
 KNOWN_CHARS = 32
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
