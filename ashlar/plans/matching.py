@@ -42,9 +42,7 @@ SELECT a AS id, b AS nearest, round(m, 2) AS meters FROM (SELECT *, row_number()
 def spatial_match(spark, sf_dir):
     key = F.col("c_custkey")
     p = table(spark, sf_dir, "customer").select(key.alias("id"), (37.2 + (key * 7919 % 4000) / 10000.0).alias("lat"), (-122.3 + (key * 104729 % 5000) / 10000.0).alias("lon"))
-    j = matching.near_pairs(p, p, 1500.0).where("a_id <> b_id")
-    best = j.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct(F.round("meters", 4).alias("r"), F.col("b_id").alias("b"), "meters")).alias("m"))
-    return best.select("id", F.col("m.b").alias("nearest"), F.round("m.meters", 2).alias("meters"))
+    return matching.nearest(p, "id", 1500.0).select("id", "nearest", F.round("meters", 2).alias("meters"))
 
 
 @query("""
