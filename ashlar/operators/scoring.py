@@ -67,9 +67,10 @@ def theme_trends(items: DataFrame, group: list[str], theme: str, review: str, is
 
 
 def outliers(df: DataFrame, group: list[str], value: str, gap: float, least: int = 3) -> DataFrame:
-    """Rows at least `gap` from their group's mean, in groups of `least` or more. Means are aggregated and joined back."""
+    """Rows at least `gap` from their group's mean, in groups of `least` or more. Means are aggregated and joined back. A row just at the gap is one, in whatever order the mean
+    was added up: 1e-9 is allowed for binary fractions."""
     g = df.groupBy(*group).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).where(F.col("n") >= least)
-    return df.join(g, group).where(F.abs(F.col(value) - F.col("mean")) >= gap)
+    return df.join(g, group).where(F.abs(F.col(value) - F.col("mean")) >= gap - 1e-9)
 
 
 def age_histogram(df: DataFrame, published: str, now: Column) -> DataFrame:
