@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import table, tidy
+from ashlar.llm.common import give_back, table, tidy
 
 #: Lengths of the byte n-grams that are blended, each with the same weight.
 ORDERS = (1, 2, 3, 4)
@@ -31,6 +32,8 @@ _PIECE = 1 << 16
 _BATCH = 128
 #: Products held at a time.
 _CELLS = 1 << 22
+#: A part of a model on its way to the driver.
+MODEL = pa.schema([("k", pa.int64()), ("langs", pa.list_(pa.string())), ("vocabulary", pa.binary()), ("weights", pa.binary()), ("bias", pa.binary())])
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -123,10 +126,26 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     marks = [k for _, _, k in turns[: max(landmarks, len(names))]]
     vocabulary = np.unique(np.concatenate([rows[k] for k in marks]))
     columns, entries, edges = sparse([rows[k] for k in marks], vocabulary)
-    lm = np.zeros((len(vocabulary), len(marks)), np.float32)
-    lm[columns, np.repeat(np.arange(len(marks)), np.diff(edges))] = entries
-    kernel = np.concatenate([product(rows[k : k + _BATCH], vocabulary, lm) for k in range(0, len(rows), _BATCH)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((lm.T @ lm).astype(np.float64))
+    owners = np.repeat(np.arange(len(marks)), np.diff(edges))
+    order = np.argsort(columns, kind="stable")
+    columns, entries, owners = columns[order], entries[order], owners[order]
+
+    def slices() -> Iterator[tuple[int, np.ndarray]]:
+        """The landmarks' features, n-grams x landmarks, so many n-grams at a time that memory is bounded."""
+        step = max(1, _CELLS // len(marks))
+        for k in range(0, len(vocabulary), step):
+            at = slice(*np.searchsorted(columns, (k, k + step)))
+            lm = np.zeros((min(step, len(vocabulary) - k), len(marks)), np.float32)
+            lm[columns[at] - k, owners[at]] = entries[at]
+            yield k, lm
+
+    kernel, gram = np.zeros((len(rows), len(marks))), np.zeros((len(marks), len(marks)))
+    for at, lm in slices():
+        part = vocabulary[at : at + len(lm)]
+        for k in range(0, len(rows), _BATCH):
+            kernel[k : k + _BATCH] += product(rows[k : k + _BATCH], part, lm)
+        gram += lm.T @ lm
+    values, vectors = np.linalg.eigh(gram)
     good = values > 1e-6 * max(values.max(), 1e-12)
     half = vectors[:, good] / np.sqrt(values[good])
     z = np.column_stack([kernel @ half, np.ones(len(rows))])
@@ -134,13 +153,14 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.linalg.solve(z.T @ z + penalty, z.T @ y)
-    return Model(names, vocabulary, (lm @ (half @ w[:-1])).astype(np.float32), w[-1])
+    back = half @ w[:-1]
+    return Model(names, vocabulary, np.concatenate([lm @ back for _, lm in slices()]).astype(np.float32), w[-1])
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", most_langs: int = MOST_LANGS) -> Model:
     """Fits on a sample of labelled rows: at most SAMPLE_PER_LANG of a language and SAMPLE_ROWS in all, but LEAST_PER_LANG of each, drawn by a hash of
     order_col, texts up to SAMPLE_BYTES, whole. Rows without a language or a letter teach nothing. n-grams are taken by the
-    executors; the driver gets those of the sample. More than most_langs languages are a ValueError."""
+    executors, and one task, whose memory the sample bounds, fits; the driver gets the model. More than most_langs languages are a ValueError."""
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.lit("sample")).alias("h"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
     counts = rows.groupBy("lang").count().limit(most_langs + 1).collect()
@@ -157,12 +177,25 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_c
             b = b[[has_letter(t) for t in b["text"]]]
             yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "codes": [grams(t).tobytes() for t in b["text"]]})
 
-    got = drawn.select("text", "lang", "h").mapInPandas(tidy(features), "lang string, h long, codes binary").collect()
-    taken: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["h"], bytes(r["codes"]))):
-        if len(taken.setdefault(r["lang"], [])) < each:
-            taken[r["lang"]].append(np.frombuffer(r["codes"], np.uint64))
-    return fit([c for cs in taken.values() for c in cs], [n for n, cs in taken.items() for _ in cs])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("lang", "h", "codes")))]
+        taken: dict[str, list] = {}
+        for lang, _, codes in sorted(got):
+            if len(taken.setdefault(lang, [])) < each:
+                taken[lang].append(np.frombuffer(codes, np.uint64))
+        m = fit([c for cs in taken.values() for c in cs], [n for n, cs in taken.items() for _ in cs])
+        step = max(1, _CELLS // max(1, len(m.langs)))
+        for k in range(0, max(1, len(m.vocabulary)), step):
+            yield pa.RecordBatch.from_pylist([{"k": k, "langs": m.langs, "vocabulary": m.vocabulary[k : k + step].tobytes(), "weights": m.weights[k : k + step].tobytes(), "bias": m.bias.tobytes()}], MODEL)
+        give_back()
+
+    taught = drawn.select("text", "lang", "h").mapInPandas(tidy(features), "lang string, h long, codes binary")
+    parts = sorted(taught.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "k long, langs array<string>, vocabulary binary, weights binary, bias binary").collect(), key=lambda r: r["k"])
+    if not parts:
+        return fit([], [])
+    langs = list(parts[0]["langs"])
+    vocabulary, weights = np.concatenate([np.frombuffer(r["vocabulary"], np.uint64) for r in parts]), np.concatenate([np.frombuffer(r["weights"], np.float32) for r in parts])
+    return Model(langs, vocabulary, weights.reshape(-1, len(langs)), np.frombuffer(parts[0]["bias"]))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

@@ -37,3 +37,36 @@ def test_ornaments_of_dollar_signs_are_no_amounts(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = df.select("k", S.fee_items("t", S.F.lit(True)).alias("f")).selectExpr("k", "transform(f, x -> x.amount_text) AS a").orderBy("k").collect()
     assert [list(r["a"]) for r in got] == [[None], [None, "$5"], ["$40 or $50"], ["$ 30"]]
+
+
+def test_a_row_just_at_the_gap_is_an_outlier_in_any_order(spark):
+    import random
+
+    from ashlar.operators import scoring
+
+    rnd, rows = random.Random(2), []
+    for g in range(200):  # the mean of cents is whole cents, and the last value is 40.00 above it
+        cents = [rnd.randrange(0, 9000) for _ in range(40)]
+        cents[0] += -sum(cents) % 40
+        rows += [(g, c / 100, False) for c in cents]
+        mean = sum(cents) // 40
+        rows += [(g, (mean + 4000) / 100, True), (g, (mean - 4000) / 100, True)]
+    df = spark.createDataFrame(rows, "g int, v double, edge boolean")
+    assert scoring.outliers(df, ["g"], "v", 40.0).where("edge").count() == 400
+
+
+def test_language_model_is_the_same_in_slices(monkeypatch):
+    import numpy as np
+
+    from ashlar.llm import language_id as L
+
+    rnd = np.random.default_rng(3)
+    rows = [L.grams("".join(map(chr, rnd.integers(97 + 5 * (k % 3), 110 + 5 * (k % 3), 60)))) for k in range(60)]
+    whole = L.fit(rows, [f"l{k % 3}" for k in range(60)], 12)
+    monkeypatch.setattr(L, "_CELLS", 600)
+    peak = []
+    product = L.product
+    monkeypatch.setattr(L, "product", lambda r, v, d: (peak.append(d.size), product(r, v, d))[1])
+    small = L.fit(rows, [f"l{k % 3}" for k in range(60)], 12)
+    assert np.allclose(whole.weights, small.weights, atol=1e-4) and np.allclose(whole.bias, small.bias, atol=1e-4)
+    assert max(peak) <= 600
