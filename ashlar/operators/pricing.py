@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.scalars import c
+from ashlar.tables import dealt, tasks_for
 
 
 def endpoint_in_range(low, high, least: float, most: float) -> Column:
@@ -41,6 +42,7 @@ def price_conflicts(points: DataFrame, source: str, block: list[str], size: str,
 
 def spread_restrictions(df: DataFrame, keys: list[str], restricted: Column, out: str = "restricted") -> DataFrame:
     """Marks every row whose key is restricted in some row; rows with a null key only by themselves."""
+    df = dealt(df, keys, tasks_for(df.count(), df.sparkSession))
     marked = df.where(restricted).select(*keys).distinct().withColumn("__m", F.lit(True))
     return df.join(marked, keys, "left").withColumn(out, F.coalesce("__m", restricted, F.lit(False))).drop("__m")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -48,6 +49,21 @@ def discard(*cuts: DataFrame) -> None:
         fs.delete(p, True)
 
 
+#: Rows that a task of dealt() gets.
+TASK_ROWS = 500_000
+
+
+def tasks_for(rows: int, spark: SparkSession) -> int | None:
+    """Into how many tasks so many rows are dealt for TASK_ROWS each; None if they are few."""
+    return max(math.ceil(rows / TASK_ROWS), spark.sparkContext.defaultParallelism) if rows > TASK_ROWS else None
+
+
+def dealt(df: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    """df dealt by its keys to so many tasks, or as it is if None. What is joined or grouped by these keys then needs the memory of a task's share of rows, however
+    many rows there are; the adaptive plan would join small shuffled rows to fewer and larger tasks."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 #: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 HEAVY_LEAST = 1000
