@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ashlar.functions.scalars import age_label
 from ashlar.operators.scoring import CATEGORY_WEIGHTS
+from ashlar.tables import dealt, tasks_for
 
 
 def source_names(df: DataFrame, sources: DataFrame, source: str = "source_id", out: str = "source_name") -> DataFrame:
@@ -47,6 +48,7 @@ def evidence_index(*parts: DataFrame) -> DataFrame:
     for k, p in enumerate(parts):
         p = p.withColumn("__part", F.lit(k))
         all_ = p if all_ is None else all_.unionByName(p, allowMissingColumns=True)
+    all_ = dealt(all_, ["id"], tasks_for(all_.count(), all_.sparkSession))
     rest = [c for c in all_.columns if c not in ("__part", "id")]
     w = Window.partitionBy("id").orderBy(F.desc("__part"), *(F.to_json(F.struct(c)) for c in rest))  # by their content, whatever their types are
     return all_.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__part")
@@ -54,6 +56,7 @@ def evidence_index(*parts: DataFrame) -> DataFrame:
 
 def resolve_ids(refs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References with their evidence, and those without any."""
+    refs = dealt(refs, ["id"], tasks_for(refs.count(), refs.sparkSession))
     return refs.join(index, "id"), refs.join(index.select("id"), "id", "left_anti")
 
 
