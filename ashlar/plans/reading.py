@@ -8,6 +8,7 @@ from ashlar.plans.registry import query
 from ashlar.session import table
 from ashlar.sources import listings, pages, replay, sheets
 from ashlar.sources.sites import SITES
+from ashlar.tables import spread
 
 
 def _requests(spark, sf_dir):
@@ -86,7 +87,7 @@ UNION ALL SELECT p_partkey, 'platform_2', CASE WHEN p_partkey % 4 = 3 THEN 'plan
 """)
 def platform_units(spark, sf_dir):
     key = F.col("id")
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    p = spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), ["id"])
     price = F.when(key % 3 > 0, F.struct(F.struct((key + 1000).alias("price"), (key + 1010.5).alias("totalPrice")).alias("prices")))
     day = F.concat(F.lit("2026-01-0"), (key % 9 + 1).cast("string"), F.lit("T00:00:00"))
     unit = F.struct(F.concat(F.lit("u"), key.cast("string")).alias("unitId"), (key % 3).alias("bedroomNumber"), price.alias("startingAtPricesUnfurnished"), day.alias("availableDateUnfurnished"))

@@ -64,6 +64,11 @@ def dealt(df: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
     return df if tasks is None else df.repartition(tasks, *keys)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, a table's own few columns, dealt by its keys to as many tasks as its number of rows asks for: work on each row then isn't left to the few tasks that small files make."""
+    return dealt(df, keys, tasks_for(df.count(), df.sparkSession))
+
+
 #: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 HEAVY_LEAST = 1000
