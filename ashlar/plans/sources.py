@@ -8,6 +8,7 @@ from ashlar.plans.registry import query
 from ashlar.plans.screening import pick
 from ashlar.session import table
 from ashlar.sources import disclosures
+from ashlar.tables import spread
 
 
 def _part(spark, sf_dir):
@@ -137,5 +138,5 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, CASE WHE
   name || ' (' || section || '): ' || coalesce(amount_text, said, 'amount not stated') AS description, amount, amount_text, recurring, mandatory FROM z
 """)
 def listing_calculator_fees(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_COSTS).alias("doc"))
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), ["p_partkey"]).select(F.col("p_partkey").alias("id"), F.expr(_COSTS).alias("doc"))
     return p.select("id", F.posexplode(disclosures.calculator_fees("doc")).alias("pos", "f")).select("id", "pos", "f.*")

@@ -39,3 +39,10 @@ def test_pages_rows_become_columns_together(spark):
 def test_rows_of_small_files_are_spread(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 50)
     assert tables.spread(spark.range(2000).coalesce(1), ["id"]).rdd.getNumPartitions() == 40
+
+
+def test_listings_of_a_small_file_are_spread(spark, monkeypatch):
+    from __spark_entry__ import SMOKE, queries
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 5)
+    assert queries()["listing_calculator_fees"](spark, SMOKE).rdd.getNumPartitions() == 40  # of 200 parts
