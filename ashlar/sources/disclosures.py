@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ashlar.functions.scalars import as_int, c, fee_items, fee_type
+from ashlar.tables import dealt, met, tasks_for
 
 # Fields of the pages and what they are called; networks that feeds name.
 LABELLED = (("deposit_fee_text", "Security deposit", "deposit", True), ("application_fee_text", "Application fee", "one_time", True), ("move_in_fees_text", "Move-in fees", "one_time", None))
@@ -205,8 +206,10 @@ def stub_prices(by_beds, low, beds_low, beds_high) -> Column:
 def total_composition(units: DataFrame, amounts: DataFrame, definitions: DataFrame, listing: str) -> DataFrame:
     """Per listing: what a unit's published additional expenses are made of, only if the least amounts of the required monthly ones add up to them exactly. The first unit
     with additional expenses decides. units: listing, unit, ordinal, extra; amounts: listing, unit, expense, least, shown; definitions: listing, expense, label, frequency, required, category."""
-    first = units.where("extra > 0").groupBy(listing).agg(F.min_by(F.struct("unit", "extra"), "ordinal").alias("u")).select(listing, "u.*")
-    used = amounts.join(first, [listing, "unit"]).join(definitions.where("frequency = 'month' and required"), [listing, "expense"]).where("least > 0")
+    tasks = tasks_for(amounts.count() + units.count(), units.sparkSession)
+    first = dealt(units.where("extra > 0"), [listing], tasks).groupBy(listing).agg(F.min_by(F.struct("unit", "extra"), "ordinal").alias("u")).select(listing, "u.*")
+    used = met(met(amounts.where("least > 0"), first, [listing, "unit"], tasks), definitions.where("frequency = 'month' and required"), [listing, "expense"], tasks)
+    used = dealt(used, [listing, "extra"], tasks)
     said = F.concat("label", F.lit(" ("), "shown", F.when(F.col("category") == "pets", "; applies only to residents with pets").otherwise(""), F.lit(")"))
     g = used.groupBy(listing, "extra").agg(F.sum("least").alias("sum"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("expense", said.alias("t")))), lambda x: x["t"]), "; ").alias("parts"))
     return g.where(F.abs(F.col("sum") - F.col("extra")) < 0.01).select(listing, F.concat(F.lit("The published total monthly price adds these required monthly charges to base rent, at their minimum amounts: "), "parts", F.lit(".")).alias("text"))

@@ -69,6 +69,13 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return dealt(df, keys, tasks_for(df.count(), df.sparkSession))
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None, how: str = "inner") -> DataFrame:
+    """Join of two tables dealt by the keys to so many tasks. Then neither is broadcast: files say little of how many rows are made of them, and columns of numbers are small in files
+    and large in memory."""
+    right = dealt(right, keys, tasks)
+    return dealt(left, keys, tasks).join(right if tasks is None else right.hint("merge"), keys, how)
+
+
 #: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 HEAVY_LEAST = 1000

@@ -6,7 +6,7 @@ from unittest.mock import Mock
 import pyarrow as pa
 
 from ashlar import tables
-from ashlar.sources import pages
+from ashlar.sources import disclosures, pages
 
 
 def _reader():
@@ -46,3 +46,15 @@ def test_listings_of_a_small_file_are_spread(spark, monkeypatch):
 
     monkeypatch.setattr(tables, "TASK_ROWS", 5)
     assert queries()["listing_calculator_fees"](spark, SMOKE).rdd.getNumPartitions() == 40  # of 200 parts
+
+
+def test_compositions_are_dealt_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    ids = spark.range(400)
+    units = ids.selectExpr("id", "'u' AS unit", "1 AS ordinal", "3.0D AS extra")
+    amounts = ids.selectExpr("id", "'u' AS unit", "explode(array('1', '2')) AS expense", "1.5D AS least", "'$1.50' AS shown")
+    definitions = ids.selectExpr("id", "explode(array('1', '2')) AS expense", "'Trash' AS label", "'month' AS frequency", "true AS required", "'x' AS category")
+    out = disclosures.total_composition(units, amounts, definitions, "id")
+    assert out.count() == 400 and "Trash ($1.50); Trash ($1.50)." in out.first()["text"]
+    assert out.rdd.getNumPartitions() == 24
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
