@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import give_back, table, tidy
+from ashlar.llm.common import table, tidy
 
 #: Lengths of the byte n-grams that are blended, each with the same weight.
 ORDERS = (1, 2, 3, 4)
@@ -30,8 +30,8 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 _PIECE = 1 << 16
 _BATCH = 128
-#: Products held at a time.
-_CELLS = 1 << 22
+#: Products held at a time: three arrays of 4 MB.
+_CELLS = 1 << 20
 #: A part of a model on its way to the driver.
 MODEL = pa.schema([("k", pa.int64()), ("langs", pa.list_(pa.string())), ("vocabulary", pa.binary()), ("weights", pa.binary()), ("bias", pa.binary())])
 _LETTER = re.compile(r"[^\W\d_]")
@@ -178,19 +178,21 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", order_c
             yield pd.DataFrame({"lang": b["lang"], "h": b["h"], "codes": [grams(t).tobytes() for t in b["text"]]})
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("lang", "h", "codes")))]
-        taken: dict[str, list] = {}
-        for lang, _, codes in sorted(got):
-            if len(taken.setdefault(lang, [])) < each:
-                taken[lang].append(np.frombuffer(codes, np.uint64))
+        got: dict[str, list] = {}
+        for b in batches:
+            for r in zip(*(b.column(n).to_pylist() for n in ("lang", "h", "codes"))):
+                got.setdefault(r[0], []).append(r[1:])
+            for rows in got.values():  # what is not taken isn't held either
+                rows.sort()
+                del rows[each:]
+        taken = {lang: [np.frombuffer(codes, np.uint64) for _, codes in got[lang]] for lang in sorted(got)}
         m = fit([c for cs in taken.values() for c in cs], [n for n, cs in taken.items() for _ in cs])
         step = max(1, _CELLS // max(1, len(m.langs)))
         for k in range(0, max(1, len(m.vocabulary)), step):
             yield pa.RecordBatch.from_pylist([{"k": k, "langs": m.langs, "vocabulary": m.vocabulary[k : k + step].tobytes(), "weights": m.weights[k : k + step].tobytes(), "bias": m.bias.tobytes()}], MODEL)
-        give_back()
 
     taught = drawn.select("text", "lang", "h").mapInPandas(tidy(features), "lang string, h long, codes binary")
-    parts = sorted(taught.groupBy(F.lit(0).alias("one")).applyInArrow(learn, "k long, langs array<string>, vocabulary binary, weights binary, bias binary").collect(), key=lambda r: r["k"])
+    parts = sorted(taught.groupBy(F.lit(0).alias("one")).applyInArrow(tidy(learn), "k long, langs array<string>, vocabulary binary, weights binary, bias binary").collect(), key=lambda r: r["k"])
     if not parts:
         return fit([], [])
     langs = list(parts[0]["langs"])
