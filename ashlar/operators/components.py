@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.tables import cut, discard, skew_join
+from ashlar.tables import apart, cut, discard, skew_join
 
 MOST_ROUNDS = 60
 
@@ -42,4 +42,4 @@ def components(edges: DataFrame) -> DataFrame:
         seen = sums
     else:
         raise RuntimeError("components did not settle")
-    return ends.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return ends.join(apart(now.select(F.col("u").alias("node"), F.col("v").alias("root")), sums[0]), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -9,7 +9,7 @@ from ashlar.operators import audit, matching, themes
 from ashlar.plans.pricing import NOW, now
 from ashlar.plans.registry import query
 from ashlar.session import table
-from ashlar.tables import cut
+from ashlar.tables import apart, cut
 
 
 @query("""
@@ -264,7 +264,7 @@ def _two_arrivals(spark, sf_dir):
     key = F.col("id")
     one = matching.arrive(matching.no_members(spark), r.where(key % 2 == 0))
     hints = one.members.select((key + 1).alias("id"), F.col("entity").alias("__h"))
-    odd = r.where(key % 2 == 1).join(hints, "id", "left").withColumn("hint", F.when(key % 30 == 1, F.col("__h"))).drop("__h")
+    odd = r.where(key % 2 == 1).join(apart(hints, one.members.count()), "id", "left").withColumn("hint", F.when(key % 30 == 1, F.col("__h"))).drop("__h")
     again = r.where(key % 20 == 0).withColumn("street", F.lit("1 Elsewhere Road"))
     return one, matching.arrive(one.members, odd.unionByName(again))
 
@@ -275,7 +275,7 @@ SELECT o.id, coalesce(o.stored, o.low) AS entity, CASE WHEN id % 2 = 0 THEN CASE
 def incremental_entities(spark, sf_dir):
     """Each record after two arrivals: its entity, and why the second arrival put it there."""
     _, two = _two_arrivals(spark, sf_dir)
-    return two.members.select("id", "entity").join(two.decisions.select("id", "reason"), "id", "left").select("id", "entity", F.coalesce("reason", F.lit("stored")).alias("reason"))
+    return two.members.select("id", "entity").join(apart(two.decisions.select("id", "reason"), two.members.count()), "id", "left").select("id", "entity", F.coalesce("reason", F.lit("stored")).alias("reason"))
 
 
 @query(_ADDRESSES + "SELECT DISTINCT e.entity, o.stored AS into FROM e JOIN o USING (id) WHERE e.entity <> o.stored")

@@ -76,6 +76,11 @@ def met(left: DataFrame, right: DataFrame, keys: list[str], tasks: int | None, h
     return dealt(left, keys, tasks).join(right if tasks is None else right.hint("merge"), keys, how)
 
 
+def apart(df: DataFrame, rows: int) -> DataFrame:
+    """df as a side of a join of so many rows: shuffled, never broadcast, if they are many. Numbers are small in files, so a file's size would have all of them sent through the driver."""
+    return df.hint("merge") if rows > TASK_ROWS else df
+
+
 #: A key is heavy if it has over 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 1000
 HEAVY_LEAST = 1000
@@ -93,6 +98,6 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, to
     heavy = right.where(F.col(count) > least).select(*keys, F.struct(*values).alias("__heavy"))
     light = right.where(F.col(count) <= least).select(*keys, F.struct(*values).alias("__light"), F.when(F.col(count) < 0, 1).otherwise(0).alias("__spread"))  # never 1, but no constant: a constant key would be taken out of the join
     spread = F.when(F.col("__heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 20)).cast("int"))
-    out = left.join(F.broadcast(heavy), keys, "left").withColumn("__spread", spread).join(light, [*keys, "__spread"], "left")
+    out = left.join(F.broadcast(heavy), keys, "left").withColumn("__spread", spread).join(apart(light, total), [*keys, "__spread"], "left")
     both = F.coalesce("__heavy", "__light")
     return out.select(*left.columns, *(both[v].alias(v) for v in values))
