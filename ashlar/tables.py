@@ -29,12 +29,12 @@ def filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there and any executor may be lost.
-    The files go when the session's JVM ends, or by discard()."""
+    The files go when the session's JVM ends, or by discard(). codec: their compression, the session's if it isn't told."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     fs, p = filesystem(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

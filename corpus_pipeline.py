@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, small_batches, table
+from ashlar.llm import common
+from ashlar.llm.common import small_batches, table
 from ashlar.llm.decontaminate import drop_contaminated
 from ashlar.llm.language_id import UNKNOWN, held_out, identify, train
 from ashlar.llm.mixing import mixed_documents
@@ -18,6 +19,11 @@ from ashlar.tables import discard
 LEAST_SCORE = 0.3
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows, written in the shared folder. They hold whole texts and stay until somebody discards them or the session ends, those of several stages at once, so they are packed tighter than Spark's default does."""
+    return common.cut(rows, "zstd")
+
+
 def _written(rows: DataFrame) -> DataFrame:
     """rows, written while Python gets small batches of texts: the size of a batch is settled where a plan runs, not where it is made."""
     with small_batches(rows.sparkSession):
