@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ashlar.tables import cut, filesystem, shared_dir, skew_join  # noqa: F401  used from here
+from ashlar.tables import cut, discard, filesystem, shared_dir, skew_join  # noqa: F401  used from here
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -39,6 +39,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While this holds, what a write has shuffled goes when it ends. Else it stays until the driver happens to collect its garbage, beside all that later steps shuffle."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: a worker that waits for its next batch or task shares an executor's memory with others."""
     pa.default_memory_pool().release_unused()

@@ -6,14 +6,16 @@ they are dealt out in runs: each is filed under one key of its own, the DIGIT by
 that share their key travel together. Equal windows have equal keys at equal offsets, so:
 
 1. Dealing out, by the key's hash: a bucket holds a range of hashes. A key that only one document has ends here;
-   its windows repeat nowhere. Documents are told which of their keys are left.
+   its windows repeat nowhere. Documents are told which of their keys are left. In a bucket 32 bits of a hash stand for it: a key that is taken for
+   another's goes on for nothing.
 2. The windows of the keys that are left, packed as the bytes around the key, go to the key's bucket. There the suffixes at the keys are ordered
    by radix passes, the first bytes first, down to THRESHOLD: a pass parts each group by its next digit, and groups of one document go no
    further. So are the bytes before the keys. A window is in the groups of its two parts; one whose group has a smaller document is covered.
 3. Covered runs are merged for each document and cut out.
 
 Before either shuffle, each chunk of text (about CHUNK bytes of many documents) is grouped by itself: a key or a
-packed window that several of its documents share is sent on once, however many they are.
+packed window that several of its documents share is sent on once, however many they are. What the steps before the last have shuffled goes as soon as
+each is written.
 """
 
 from __future__ import annotations
@@ -26,20 +28,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import cut, give_back, small_batches, table, tidy
+from ashlar.llm.common import cut, discard, give_back, passing_shuffles, small_batches, table, tidy
 
 THRESHOLD = 50
 DIGIT = 16
 #: Bytes that one pass orders by.
 PASS = 8
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 #: Bytes of text to a bucket of digits.
 BUCKET_BYTES = 16 << 20
 #: Tasks to a shuffle; with more buckets a task takes several, one after the other.
 MOST_TASKS = 20_000
 _SPREAD = THRESHOLD - DIGIT  # a digit starts at most so far from its window's start
 _WIDTH = _SPREAD + THRESHOLD  # bytes that all windows of a digit can span
+_REACH = np.arange(-_SPREAD, THRESHOLD)  # these bytes, by their distance from the digit
+_LENGTH = 7  # bits that hold the length of a digit's span, _WIDTH at most
 _PLACE = np.uint64((1 << 24) - 1)
 _MANY = np.uint16(0xFFFF)
 _MULT = 0x9E3779B97F4A7C15
@@ -147,6 +151,11 @@ def _per_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """What stands for hashes among those of one bucket or one document: 32 bits that their choice as least hashes and their bucket leave as they were."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 _FIRST = "dest long, doc_id long, digits binary, who binary, ids binary"
 
 
@@ -170,7 +179,7 @@ def _first_pass(buckets: int):
                 one = h[at]
                 whose = piece[at]
                 told = np.repeat(many, np.diff(np.r_[at, len(h)]))
-                d, x = doc[told], h[told]
+                d, x = doc[told], _marks(h[told])
                 by = np.argsort(d, kind="stable")
                 d, x = d[by], x[by]
                 cuts = _starts(d)
@@ -184,16 +193,16 @@ def _first_pass(buckets: int):
                 entry, named, first = _own_names(cuts, whose[by])
                 who = np.where(many, _MANY, entry.astype(np.uint16))
                 names = ids[row + named].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), pa.nulls(len(cuts), pa.int64()), _grouped(one, cuts), _grouped(who, cuts), _grouped(names, first)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), pa.nulls(len(cuts), pa.int64()), _grouped(_marks(one), cuts), _grouped(who, cuts), _grouped(names, first)], schema=schema)
 
     return run
 
 
-def _unpacked(rows: pa.Table, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The documents of rows, each as often as its packed value holds items of `size` bytes, and the items as 64-bit numbers. A row for each item is
-    what other steps see, so that their number follows the text's and not how many buckets there are."""
+def _unpacked(rows: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many items of a kind of number each row's packed value holds, and the items. A row for each item is what other steps see, so that their number
+    follows the text's and not how many buckets there are."""
     data, offsets = _bytes_of(rows[column])
-    return np.repeat(rows["doc_id"].to_numpy().astype(np.int64), np.diff(offsets) // size), np.frombuffer(data.tobytes(), np.int64)
+    return np.diff(offsets) // np.dtype(kind).itemsize, np.frombuffer(data.tobytes(), kind)
 
 
 def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -206,10 +215,10 @@ def _left_over(group: pa.Table) -> pa.Table:
     give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
-    docs_out, out = _unpacked(found, "digits", 8)
-    out = out.view(np.uint64)
+    each, out = _unpacked(found, "digits", np.uint32)
+    docs_out = np.repeat(found["doc_id"].to_numpy().astype(np.int64), each)
     if rest.num_rows:
-        h, w = (np.frombuffer(_bytes_of(rest[n])[0].tobytes(), kind) for n, kind in (("digits", np.uint64), ("who", np.uint16)))
+        h, w = (np.frombuffer(_bytes_of(rest[n])[0].tobytes(), kind) for n, kind in (("digits", np.uint32), ("who", np.uint16)))
         names, starts = _bytes_of(rest["ids"])
         many = w == _MANY
         row = np.repeat(starts[:-1] // 8, np.diff(_bytes_of(rest["who"])[1]) // 2)
@@ -220,46 +229,79 @@ def _left_over(group: pa.Table) -> pa.Table:
         shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | np.logical_or.reduceat(many, at)
         told = np.repeat(shared, np.diff(np.r_[at, len(h)])) & ~many
         docs_out, out = np.r_[docs_out, doc[told]], np.r_[out, h[told]]
-    return pa.table([pa.array(docs_out, pa.int64()), pa.array(out.view(np.int64), pa.int64())], names=["doc_id", "digit"])
+    return pa.table([pa.array(docs_out, pa.int64()), pa.array(out.view(np.int32), pa.int32())], names=["doc_id", "digit"])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, the first bytes of all of them first: most of a small number's bytes are zero."""
+    return np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
+
+
+def _packed(whole: np.ndarray, entry: np.ndarray, place: np.ndarray, doc: np.ndarray, th: np.ndarray) -> bytes:
+    """A row of the second pass: windows (bytes around a digit, least and greatest offset), each with the number of its document among those named and its place
+    there; the documents named, doc and th. Of the bytes around a digit those in use are sent, see _in_use."""
+    head = np.array([len(whole), len(doc)], np.int32).tobytes()
+    offsets = whole[:, _WIDTH:]
+    return b"".join([head, _planes(entry.astype(np.uint16)), _planes(place.astype(np.int32)), _planes(doc.astype(np.int64)), _planes(th.astype(np.int64)), offsets.T.tobytes(), whole[:, :_WIDTH][_in_use(offsets)].tobytes()])
 
 
-_SECOND = "dest long, doc_id long, th long, spans binary, packed binary, who binary, ids binary"
+def _in_use(offsets: np.ndarray) -> np.ndarray:
+    """Which bytes around their digits the windows with these least and greatest offsets hold."""
+    o1, o2 = offsets[:, :1].astype(np.int64), offsets[:, 1:].astype(np.int64)
+    return (_REACH >= -o2) & (_REACH < THRESHOLD - o1)
+
+
+def _as_packed(data: bytes) -> tuple[np.ndarray, ...]:
+    """What _packed was given."""
+    n, named = np.frombuffer(data, np.int32, 2).tolist()
+    at, out = 8, []
+    for kind, many in ((np.uint16, n), (np.int32, n), (np.int64, named), (np.int64, named)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size * many, at).reshape(size, many).T).view(kind).ravel())
+        at += size * many
+    whole = np.zeros((n, _WIDTH + 2), np.uint8)
+    whole[:, _WIDTH:] = np.frombuffer(data, np.uint8, 2 * n, at).reshape(2, n).T
+    whole[:, :_WIDTH][_in_use(whole[:, _WIDTH:])] = np.frombuffer(data, np.uint8, -1, at + 2 * n)
+    return whole, *out
+
+
+_SECOND = "dest long, doc_id long, th long, spans binary, packed binary"
 
 
 def _second_pass(buckets: int):
-    schema = pa.schema([("dest", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), *((n, pa.binary()) for n in ("spans", "packed", "who", "ids"))])
-    reach = np.arange(-_SPREAD, THRESHOLD)
+    schema = pa.schema([("dest", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             give_back()
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = _bytes_of(b.column(2))
             cuts, flat = _listed(b.column(3))
-            flat = flat.to_numpy().view(np.uint64)
+            flat = flat.to_numpy().view(np.uint32)
             left = [flat[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
             for row, base, raw, bounds in _chunks(data, offsets):
                 piece, at, s1, s2, h = digits(raw, bounds)
-                edges = np.searchsorted(piece, np.arange(len(bounds)))
+                edges, marks = np.searchsorted(piece, np.arange(len(bounds))), _marks(h)
                 keep = np.zeros(len(h), bool)
                 for k in range(len(bounds) - 1):
                     if edges[k] < edges[k + 1]:
-                        keep[edges[k] : edges[k + 1]] = np.isin(h[edges[k] : edges[k + 1]], left[row + k])
+                        keep[edges[k] : edges[k + 1]] = np.isin(marks[edges[k] : edges[k + 1]], left[row + k])
                 if not keep.any():
                     continue
                 piece, at, s1, s2, h = piece[keep], at[keep], s1[keep], s2[keep], h[keep]
                 o1, o2 = at - s2, at - s1
-                around = raw[np.clip(at[:, None] + reach, 0, len(raw) - 1)]
-                around[(reach < -o2[:, None]) | (reach >= THRESHOLD - o1[:, None])] = 0
+                around = raw[np.clip(at[:, None] + _REACH, 0, len(raw) - 1)]
+                offsets_used = np.column_stack([o1, o2]).astype(np.uint8)
+                around[~_in_use(offsets_used)] = 0
                 doc, th, place = ids[row + piece], ths[row + piece], at - bounds[piece] + base
-                whole = np.ascontiguousarray(np.concatenate([around, o1[:, None].astype(np.uint8), o2[:, None].astype(np.uint8)], axis=1))
+                whole = np.ascontiguousarray(np.concatenate([around, offsets_used], axis=1))
                 _, same = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_inverse=True)
                 low = np.full(same.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(low, same, doc)
                 covered = doc > low[same]
                 if covered.any():
-                    yield _told(doc[covered], th[covered], place[covered] - o2[covered], place[covered] - o1[covered] + THRESHOLD, schema, buckets)
+                    yield _told(doc[covered], th[covered], _spans(place[covered], o1[covered], o2[covered]), schema, buckets)
                 # Rows of the least document go on, each a place of its own.
                 go = ~covered
                 dest = _per_bucket(h[go], buckets)
@@ -267,24 +309,26 @@ def _second_pass(buckets: int):
                 order, dest = np.flatnonzero(go)[by], dest[by]
                 cuts = _starts(dest)
                 entry, named, first = _own_names(cuts, piece[order])
-                names = np.column_stack([ids[row + named], ths[row + named]]).astype(np.int64)
-                who = np.column_stack([entry, place[order]]).astype(np.int32)
-                packed = [pack(whole[order[a:z]].tobytes()) for a, z in zip(cuts, np.r_[cuts[1:], len(order)])]
-                n = len(cuts)
-                nulls = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(n, pa.binary()), pa.array(packed, pa.binary()), _grouped(who, cuts), _grouped(names, first)], schema=schema)
+                names, ends = row + named, np.r_[cuts[1:], len(order)]
+                packed = [pack(_packed(whole[order[a:z]], entry[a:z], place[order[a:z]], ids[names[c:d]], ths[names[c:d]])) for a, z, c, d in zip(cuts, ends, first, np.r_[first[1:], len(names)])]
+                nulls = pa.nulls(len(cuts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
 
     return run
 
 
-def _told(doc, th, a, z, schema, buckets) -> pa.RecordBatch:
-    """Rows (document, its covered spans) for spans [a, z)."""
-    order = np.lexsort((a, th, doc))
+def _spans(place: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The stretches that windows at offsets least to most from digits at these places cover, a number each: start and length."""
+    return ((place - most) << _LENGTH) | (most - least + THRESHOLD)
+
+
+def _told(doc, th, spans, schema, buckets) -> pa.RecordBatch:
+    """Rows (document, its covered spans)."""
+    order = np.lexsort((spans, th, doc))
     doc, th = doc[order], th[order]
     cuts = _starts(doc, th)
-    spans = np.column_stack([a[order], z[order]]).astype(np.int64)
     none = pa.nulls(len(cuts), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts] % buckets), pa.array(doc[cuts]), pa.array(th[cuts]), _grouped(spans, cuts), none, none, none], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(doc[cuts] % buckets), pa.array(doc[cuts]), pa.array(th[cuts]), _grouped(spans[order].astype(np.int64), cuts), none], schema=schema)
 
 
 def ordered(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -354,22 +398,19 @@ def _full_depth(group: pa.Table) -> pa.Table:
     give_back()
     own = pa.compute.is_valid(group["doc_id"])
     found, rest = group.filter(own), group.filter(pa.compute.invert(own))
-    doc_out, spans_out = _unpacked(found, "spans", 16)
-    th_out = np.repeat(found["th"].to_numpy().astype(np.int64), np.diff(_bytes_of(found["spans"])[1]) // 16)
-    spans_out = spans_out.reshape(-1, 2)
+    each, spans = _unpacked(found, "spans", np.int64)
+    docs, ths = (np.repeat(found[n].to_numpy().astype(np.int64), each) for n in ("doc_id", "th"))
     if rest.num_rows:
         unpack = zstandard.ZstdDecompressor().decompress
-        whole = np.concatenate([np.frombuffer(unpack(x.as_py()), np.uint8) for x in rest["packed"]]).reshape(-1, _WIDTH + 2)
-        data, offsets = _bytes_of(rest["who"])
-        who = np.frombuffer(data.tobytes(), np.int32).reshape(-1, 2)
-        data, starts = _bytes_of(rest["ids"])
-        names = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2)[np.repeat(starts[:-1] // 16, np.diff(offsets) // 8) + who[:, 0]]
-        least, most = covered_offsets(whole, names[:, 0])
+        whole, entry, place, doc, th = zip(*(_as_packed(unpack(x.as_py())) for x in rest["packed"]))
+        name = np.concatenate([e + first for e, first in zip(entry, np.cumsum([0, *map(len, doc)]))])
+        whole, place, doc, th = map(np.concatenate, (whole, place, doc, th))
+        doc = doc[name]
+        least, most = covered_offsets(whole, doc)
         hit = most >= 0
-        place = who[hit, 1].astype(np.int64)
-        doc_out, th_out = np.r_[doc_out, names[hit, 0]], np.r_[th_out, names[hit, 1]]
-        spans_out = np.r_[spans_out, np.column_stack([place - most[hit], place - least[hit] + THRESHOLD])]
-    return pa.table([pa.array(x, pa.int64()) for x in (doc_out, th_out, spans_out[:, 0], spans_out[:, 1])], names=["doc_id", "th", "a", "z"])
+        docs, ths = np.r_[docs, doc[hit]], np.r_[ths, th[name[hit]]]
+        spans = np.r_[spans, _spans(place[hit].astype(np.int64), least[hit], most[hit])]
+    return pa.table([pa.array(x, pa.int64()) for x in (docs, ths, spans)], names=["doc_id", "th", "span"])
 
 
 def _by_bucket(df: DataFrame, buckets: int, work, schema: str) -> DataFrame:
@@ -421,15 +462,16 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= THRESHOLD))
 
     first = named.select("doc_id", "text").mapInArrow(tidy(_first_pass(buckets)), _FIRST)
-    left = _by_bucket(first, buckets, _left_over, "doc_id long, digit long")
-    with small_batches(df.sparkSession, 250):
+    left = _by_bucket(first, buckets, _left_over, "doc_id long, digit int")
+    with small_batches(df.sparkSession, 1000), passing_shuffles(df.sparkSession):
         left = cut(left.groupBy("doc_id").agg(F.collect_list("digit").alias("digits")))
     # Hints: both sides grow with the input, and what comes out of Python looks small to the planner.
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(tidy(_second_pass(buckets)), _SECOND)
-    spans = _by_bucket(second, buckets, _full_depth, "doc_id long, th long, a long, z long")
-    with small_batches(df.sparkSession, 500):
-        spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "z")).alias("spans")))
+    spans = _by_bucket(second, buckets, _full_depth, "doc_id long, th long, span long")
+    with small_batches(df.sparkSession, 1000), passing_shuffles(df.sparkSession):
+        spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans")))
+    discard(left)
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +479,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             data, offsets = _bytes_of(b.column(1))
             removed, runs, kept = [], [], []
             at, flat = _listed(b.column(2))
-            spans = np.column_stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()])
+            flat = flat.to_numpy()
+            spans = np.column_stack([flat >> _LENGTH, (flat >> _LENGTH) + (flat & ((1 << _LENGTH) - 1))])
             for k in range(b.num_rows):
                 raw = data[offsets[k] : offsets[k + 1]]
                 cuts = merged(spans[at[k] : at[k + 1]])
