@@ -13,8 +13,8 @@ that share their key travel together. Equal windows have equal keys at equal off
    further. So are the bytes before the keys. A window is in the groups of its two parts; one whose group has a smaller document is covered.
 3. Covered runs are merged for each document and cut out.
 
-Before either shuffle, each chunk of text (about CHUNK bytes of many documents) is grouped by itself: a key or a
-packed window that several of its documents share is sent on once, however many they are. What the steps before the last have shuffled goes as soon as
+Before the first shuffle each chunk of text (about CHUNK bytes of many documents) is grouped by itself, before the second GATHERED windows of a task: a
+key or a packed window that several of their documents share is sent on once, however many they are. What the steps before the last have shuffled goes as soon as
 each is written.
 """
 
@@ -36,6 +36,8 @@ DIGIT = 16
 PASS = 8
 #: Bytes of text grouped at a time; a longer text is taken in pieces that overlap by a window less one byte.
 CHUNK = 1 << 21
+#: Packed windows that a task groups at a time, a chunk's more at most. The more there are, the more of a bucket's travel in one row.
+GATHERED = 250_000
 #: Bytes of text to a bucket of digits.
 BUCKET_BYTES = 16 << 20
 #: Tasks to a shuffle; with more buckets a task takes several, one after the other.
@@ -271,8 +273,30 @@ _SECOND = "dest long, doc_id long, th long, spans binary, packed binary"
 def _second_pass(buckets: int):
     schema = pa.schema([("dest", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary()), ("packed", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
+        whole, h, place, name, ids, ths = map(np.concatenate, zip(*held))
+        doc, th = ids[name], ths[name]
+        _, same = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_inverse=True)
+        low = np.full(same.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, same, doc)
+        covered = doc > low[same]
+        if covered.any():
+            o1, o2 = whole[covered, _WIDTH:].T.astype(np.int64)
+            yield _told(doc[covered], th[covered], _spans(place[covered], o1, o2), schema, buckets)
+        # Rows of the least document go on, each a place of its own.
+        go = ~covered
+        dest = _per_bucket(h[go], buckets)
+        by = np.lexsort((h[go], dest))
+        order, dest = np.flatnonzero(go)[by], dest[by]
+        cuts = _starts(dest)
+        entry, named, first = _own_names(cuts, name[order])
+        packed = [pack(_packed(whole[order[a:z]], entry[a:z], place[order[a:z]], ids[named[c:d]], ths[named[c:d]])) for a, z, c, d in zip(cuts, np.r_[cuts[1:], len(order)], first, np.r_[first[1:], len(named)])]
+        nulls = pa.nulls(len(cuts), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, windows, texts = [], 0, 0
         for b in batches:
             give_back()
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -290,29 +314,17 @@ def _second_pass(buckets: int):
                 if not keep.any():
                     continue
                 piece, at, s1, s2, h = piece[keep], at[keep], s1[keep], s2[keep], h[keep]
-                o1, o2 = at - s2, at - s1
                 around = raw[np.clip(at[:, None] + _REACH, 0, len(raw) - 1)]
-                offsets_used = np.column_stack([o1, o2]).astype(np.uint8)
-                around[~_in_use(offsets_used)] = 0
-                doc, th, place = ids[row + piece], ths[row + piece], at - bounds[piece] + base
-                whole = np.ascontiguousarray(np.concatenate([around, offsets_used], axis=1))
-                _, same = np.unique(whole.view(f"V{whole.shape[1]}").ravel(), return_inverse=True)
-                low = np.full(same.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, same, doc)
-                covered = doc > low[same]
-                if covered.any():
-                    yield _told(doc[covered], th[covered], _spans(place[covered], o1[covered], o2[covered]), schema, buckets)
-                # Rows of the least document go on, each a place of its own.
-                go = ~covered
-                dest = _per_bucket(h[go], buckets)
-                by = np.lexsort((h[go], dest))
-                order, dest = np.flatnonzero(go)[by], dest[by]
-                cuts = _starts(dest)
-                entry, named, first = _own_names(cuts, piece[order])
-                names, ends = row + named, np.r_[cuts[1:], len(order)]
-                packed = [pack(_packed(whole[order[a:z]], entry[a:z], place[order[a:z]], ids[names[c:d]], ths[names[c:d]])) for a, z, c, d in zip(cuts, ends, first, np.r_[first[1:], len(names)])]
-                nulls = pa.nulls(len(cuts), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(dest[cuts]), nulls, nulls, pa.nulls(len(cuts), pa.binary()), pa.array(packed, pa.binary())], schema=schema)
+                used = np.column_stack([at - s2, at - s1]).astype(np.uint8)
+                around[~_in_use(used)] = 0
+                named, name = np.unique(piece, return_inverse=True)
+                if held and (windows >= GATHERED or texts + len(named) >= int(_MANY)):
+                    yield from grouped(held)
+                    held, windows, texts = [], 0, 0
+                held.append((np.concatenate([around, used], axis=1), h, at - bounds[piece] + base, texts + name, ids[row + named], ths[row + named]))
+                windows, texts = windows + len(h), texts + len(named)
+        if held:
+            yield from grouped(held)
 
     return run
 
@@ -469,7 +481,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     todo = named.join(left.hint("merge"), "doc_id").select("doc_id", "th", "text", "digits")
     second = todo.mapInArrow(tidy(_second_pass(buckets)), _SECOND)
     spans = _by_bucket(second, buckets, _full_depth, "doc_id long, th long, span long")
-    with small_batches(df.sparkSession, 1000), passing_shuffles(df.sparkSession):
+    with small_batches(df.sparkSession, 250), passing_shuffles(df.sparkSession):
         spans = cut(spans.groupBy("doc_id", "th").agg(F.collect_list("span").alias("spans")))
     discard(left)
     out = rows.join(spans.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
