@@ -4,6 +4,9 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 
 from ashlar.llm import suffix_dedup as S
 
@@ -64,3 +67,35 @@ def test_windows_are_unpacked_as_they_were_packed():
         spans = S._spans(place, least, offsets[:, 1].astype(np.int64))
         a, size = spans >> S._LENGTH, spans & ((1 << S._LENGTH) - 1)
         assert (a == place - offsets[:, 1]).all() and (size == offsets[:, 1] - least + S.THRESHOLD).all()
+
+
+def covered(rows, buckets):
+    """What the passes find in rows (id, bytes), in this process, where their sizes can be set."""
+    each = lambda batches, work, t=pa.Table.from_batches: pa.concat_tables([work(t(batches).filter(pc.field("dest") == d)) for d in sorted({x for b in batches for x in b["dest"].to_pylist()})])
+    cols = {"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([x for _, x in rows], pa.binary())}
+    left = each(list(S._first_pass(buckets)(iter(pa.table(cols).to_batches(9)))), S._left_over)
+    of = {d: [] for d, _ in rows}
+    for d, x in zip(left["doc_id"].to_pylist(), left["digit"].to_pylist()):
+        of[d].append(x)
+    todo = pa.table({"doc_id": cols["doc_id"], "th": pa.array(range(len(rows)), pa.int64()), "text": cols["text"], "digits": pa.array([of[d] for d, _ in rows], pa.list_(pa.int32()))})
+    found = each(list(S._second_pass(buckets)(iter(todo.to_batches(9)))), S._full_depth)
+    th, span = found["th"].to_numpy(), found["span"].to_numpy()
+    return [S.merged(np.column_stack([a := span[th == k] >> S._LENGTH, a + (span[th == k] & 127)])).tolist() for k in range(len(rows))]
+
+
+@pytest.mark.parametrize(("gathered", "chunk", "many", "buckets"), [(250_000, 1 << 21, 0xFFFF, 1), (1, 1 << 21, 0xFFFF, 3), (40, 300, 0xFFFF, 7), (250_000, 400, 9, 2)])
+def test_windows_gathered_a_few_at_a_time(monkeypatch, gathered, chunk, many, buckets):
+    rnd = random.Random(gathered)
+    parts = [bytes(rnd.choice(b"ab c") for _ in range(rnd.randint(30, 160))) for _ in range(9)]
+    rows = [(rnd.randint(-3, 50), b"".join(rnd.choice(parts) if rnd.random() < 0.6 else rnd.randbytes(40) for _ in range(rnd.randint(1, 6)))) for _ in range(70)]
+    for name, value in (("GATHERED", gathered), ("CHUNK", chunk), ("_MANY", np.uint16(many))):
+        monkeypatch.setattr(S, name, value)
+    rows, first, want = [(d, x) for d, x in rows if len(x) >= S.THRESHOLD], {}, []
+    for d, x in rows:
+        for k in range(len(x) - S.THRESHOLD + 1):
+            w = x[k : k + S.THRESHOLD]
+            first[w] = min(first.get(w, d), d)
+    for d, x in rows:
+        at = [k for k in range(len(x) - S.THRESHOLD + 1) if first[x[k : k + S.THRESHOLD]] < d]
+        want.append(S.merged(np.array([[k, k + S.THRESHOLD] for k in at], np.int64)).tolist())
+    assert covered(rows, buckets) == want and any(want)
